@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import arrow_map
 from .common import byte_table, read_table, written
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 4096, 8192, 65536
@@ -97,7 +98,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         id_type = "bigint"
     rows = docs.select(F.col(id_col).cast(id_type).alias("id"), F.col(text_col).cast("string").alias("text"))
     staged = written(
-        rows.mapInArrow(_chunker(digest_bits), f"id {id_type}, sha string, recipe array<bigint>, pieces array<binary>"),
+        arrow_map(rows, _chunker(digest_bits), f"id {id_type}, sha string, recipe array<bigint>, pieces array<binary>"),
         "chunks",
     )
     # Identifiers are verified by comparing the bytes of all chunks that share a digest. The count is
