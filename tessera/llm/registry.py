@@ -1,12 +1,13 @@
 """The queries of this subpackage, and their DuckDB SQL where there is any."""
 
-from . import chat, exact_dedup, langid, mixing, quality, token_output
+from . import chat, exact_dedup, langid, mixing, pii, quality, token_output
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op3_token_output": token_output.op3_token_output,
     "op4_quality": quality.op4_quality,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_pii": pii.op7_pii,
     "op8_chat_format": chat.op8_chat_format,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
