@@ -35,7 +35,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
