@@ -134,3 +134,45 @@ def prefix_hashes(coded: np.ndarray) -> np.ndarray:
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Polynomial hashes of [start, end), equal for equal contents wherever they stand."""
     return (prefix[end] - prefix[start]) * powers(len(prefix), True)[start]
+
+
+#: A word is a run of ASCII letters and digits and of non-ASCII characters, in lower case.
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_WORD_CODE = byte_table(5)
+
+
+def word_blocks(arr: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20):
+    """Texts as word hashes, in blocks of rows: (first row, hashes, bounds).
+
+    hashes has a 64-bit value a word, equal for equal words; bounds[i] to bounds[i + 1] are row i's.
+    """
+    import pyarrow.compute as pc
+
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    for first, data, offsets in utf8_blocks(pc.utf8_lower(arr), max_bytes):
+        n = len(data)
+        if not n:
+            yield first, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+            continue
+        inside = _WORD[data]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        before = np.concatenate([[False], inside[:-1]])
+        begins = np.flatnonzero(inside & (~before | edge[:-1]))
+        after = np.concatenate([inside[1:], [False]])
+        ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        hashes = mix64(span_hashes(prefix_hashes(_WORD_CODE[data]), begins, ends))
+        yield first, hashes, np.searchsorted(begins, offsets)
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words that start at each word (the last k - 1 are left out)."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for i in range(k):
+        out = (out + words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15) ^ (out >> np.uint64(29))
+    return mix64(out)

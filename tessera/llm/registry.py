@@ -1,12 +1,14 @@
 """The queries of this subpackage, and their DuckDB SQL where there is any."""
 
-from . import chat, exact_dedup, langid, mixing, pii, quality, token_output
+from . import chat, decontaminate, exact_dedup, langid, mixing, near_dedup, pii, quality, token_output
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_token_output": token_output.op3_token_output,
     "op4_quality": quality.op4_quality,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_pii": pii.op7_pii,
     "op8_chat_format": chat.op8_chat_format,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
