@@ -163,6 +163,30 @@ def predict_language(docs: DataFrame, model: dict, id_col: str = "doc_id", text_
     return arrow_map(rows, _predictor(shared), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def _keeper(model, at: int, min_score: float):
+    def run(batches):
+        scorer = Scorer(model.value)
+        for batch in batches:
+            texts, n, keep, row = batch.column(at), len(batch), [], 0
+            while row < n:
+                upto, size, own = row, 0, []
+                while upto < n and (size < 4 << 20 or upto == row):
+                    own.append(texts[upto].as_py())
+                    size += len(own[-1] or "")
+                    upto += 1
+                keep += [lang != "und" and score >= min_score for lang, score in scorer.predict(own)]
+                row = upto
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def keep_languages(docs: DataFrame, model: dict, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
+    """docs without the rows that are `und` or score below min_score; all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return arrow_map(docs, _keeper(shared, docs.columns.index(text_col), min_score), docs.schema)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit_language_model(docs.where(~held_out(F.col("doc_id"))))

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their DuckDB SQL where there is any."""
 
-from . import chat, decontaminate, exact_dedup, langid, mixing, near_dedup, pii, quality, token_output
+from . import chat, decontaminate, exact_dedup, langid, mixing, near_dedup, pii, quality, suffix_dedup, token_output
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_pii": pii.op7_pii,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
@@ -18,3 +19,4 @@ ORACLES = {
     "op8_chat_format": chat.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
+
