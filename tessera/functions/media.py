@@ -5,13 +5,24 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: TIFF tags that are read, by directory.
 TAGS = {0x010F: "make", 0x0110: "model", 0x0132: "modified", 0x9003: "original", 0xA431: "serial", 0xA420: "image_id"}
 EXIF_POINTER = 0x8769
 
 
+def _udf(function, schema: str):
+    """A pandas UDF, made where it is used: executors import this module without a session."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        ship(session)
+    return F.pandas_udf(function, schema)
+
+
 def xxh3_bytes(data: bytes) -> bytes:
     """XXH3-128 as archives store it: little-endian, low half first."""
     import xxhash
@@ -19,9 +30,11 @@ def xxh3_bytes(data: bytes) -> bytes:
     return xxhash.xxh3_128(data).digest()[::-1]
 
 
-@F.pandas_udf("binary")
-def xxh3_128(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: None if b is None else xxh3_bytes(bytes(b)))
+def xxh3_128(content: Column) -> Column:
+    def run(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: None if b is None else xxh3_bytes(bytes(b)))
+
+    return _udf(run, "binary")(content)
 
 
 def tiff_tags(data: bytes) -> dict[str, str]:
@@ -68,10 +81,15 @@ def exif_tags(data: bytes) -> dict[str, str]:
 _EXIF = "original string, modified string, make string, model string, serial string, image_id string"
 
 
-@F.pandas_udf(_EXIF)
-def exif(content: pd.Series) -> pd.DataFrame:
-    rows = [exif_tags(bytes(b)) if b is not None else {} for b in content]
-    return pd.DataFrame([[r.get(c.split()[0]) for c in _EXIF.split(", ")] for r in rows], columns=[c.split()[0] for c in _EXIF.split(", ")], dtype=object)
+def exif(content: Column) -> Column:
+    """Struct of the tags of _EXIF, each null where it isn't found."""
+    names = [c.split()[0] for c in _EXIF.split(", ")]
+
+    def run(content: pd.Series) -> pd.DataFrame:
+        rows = [exif_tags(bytes(b)) if b is not None else {} for b in content]
+        return pd.DataFrame([[r.get(c) for c in names] for r in rows], columns=names, dtype=object)
+
+    return _udf(run, _EXIF)(content)
 
 
 def _boxes(data: bytes, at: int, end: int):
@@ -103,6 +121,8 @@ def mp4_seconds(data: bytes) -> int | None:
     return None
 
 
-@F.pandas_udf("bigint")
-def mp4_created(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: None if b is None else mp4_seconds(bytes(b))).astype("Int64")
+def mp4_created(content: Column) -> Column:
+    def run(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: None if b is None else mp4_seconds(bytes(b))).astype("Int64")
+
+    return _udf(run, "bigint")(content)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.values import GENESIS, event_hash
+from ..session import arrow_map, with_fields
 
 COLUMNS = ["seq", "occurred_at", "event_type", "entity_type", "entity_id", "payload", "prev_hash", "self_hash"]
 PAYLOAD = "session_id string, session_type string, source string, total_files long, added long, duplicate long, failed long, skipped long, manifest string"
@@ -43,14 +44,13 @@ def build_chain(events: DataFrame, by: list[str] | None = None, head: str = GENE
     A link needs the one before it, so a chain is one sequential task by nature; rows stream through it
     in sorted order and only the last hash is held. Chains of different values of by run apart.
     """
-    from ..session import arrow_map
-
     by = by or []
     columns = ["occurred_at", "event_type", "entity_type", "entity_id", "payload"]
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     rows = events.withColumn("_body", F.concat_ws("|", *parts)).withColumn("_by", F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit(""))
     rows = (rows.repartition("_by") if by else rows.coalesce(1)).sortWithinPartitions("_by", "seq")
-    schema = events.schema.add("prev_hash", "string").add("self_hash", "string")
+    names = events.columns
+    schema = with_fields(events.schema, prev_hash="string", self_hash="string")
 
     def link(batches):
         import hashlib
@@ -69,7 +69,6 @@ def build_chain(events: DataFrame, by: list[str] | None = None, head: str = GENE
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(prev, pa.string()), pa.array(own, pa.string())], names=[*names, "prev_hash", "self_hash"])
 
-    names = events.columns
     return arrow_map(rows, link, schema)
 
 

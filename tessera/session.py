@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
 
@@ -39,3 +40,11 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def with_fields(schema: StructType, **kinds: str) -> StructType:
+    """A copy of schema with more fields (StructType.add() would change the frame's own)."""
+    out = StructType(list(schema.fields))
+    for name, kind in kinds.items():
+        out = out.add(name, kind)
+    return out

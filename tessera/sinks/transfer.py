@@ -7,7 +7,7 @@ import shutil
 
 from pyspark.sql import DataFrame
 
-from ..session import arrow_map
+from ..session import arrow_map, with_fields
 
 FICLONE = 0x40049409  # fixed value: Linux ioctl number of a reflink
 
@@ -68,7 +68,7 @@ def transfer(rows: DataFrame, strategies: tuple[str, ...] = ("reflink", "hardlin
             return "present"
         return place(row["src"], row["dest"], strategies)
 
-    return arrow_map(rows, _run(action), rows.schema.add("how", "string").add("copy_error", "string"))
+    return arrow_map(rows, _run(action), with_fields(rows.schema, how="string", copy_error="string"))
 
 
 def clone_copy(plan: DataFrame, source_root: str, target_root: str) -> DataFrame:
@@ -77,7 +77,7 @@ def clone_copy(plan: DataFrame, source_root: str, target_root: str) -> DataFrame
     def action(row):
         return place(os.path.join(source_root, row["path"]), os.path.join(target_root, row["path"]), ("reflink", "copy")) if row["action"] == "copied" else row["action"]
 
-    return arrow_map(plan, _run(action), plan.schema.add("how", "string").add("copy_error", "string"))
+    return arrow_map(plan, _run(action), with_fields(plan.schema, how="string", copy_error="string"))
 
 
 def make_independent(rows: DataFrame, root: str) -> DataFrame:
@@ -94,4 +94,4 @@ def make_independent(rows: DataFrame, root: str) -> DataFrame:
         os.replace(temp, path)
         return "copied"
 
-    return arrow_map(rows, _run(action), rows.schema.add("how", "string").add("copy_error", "string"))
+    return arrow_map(rows, _run(action), with_fields(rows.schema, how="string", copy_error="string"))

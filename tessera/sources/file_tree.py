@@ -83,7 +83,7 @@ def file_tree(spark: SparkSession, root: str, extensions: list[str] | None = Non
 def with_hashes(files: DataFrame, root: str, sha256: bool = False) -> DataFrame:
     """files(path, ...) with crc32, xxh3_128, sha256, raw_id, original, modified, make, model, video_s, hash_error,
     read in pieces, never a whole file at once. A file that can't be read has an error and no hashes."""
-    from ..session import arrow_map
+    from ..session import arrow_map, with_fields
 
     def run(batches):
         import hashlib
@@ -135,9 +135,7 @@ def with_hashes(files: DataFrame, root: str, sha256: bool = False) -> DataFrame:
     import pyarrow as pa
 
     kinds = {"crc32": pa.int64(), "xxh3_128": pa.binary(), "sha256": pa.binary(), "raw_id": pa.string(), "original": pa.string(), "modified": pa.string(), "make": pa.string(), "model": pa.string(), "video_s": pa.int64(), "hash_error": pa.string()}
-    schema = files.schema
-    for k, t in kinds.items():
-        schema = schema.add(k, {"int64": "bigint"}.get(str(t), str(t)))
+    schema = with_fields(files.schema, **{k: {"int64": "bigint"}.get(str(t), str(t)) for k, t in kinds.items()})
     return arrow_map(files, run, schema)
 
 
