@@ -35,9 +35,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, size: float,
                 raise ValueError(f"weight of {name!r} is {w}")
             weight = F.when(F.col("of").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     counts = counts.withColumn("w", weight)
-    totals = counts.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    # totals is one row, so this is no product of tables
-    rates = counts.join(F.broadcast(totals), how="inner").withColumn("rate", F.expr(f"case when all_w > 0 then all_n * {size!r}D * (w / all_w) / n else 0.0D end"))
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+    rate = F.lit(totals["n"] * size) * (F.col("w") / F.lit(totals["w"])) / F.col("n") if totals["w"] > 0 else F.lit(0.0)
+    rates = counts.withColumn("rate", rate)
     last = "cast(ceil(rate + 12 * sqrt(rate) + 24) as int)"
     cdf = f"""aggregate(sequence(0, {last}), struct(0.0D as logs, 0.0D as sum, cast(array() as array<double>) as cdf),
         (s, k) -> struct(
