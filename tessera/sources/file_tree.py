@@ -135,7 +135,7 @@ def with_hashes(files: DataFrame, root: str, sha256: bool = False) -> DataFrame:
     import pyarrow as pa
 
     kinds = {"crc32": pa.int64(), "xxh3_128": pa.binary(), "sha256": pa.binary(), "raw_id": pa.string(), "original": pa.string(), "modified": pa.string(), "make": pa.string(), "model": pa.string(), "video_s": pa.int64(), "hash_error": pa.string()}
-    schema = with_fields(files.schema, **{k: {"int64": "bigint"}.get(str(t), str(t)) for k, t in kinds.items()})
+    schema = with_fields(files.schema, **{k: {"int64": "long"}.get(str(t), str(t)) for k, t in kinds.items()})
     return arrow_map(files, run, schema)
 
 
