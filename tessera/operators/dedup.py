@@ -123,6 +123,33 @@ def insert_outcome(rows: DataFrame, files: DataFrame, force: bool = False) -> Da
     )
 
 
+def apply_outcomes(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """The catalog after an import: recovered rows take their new path, status and times and keep their
+    size and hashes; added rows follow, numbered on from the largest id in the order of path.
+
+    rows are those of insert_outcome(); columns of files that they don't have are null for added rows.
+    """
+    kinds = dict(files.dtypes)
+    taken = [c for c in ("mtime", "imported_at") if c in kinds and c in rows.columns]
+    added = rows.where("outcome = 'added'")
+    back = added.where("recovers_id is not null").groupBy(F.col("recovers_id").alias("id")).agg(F.min(F.struct("dest_path", *taken)).alias("_b"))
+    kept, found = files.join(back, "id", "left"), F.col("_b").isNotNull()
+    changed = {"path": F.col("_b.dest_path"), "status": F.lit("imported")} | {c: F.col(f"_b.{c}") for c in taken}
+    kept = kept.select(*[F.when(found, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in files.columns])
+    top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    fresh = added.where("recovers_id is null")
+    # Ids in the order of path without one task for all: paths are numbered within their first ten
+    # characters (a day's folder), after the count of those in folders before it.
+    ranged = fresh.withColumn("_day", F.substring("dest_path", 1, 10))
+    own = F.row_number().over(Window.partitionBy("_day").orderBy("dest_path"))
+    sizes = ranged.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_day", (F.sum("_n").over(Window.orderBy("_day")) - F.col("_n")).alias("_before"))
+    numbered = ranged.withColumn("_own", own).join(before, "_day").withColumn("id", F.col("_own") + F.col("_before") + F.lit(top))
+    cells = {"path": F.col("dest_path"), "status": F.lit("imported")}
+    have = {*numbered.columns}
+    return kept.unionByName(numbered.select(*[cells.get(c, F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in files.columns]))
+
+
 def outcome_summary(rows: DataFrame) -> DataFrame:
     """Counts by outcome as one row."""
     return rows.agg(F.count(F.lit(1)).alias("total"), *[F.coalesce(F.count_if(F.col("outcome") == k), F.lit(0)).alias(k) for k in ("added", "duplicate", "failed", "skipped")])

@@ -98,12 +98,13 @@ def verify_chain(events: DataFrame, parts: int | None = None) -> DataFrame:
     w = Window.partitionBy("_pid").orderBy("seq")
     own = event_hash(*[F.col(c) for c in ("occurred_at", "event_type", "entity_type", "entity_id", "payload", "prev_hash")])
     checked = ranged.select("_pid", "seq", "prev_hash", "self_hash", F.lag("self_hash").over(w).alias("_before"), (own != F.col("self_hash")).alias("_bad"))
-    inner = checked.agg(F.min(F.when(F.col("_bad") | (F.col("_before").isNotNull() & (F.col("_before") != F.col("prev_hash"))), F.col("seq"))).alias("s"))
-    ends = checked.groupBy("_pid").agg(F.min_by(F.struct("seq", "prev_hash"), "seq").alias("a"), F.max_by("self_hash", "seq").alias("z"))
+    bad = F.col("_bad") | (F.col("_before").isNotNull() & (F.col("_before") != F.col("prev_hash")))
+    ends = checked.groupBy("_pid").agg(
+        F.min(F.when(bad, F.col("seq"))).alias("inner"), F.min_by(F.struct("seq", "prev_hash"), "seq").alias("a"), F.max_by("self_hash", "seq").alias("z")
+    )
     # as many rows as partitions
     border = ends.withColumn("_z", F.coalesce(F.lag("z").over(Window.orderBy("a.seq")), F.lit(GENESIS)))
-    outer = border.agg(F.min(F.when(F.col("_z") != F.col("a.prev_hash"), F.col("a.seq"))).alias("s"))
-    return inner.unionAll(outer).agg(F.min("s").alias("first_bad"))
+    return border.agg(F.min(F.least("inner", F.when(F.col("_z") != F.col("a.prev_hash"), F.col("a.seq")))).alias("first_bad"))
 
 
 def sessions(events: DataFrame, source: str | None = None, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:

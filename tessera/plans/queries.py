@@ -628,4 +628,131 @@ def sha256_survivors(spark, d):
     return f.join(least, "sha256").select(values.hex_lower(F.col("sha256")).alias("hash"), "survivor", "path")
 
 
+# --- times, identifiers, templates ---------------------------------------------------------------
+
+
+@query(sql="""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(epoch_us(date_trunc('second', o_orderdate)) // 1000 AS BIGINT) END AS ms FROM orders""")
+def exif_datetime(spark, d):
+    t = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy:MM:dd HH:mm:ss")
+    t = F.when(F.col("o_orderkey") % 6 == 0, F.regexp_replace(t, r"^(\d{4}):\d{2}:\d{2}", "$1:02:30")).when(F.col("o_orderkey") % 6 == 1, F.replace(t, F.lit(":"), F.lit("-"))).otherwise(t)
+    return a.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), values.exif_millis(t).alias("ms"))
+
+
+@query(sql="""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(epoch_us(date_trunc('second', o_orderdate)) // 1000 AS BIGINT) END AS ms FROM orders""")
+def quicktime_dates(spark, d):
+    s = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + 2_082_844_800
+    s = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderkey")).otherwise(s)
+    return a.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), values.quicktime_millis(s).alias("ms"))
+
+
+@query(sql="""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 OR p_partkey % 5 = 0 THEN NULL ELSE 'CAM' || (p_partkey % 10) || ':SHOT' || p_partkey END AS fingerprint FROM part""")
+def raw_fingerprint(spark, d):
+    k = F.col("p_partkey")
+    serial = F.when(k % 4 == 0, ' "" ').otherwise(F.concat(F.lit(' "CAM'), k % 10, F.lit('" ')))
+    image = F.when(k % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("'SHOT"), k, F.lit("'")))
+    return a.table(spark, d, "part").select(k.alias("id"), paths.raw_fingerprint(serial, image).alias("fingerprint"))
+
+
+@query(sql=r"""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '/' ELSE '/mnt/' || p_partkey END AS root, CASE p_partkey % 4 WHEN 0 THEN '' ELSE '/mnt/' || p_partkey END AS bare FROM part""")
+def scan_roots(spark, d):
+    k = F.col("p_partkey")
+    raw = F.when(k % 4 == 0, "//").otherwise(F.concat(F.lit("/mnt/"), k, F.when(k % 4 == 1, '/"').when(k % 4 == 2, "\\'").otherwise("")))
+    return a.table(spark, d, "part").select(k.alias("id"), paths.clean_root(raw, keep_root=True).alias("root"), paths.clean_root(raw).alias("bare"))
+
+
+@query("dated", sql=r"""SELECT id, 'Cam $ext/' || replace(substr(path, 1, 10), '/', '-') || '/ORD_' || id || '-x.' || regexp_extract(path, '([^.]*)$', 1) AS dest FROM dated""")
+def dest_template(spark, d):
+    device = F.lit("Cam @")
+    x = a.dated(spark, d)
+    out = paths.destination("path", F.timestamp_millis("imported_at"), device, "$device/$year-$mon-$day/$stem-x.$ext")
+    return x.select("id", F.replace(out, F.lit("@"), F.lit("$ext")).alias("dest"))
+
+
+@query("files", sql="""SELECT id, '{"path":"' || path || '","sha256":"' || sha256 || '"}' AS payload FROM files WHERE sha256 IS NOT NULL""")
+def sha256_payload_json(spark, d):
+    return a.files(spark, d).where("sha256 is not null").select("id", events.sha256_payload().alias("payload"))
+
+
+@query("items", sql="""SELECT session_id, src_path, '{"src_path":"' || src_path || '"' || CASE WHEN dest_path IS NULL THEN '' ELSE ',"dest_path":"' || dest_path || '"' END || ',"size":' || size || CASE WHEN status IS NULL THEN '' ELSE ',"status":"' || status || '"' END || '}' AS record,
+  coalesce(status, 'added') AS status FROM items""")
+def manifest_json(spark, d):
+    i = a.manifest_items(spark, d)
+    record = F.to_json(F.struct("src_path", "dest_path", "size", "status"))
+    back = F.from_json(record, "src_path string, dest_path string, size bigint, status string")
+    return i.select("session_id", "src_path", record.alias("record"), F.coalesce(back["status"], F.lit("added")).alias("status"))
+
+
+@query("items", sql="SELECT src_path, session_id, coalesce(status, 'added') AS status FROM items WHERE src_path = 'card/IMG_7.jpg'")
+def manifest_find_by_src(spark, d):
+    return a.manifest_items(spark, d).where(F.col("src_path") == "card/IMG_7.jpg").select("src_path", "session_id", F.coalesce("status", F.lit("added")).alias("status"))
+
+
+@query("files", "disk", sql="""SELECT w.path, d.size, CASE WHEN d.path IS NULL THEN 'no such file' ELSE d.error END AS error FROM (SELECT path FROM files) w LEFT JOIN disk d ON d.path = w.path""")
+def listed_files(spark, d):
+    from ..sources.documents import listed
+
+    lines = a.files(spark, d).select(F.concat(F.lit("new:"), paths.pipe_escape("path")).alias("value"))
+    wanted = lines.where("value like 'new:%'").select(paths.pipe_unescape(F.substr("value", F.lit(5))).alias("path"))
+    return listed(wanted, a.disk(spark, d).select("path", "size", "error")).select("path", "size", "error")
+
+
+@query(sql="SELECT * FROM (VALUES ('head', 8), ('tail', 1), ('head_tail', 10)) t(region, n)")
+def format_regions(spark, d):
+    return formats.format_dimension(spark).groupBy("region").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("files", "disk", sql="""SELECT f.id, f.path FROM files f WHERE f.status = 'imported' AND CASE WHEN f.sha256 IS NOT NULL THEN f.sha256 NOT IN (SELECT sha256 FROM disk) ELSE f.xxh3_128 NOT IN (SELECT xxh3_128 FROM disk) END""")
+def sync_missing(spark, d):
+    from .commands import _known_hashes
+
+    have = _known_hashes(a.disk(spark, d).select("path", "sha256", "xxh3_128")).select("algo", "hash").distinct()
+    mine = catalog.imported_only(a.files(spark, d))
+    i = values.identity(F.col("sha256"), F.col("xxh3_128"))
+    return mine.withColumn("algo", i["algo"]).withColumn("hash", i["hash"]).join(have, ["algo", "hash"], "left_anti").select("id", "path")
+
+
+@query()
+def update_summary(spark, d):
+    m = _missing(spark, d)
+    moves = reconcile.reconcile_moves(m, a.disk(spark, d))
+    both = m.select("id").join(moves.select("id", F.lit(1).alias("moved")), "id", "left")
+    return both.agg(F.count(F.lit(1)).alias("missing"), F.count("moved").alias("matched"), (F.count(F.lit(1)) - F.count("moved")).alias("marked"))
+
+
+ORACLES["update_summary"] = _sql("files", "disk", ctes=_MOVES, body="SELECT count(*) AS missing, (SELECT count(*) FROM moves) AS matched, count(*) - (SELECT count(*) FROM moves) AS marked FROM m")
+
+
+@query()
+def scan_summary(spark, d):
+    return _classified(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+ORACLES["scan_summary"] = _sql("files", "disk", ctes=_LOOKUP, body=f"SELECT {_STATUS} AS status, count(*) AS n FROM found GROUP BY 1")
+
+
+@query()
+def clone_summary(spark, d):
+    plan = catalog.clone_plan(catalog.clone_select(a.files(spark, d)), a.disk(spark, d))
+    return plan.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+ORACLES["clone_summary"] = with_relations("files", "disk", body="SELECT CASE WHEN d.path IS NULL THEN 'copied' WHEN d.size = f.size THEN 'skipped' ELSE 'failed' END AS action, count(*) AS n FROM files f LEFT JOIN disk d ON d.path = f.path WHERE f.status = 'imported' GROUP BY 1")
+
+
+@query()
+def catalog_after_import(spark, d):
+    out = _outcome(spark, d).withColumn("imported_at", F.lit(NOW_MS).cast("long"))
+    return dedup.apply_outcomes(a.files(spark, d).select("path", "status", "imported_at", "id"), out).select("id", "path", "status", "imported_at")
+
+
+ORACLES["catalog_after_import"] = _sql("files", "disk", ctes=_OUTCOME, body=f"""SELECT f.id, coalesce(b.dest_path, f.path) AS path, CASE WHEN b.dest_path IS NULL THEN f.status ELSE 'imported' END AS status, CASE WHEN b.dest_path IS NULL THEN f.imported_at ELSE {NOW_MS} END AS imported_at
+  FROM files f LEFT JOIN (SELECT lost_id, min(dest_path) AS dest_path FROM outcome WHERE outcome = 'added' AND lost_id IS NOT NULL GROUP BY 1) b ON b.lost_id = f.id
+  UNION ALL SELECT (SELECT max(id) FROM files) + row_number() OVER (ORDER BY dest_path), dest_path, 'imported', {NOW_MS} FROM outcome WHERE outcome = 'added' AND lost_id IS NULL""")
+
+
+@query("session_events", sql="SELECT seq FROM session_events WHERE lower(payload) LIKE '%\"manifest\":\"m/1%'")
+def events_payload_like(spark, d):
+    return a.session_events(spark, d).where(F.col("payload").ilike('%"manifest":"M/1%')).select("seq")
+
+
 ENTRY = dedup_first_wins

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import GENESIS, event_hash
+from ..operators import dedup
 from ..operators import events as ev
 
 FILES = (
@@ -100,31 +101,7 @@ class Archive:
 
         A recovered row gets its path, status and times; its size and hashes stay.
         """
-        files = self.files()
-        added = rows.where("outcome = 'added'")
-        back = added.where("recovers_id is not null").groupBy(F.col("recovers_id").alias("id")).agg(F.min(F.struct("dest_path", "mtime", "imported_at")).alias("b"))
-        kept = files.join(back, "id", "left")
-        found = F.col("b").isNotNull()
-        for c, new in (("path", "dest_path"), ("mtime", "mtime"), ("imported_at", "imported_at")):
-            kept = kept.withColumn(c, F.when(found, F.col(f"b.{new}")).otherwise(F.col(c)))
-        kept = kept.withColumn("status", F.when(found, "imported").otherwise(F.col("status"))).select(*files.columns)
-        top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-        from pyspark.sql.window import Window
-
-        fresh = added.where("recovers_id is null").withColumn("id", F.row_number().over(Window.orderBy("dest_path")) + F.lit(top))
-        have = set(fresh.columns)
-        columns = [x.split() for x in FILES.split(", ")]
-        cells = []
-        for name, kind in columns:
-            if name == "path":
-                cells.append(F.col("dest_path").alias("path"))
-            elif name == "status":
-                cells.append(F.lit("imported").alias("status"))
-            elif name in have:
-                cells.append(F.col(name).cast(kind).alias(name))
-            else:
-                cells.append(F.lit(None).cast(kind).alias(name))
-        self.write_files(kept.unionByName(fresh.select(*cells)))
+        self.write_files(dedup.apply_outcomes(self.files(), rows))
 
     def write_manifest(self, session: dict, items: list[dict]) -> str:
         """One JSON document a session; null fields are left out."""
