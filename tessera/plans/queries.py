@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, paths, values
 from ..operators import binding, catalog, dedup, events, reconcile
-from ..sinks import dump
+from ..sinks import dump, reports
 from ..sources import adapters as a
 from ..sources.adapters import NOW_MS, with_relations
 
@@ -755,4 +755,58 @@ def events_payload_like(spark, d):
     return a.session_events(spark, d).where(F.col("payload").ilike('%"manifest":"M/1%')).select("seq")
 
 
+# --- reports as JSON lines -----------------------------------------------------------------------
+
+
+@query()
+def scan_json_lines(spark, d):
+    c = _classified(spark, d).withColumn("mtime_ms", F.lit(NOW_MS))
+    return reports.scan_lines(c.withColumn("error", F.when(F.col("status") == "moved", "x")))
+
+
+ORACLES["scan_json_lines"] = _sql("files", "disk", ctes=_LOOKUP, body=f"""SELECT '{{"event":"scan_item","path":"' || path || '","size":' || size || ',"mtime_ms":{NOW_MS},"status":"' || s || '"' || CASE WHEN s = 'moved' THEN ',"error":"x"' ELSE '' END || '}}' AS line FROM (SELECT path, size, {_STATUS} AS s FROM found)""")
+
+
+@query()
+def preflight_json_line(spark, d):
+    return reports.preflight_line(_classified(spark, d), "/card")
+
+
+ORACLES["preflight_json_line"] = _sql("files", "disk", ctes=_LOOKUP, body=f"""SELECT '{{"event":"preflight","total_scanned":' || count(*) || ',"new":' || count(*) FILTER (s IN ('new', 'recover')) || ',"duplicate":' || count(*) FILTER (s = 'duplicate') || ',"moved":' || count(*) FILTER (s = 'moved') || ',"failed":0,"source":"/card"}}' AS line FROM (SELECT {_STATUS} AS s FROM found)""")
+
+
+@query()
+def verify_json_lines(spark, d):
+    return reports.verify_lines(reconcile.verify(a.files(spark, d), a.disk(spark, d)))
+
+
+ORACLES["verify_json_lines"] = _sql("files", "disk", ctes=_VERIFY, body="""SELECT '{"event":"verify_item_finished","path":"' || path || '","status":"' || result || '"' || CASE result WHEN 'size_mismatch' THEN ',"details":{"expected":' || fs || ',"actual":' || ds || '}' WHEN 'hash_mismatch' THEN ',"details":{"algorithm":"' || CASE WHEN f_s IS NOT NULL THEN 'Secure' ELSE 'Fast' END || '"}' ELSE '' END || '}' AS line FROM v""")
+
+
+@query()
+def verify_summary_json_line(spark, d):
+    return reports.summary_line(reconcile.verify_summary(reconcile.verify(a.files(spark, d), a.disk(spark, d))), "verify_summary")
+
+
+ORACLES["verify_summary_json_line"] = _sql("files", "disk", ctes=_VERIFY, body="""SELECT '{"event":"verify_summary","total":' || count(*) || """ + " || ".join(f"""',"{k}":' || count(*) FILTER (result = '{k}')""" for k in reconcile.VERIFY) + """ || ',"failed":' || count(*) FILTER (result NOT IN ('ok', 'hash_not_available')) || '}' AS line FROM v""")
+
+
+@query("items", sql="""SELECT '{"event":"history_items_item","session_id":"' || session_id || '","src_path":"' || src_path || '","dest_path":"' || coalesce(dest_path, '') || '","status":"' || coalesce(status, 'added') || '","size":' || size || ',"mtime_ms":' || mtime_ms || '}' AS line FROM items""")
+def history_items_json_lines(spark, d):
+    return reports.item_lines(events.items(a.manifest_items(spark, d)))
+
+
+@query("items", sql="""SELECT '{"event":"history_items_finished","summary":{"total":' || count(*) || ',"returned":' || least(count(*), 50) || '}}' AS line FROM items""")
+def history_items_finished_line(spark, d):
+    return reports.page_line(events.page_info(a.manifest_items(spark, d)), "history_items_finished")
+
+
+ORACLES["history_sessions_json_lines"] = with_relations("session_events", body=f", {_SESSIONS} SELECT '{{\"event\":\"history_sessions_item\",\"session_id\":\"' || session_id || '\",\"session_type\":\"' || session_type || '\",\"source\":\"' || source || '\",\"started_at_ms\":' || occurred_at || ',\"total_files\":' || total_files || ',\"added\":' || added || ',\"duplicate\":' || duplicate || ',\"failed\":' || failed || ',\"skipped\":' || skipped || '}}' AS line FROM s").replace(")\n, s AS", "),\ns AS")
+
+
+@query()
+def history_sessions_json_lines(spark, d):
+    return reports.session_lines(events.sessions(a.session_events(spark, d)))
+
+
 ENTRY = dedup_first_wins
