@@ -149,6 +149,10 @@ class WordCachedEncoder:
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 and splits[0]["pattern"] == {"Regex": SPLIT} and not spec.get("post_processor")
+        if self.by_word:
+            # the same model without normalizer and split, which the pieces have had
+            bare = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] != "Split"]}}
+            self.pieces_tok = Tokenizer.from_str(json.dumps(bare))
         self.marks = tuple(x["content"] for x in spec.get("added_tokens") or [])
         self.plain = re.compile("[\t-\r\x20-~À-įı-ſ]*").fullmatch
         self.pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+").findall
@@ -160,21 +164,21 @@ class WordCachedEncoder:
         words: set[str] = set()
         for _, own in cut:
             words.update(own)
-        unseen = words - self.known.keys()
+        unseen = words.difference(self.known)
         if len(self.known) + len(unseen) > CACHED_WORDS:
             self.older, self.known, unseen = self.known, {}, words
-        if again := unseen & self.older.keys():
-            self.known.update((w, self.older[w]) for w in again)
-        self._learn(sorted(unseen - again))
+        again = {w: x for w in unseen if (x := self.older.get(w)) is not None}
+        self.known.update(again)
+        self._learn([w for w in unseen if w not in again])
 
     def _learn(self, words: list[str]) -> None:
+        """Encodes pieces by the library's model; what comes before the model is done to them already."""
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
-            enc = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            got: list[list[int]] = [[] for _ in part]
-            for i, w in zip(enc.ids, enc.word_ids, strict=True):
-                got[w].append(i)
-            self.known.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(part, got, strict=True))
+            enc = self.pieces_tok.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, of = np.array(enc.ids, "<u4").tobytes(), np.array(enc.word_ids, np.int64)
+            bounds = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
+            self.known.update(zip(part, [ids[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian u32."""
