@@ -15,8 +15,9 @@ equal ones must share, and then each group's suffixes are sorted:
    two suffixes by binary search over prefix polynomial hashes. Neighbours that agree for LENGTH
    bytes are verified byte by byte. The first of equals stays.
 
-Removed bytes are the union of what is covered. Nothing is capped: an anchor with more classes than
-one task should hold has its strings grouped by their bytes in a distributed aggregation instead.
+Removed bytes are the union of what is covered. Nothing is capped: an anchor with many classes has its
+strings dealt out by their offset from it, and one with more than a task should hold has them grouped
+by their bytes in a distributed aggregation instead.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from ..session import arrow_map
 from .common import byte_table, mix64, prefix_hashes, read_table, shuffle_parts, span_hashes, utf8_blocks, written
 
 LENGTH, ANCHOR = 100, 32
-#: Bytes that are hashed at a time; runs whose suffixes are sorted together; most runs of an anchor.
-SEGMENT, CHUNK_RUNS, MOST_RUNS = 1 << 20, 6_000, 40_000
+#: Bytes that are hashed at a time; runs whose suffixes are sorted together; runs of an anchor from which its
+#: strings are dealt out by their offsets, SLICE at a time, and from which they are grouped by their bytes.
+SEGMENT, CHUNK_RUNS, HEAVY_RUNS, SLICE, MOST_RUNS = 1 << 20, 6_000, 1_000, 8, 40_000
 _CODE = byte_table(41)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -304,7 +306,7 @@ def _sorter(length: int, chunk_runs: int):
 # --- the operator --------------------------------------------------------------------------------
 
 
-def covered_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_runs: int = MOST_RUNS, chunk_runs: int = CHUNK_RUNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def covered_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, heavy_runs: int = HEAVY_RUNS, most_runs: int = MOST_RUNS, chunk_runs: int = CHUNK_RUNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, first, more: strings of length bytes that start at first to first + more and also start earlier."""
     if not 8 <= anchor <= length or length - anchor > 200:
         raise ValueError("the anchor must be 8 bytes at least, and at most 200 shorter than the string")
@@ -314,15 +316,27 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     runs = runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc", "pos")
     classed = written(arrow_map(runs, _classer, _RUNS), "runs")
     firsts = classed.where("anchor is not null")
-    crowded = written(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_runs).select("anchor"), "crowded")
-    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "offset", "more")).alias("runs"))
-    cut = f"transform(runs, r -> named_struct('anchor', r.anchor, 'first', r.first, 'offset', r.offset, 'more', r.more, 'bytes', substring(bytes, cast(r.first as int) + 1, r.more + {length})))"
+    crowded = written(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_runs), "crowded")
+    # 0: sorted as one group; 1: its strings are dealt out by their offset; 2: grouped by their bytes
+    level = F.when(F.col("n") > most_runs, 2).when(F.col("n").isNotNull(), 1).otherwise(0)
+    none = crowded.isEmpty()
+    firsts = firsts.withColumn("level", F.lit(0)) if none else firsts.join(crowded, "anchor", "left").withColumn("level", level).drop("n")
+    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "offset", "more", "level")).alias("runs"))
+    cut = f"transform(runs, r -> named_struct('anchor', r.anchor, 'first', r.first, 'offset', r.offset, 'more', r.more, 'level', r.level, 'bytes', substring(bytes, cast(r.first as int) + 1, r.more + {length})))"
     fetched = rows.join(wanted, "doc").select("doc", "runs", F.col("text").cast("binary").alias("bytes")).select("doc", F.explode(F.expr(cut)).alias("r"))
-    fetched = fetched.select("r.anchor", "doc", "r.first", "r.offset", "r.more", "r.bytes")
+    fetched = fetched.select("doc", "r.anchor", "r.first", "r.offset", "r.more", "r.level", "r.bytes")
     few, extra = fetched, None
-    if not crowded.isEmpty():
-        few = fetched.join(crowded, "anchor", "left_anti")
-        many = fetched.join(crowded, "anchor", "left_semi").withColumn("t", F.explode(F.expr("sequence(0, more)")))
+    if not none:
+        # Strings at different offsets from the anchor are never equal, so SLICE offsets make a group.
+        part = f"""transform(sequence(cast((offset - more) div {SLICE} as int), cast(offset div {SLICE} as int)), s -> named_struct(
+            's', s, 'high', least(offset, s * {SLICE} + {SLICE - 1}), 'low', greatest(offset - more, s * {SLICE})))"""
+        parts_of = F.when(F.col("level") == 0, F.expr("array(named_struct('s', -1, 'high', offset, 'low', offset - more))")).otherwise(F.expr(part))
+        few = fetched.where("level < 2").withColumn("p", F.explode(parts_of))
+        few = few.select(
+            F.xxhash64("anchor", "p.s").alias("anchor"), "doc", F.expr("first + offset - p.high").alias("first"), F.expr("p.high").alias("offset"),
+            F.expr("p.high - p.low").alias("more"), F.expr(f"substring(bytes, offset - p.high + 1, p.high - p.low + {length})").alias("bytes"),
+        )
+        many = fetched.where("level = 2").withColumn("t", F.explode(F.expr("sequence(0, more)")))
         many = many.select("doc", (F.col("first") + F.col("t")).alias("first"), F.expr(f"substring(bytes, t + 1, {length})").alias("string"))
         least = many.groupBy("string").agg(F.min(F.struct("doc", "first")).alias("lead"))
         extra = many.join(least, "string").where("doc <> lead.doc or first <> lead.first").select("doc", "first", F.lit(0).alias("more"))
