@@ -156,75 +156,109 @@ class Group:
                 self.shingles.append(own)
                 self.sketches.append(sketches[k - 1])
 
-    def links(self, across: bool) -> list[tuple[int, int]]:
-        """across: pairs of one part are compared elsewhere, and only others count here."""
-        n, root, found = len(self.ids), list(range(len(self.ids))), []
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        sizes = np.array([len(s) for s in self.shingles])
-        orders: dict[int, np.ndarray] = {}
-        tried: set[int] = set()
-        if not n:
-            return found
-        flat = np.stack(self.sketches)
-        rank = np.lexsort((self.ids,)) if n else np.zeros(0, np.int64)
-        place = np.empty(n, np.int64)
-        place[rank] = np.arange(n)
-        for j in range(flat.shape[1]):
-            order = np.lexsort((place, flat[:, j]))
-            v = flat[order, j]
-            cuts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]]))
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e - s < 2:
-                    continue
-                bucket = order[s:e]
-                for t in range(1, len(bucket)):
-                    x = int(bucket[t])
-                    earlier = bucket[:t]
-                    near = earlier[(sizes[earlier] * self.threshold <= sizes[x]) & (sizes[x] * self.threshold <= sizes[earlier])]
-                    for y in near.tolist():
-                        rx, ry = find(x), find(y)
-                        if rx == ry or across and self.parts[x] == self.parts[y]:
-                            continue
-                        pair = x * n + y
-                        if pair in tried:
-                            continue
-                        tried.add(pair)
-                        if y not in orders:
-                            orders[y] = np.argsort(self.shingles[y])
-                        if similarity(self.shingles[y], self.shingles[x], self.threshold, orders[y]):
-                            root[max(rx, ry, key=lambda z: self.ids[z])] = min(rx, ry, key=lambda z: self.ids[z])
-                            found.append((self.ids[x], self.ids[y]))
+    def links(self, across: bool, stars: bool = False) -> list[tuple[int, int]]:
+        """Links that connect what is similar. across: pairs of one part are compared elsewhere, and only others
+        count here. stars: instead of links, (id, smallest id of its component) for all but the smallest.
+
+        Texts come one by one, by id. Each is held against earlier texts that share a sketch with it and
+        aren't in its component yet: first against those with most links, since copies link to what they were
+        copied from; then all others, of which a bound on the common shingles rules out most at once.
+        """
+        n, found = len(self.ids), []
+        order = np.argsort(np.array(self.ids, np.int64), kind="stable")
+        ids = np.array(self.ids, np.int64)[order]
+        shingles, part = [self.shingles[k] for k in order], np.array(self.parts, np.int64)[order]
+        sizes = np.array([len(s) for s in shingles], np.int64)
+        comp, members, degree = np.arange(n), {}, np.zeros(n, np.int64)
+        sorts: dict[int, np.ndarray] = {}
+        buckets: dict[int, list] = {}  # sketch -> [texts so far, how many, the one with most links]
+
+        def test(x: int, y: int) -> bool:
+            if y not in sorts:
+                sorts[y] = np.argsort(shingles[y])
+            if not similarity(shingles[y], shingles[x], self.threshold, sorts[y]):
+                return False
+            degree[[x, y]] += 1
+            found.append((int(ids[x]), int(ids[y])))
+            one, two = comp[x], comp[y]
+            a, b = members.pop(one, [x]), members.pop(two, [y])
+            if len(a) < len(b):
+                a, b, one, two = b, a, two, one
+            comp[b] = one
+            a.extend(b)
+            members[one] = a
+            return True
+
+        def open_(x: int, y: np.ndarray) -> np.ndarray:
+            y = y[comp[y] != comp[x]]
+            y = y[(sizes[y] * self.threshold <= sizes[x]) & (sizes[x] * self.threshold <= sizes[y])]
+            return y[part[y] != part[x]] if across else y
+
+        for x in range(n):
+            own = [buckets.setdefault(v, [np.empty(2, np.int64), 0, -1]) for v in self.sketches[order[x]].tolist()]
+            hubs = sorted({b[2] for b in own if b[1]}, key=lambda y: -degree[y])
+            tested = []
+            for y in hubs:
+                if len(open_(x, np.array([y]))):
+                    tested.append(y)
+                    test(x, y)
+            rest = [r for b in own if b[1] and len(r := open_(x, b[0][: b[1]]))]
+            if rest:
+                rest = np.setdiff1d(np.concatenate(rest), tested)
+                rest = self._plausible(shingles, sizes, x, rest)
+                while len(rest):
+                    y = int(rest[np.argmax(degree[rest])])
+                    rest = rest[rest != y]
+                    if test(x, y):
+                        rest = open_(x, rest)
+            for b in own:
+                if b[1] == len(b[0]):
+                    b[0] = np.concatenate([b[0], np.empty(len(b[0]), np.int64)])
+                b[0][b[1]] = x
+                b[1] += 1
+                if b[2] < 0 or degree[x] > degree[b[2]]:
+                    b[2] = x
+        if stars:
+            return [(int(ids[k]), int(ids[least])) for own in members.values() for least in (min(own),) for k in own if k != least]
         return found
 
+    def _plausible(self, shingles, sizes, x: int, rest: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """Those of rest that have enough of x's shingles to be similar, in whatever order."""
+        mine, keep, at = np.sort(shingles[x]), [], 0
+        while at < len(rest):
+            end = at + max(1, int(np.searchsorted(np.cumsum(sizes[rest[at:]]), most)))
+            some = rest[at:end]
+            flat = np.concatenate([shingles[y] for y in some])
+            spot = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            m = np.add.reduceat((mine[spot] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
+            keep.append(some[m >= self.threshold * (sizes[some] + sizes[x] - m)])
+            at = end
+        return np.concatenate(keep) if keep else rest
+
 
 def _linker(threshold: float):
     def run(batches):
         key, group = None, None
 
         def done():
-            found = group.links(across=key[1] != key[2])
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+            whole = key[3] == 1
+            found = group.links(across=key[1] != key[2], stars=whole)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.array([whole] * len(found), pa.bool_())], names=["a", "b", "whole"])
 
         for batch in batches:
-            gids, p1, p2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            ids, parts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            change = np.flatnonzero((gids[1:] != gids[:-1]) | (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])) + 1
-            cuts = [0, *change.tolist(), len(gids)]
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
+            ids, parts = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            cuts = [0, *change.tolist(), len(ids)]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if s == e:
                     continue
-                own = (int(gids[s]), int(p1[s]), int(p2[s]))
+                own = tuple(keys[:, s].tolist())
                 if own != key:
                     if group is not None:
                         yield done()
                     key, group = own, Group(threshold)
-                group.add(ids[s:e], parts[s:e], batch.column(5).slice(s, e - s))
+                group.add(ids[s:e], parts[s:e], batch.column(6).slice(s, e - s))
         if group is not None:
             yield done()
 
@@ -254,11 +288,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     members = members.join(sizes, "comp")
     members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.select("node", "part", F.col("comp").alias("gid"), F.least("part", "other").cast("int").alias("p1"), F.greatest("part", "other").cast("int").alias("p2"))
-    fetched = rows.join(dealt, F.col("id") == F.col("node")).select("gid", "p1", "p2", "id", "part", "text")
+    dealt = dealt.select("node", "part", F.col("comp").alias("gid"), F.least("part", "other").cast("int").alias("p1"), F.greatest("part", "other").cast("int").alias("p2"), "parts")
+    fetched = rows.join(dealt, F.col("id") == F.col("node")).select("gid", "p1", "p2", "parts", "id", "part", "text")
     grouped = fetched.repartition(shuffle_parts(docs.sparkSession), "gid", "p1", "p2").sortWithinPartitions("gid", "p1", "p2", "id")
-    links = arrow_map(grouped, _linker(threshold), "a bigint, b bigint")
-    classes = components(links)
+    # A group that one task has seen whole is done; links of groups in parts go on to their components.
+    links = written(arrow_map(grouped, _linker(threshold), "a bigint, b bigint, whole boolean"), "links")
+    classes, open_ = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("comp")), links.where("not whole").select("a", "b")
+    if not open_.isEmpty():
+        classes = classes.unionAll(components(open_))
     by_text = texts.select("c1", "c2", "rep").join(classes.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("c1", "c2", F.coalesce("comp", "rep").alias("class"))
     alone = staged.where("id is null or n = 0").select("id", F.col("id").alias("class"))
     out = named.join(by_text, ["c1", "c2"]).select("id", "class").unionAll(alone)
