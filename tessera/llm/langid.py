@@ -7,6 +7,7 @@ scored by its longest character n-grams that they do have, down to single letter
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from .common import read_table
 
 #: Bounds of the model: training documents a language (in expectation), words and n-grams kept in all.
 TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 3_000, 40_000, 60_000
-LONGEST, LEAST, EVIDENCE, CACHED = 5, 3, 12.0, 300_000
+LONGEST, LEAST, EVIDENCE, CACHED = 5, 3, 12.0, 250_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -89,27 +90,45 @@ class Scorer:
         self.langs, self.words, self.grams, self.vectors = model["langs"], model["words"], model["grams"], model["vectors"]
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.langs)), np.float32)
+        self.older, self.older_rows = self.cache, self.rows
 
-    def vector(self, word: str) -> np.ndarray:
-        """Log frequencies by language: the word's own, or its longest known n-grams' mean."""
+    def evidence(self, word: str) -> list[int]:
+        """Rows of the model that speak for a word: its own, or those of its longest known n-grams."""
         i = self.words.get(word)
         if i is not None:
-            return self.vectors[i]
+            return [i]
         get = self.grams.get
-        for n in range(LONGEST, 0, -1):
+        for n in range(min(LONGEST, len(word) + 2), 0, -1):
             found = [i for g in grams_of(word, n) if (i := get(g)) is not None]
             if found:
-                return self.vectors[found].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return found
+        return []
+
+    def vectors_of(self, words: list[str]) -> np.ndarray:
+        """Mean log frequencies of each word's evidence, by language; 0 without any."""
+        own = [self.evidence(w) for w in words]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        out = np.zeros((len(own), len(self.langs)), np.float32)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = self.vectors[np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum()))]
+            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+            out[some] = np.add.reduceat(flat, starts, axis=0) / sizes[some, None]
+        return out
 
     def _learn(self, words: set[str]) -> None:
-        unseen = words - self.cache.keys()
+        """Puts the vectors of all words into the cache; older is the generation before it."""
+        unseen = words.difference(self.cache)
         if len(self.cache) + len(unseen) > CACHED:
+            self.older, self.older_rows = self.cache, self.rows
             self.cache, self.rows, unseen = {}, self.rows[:0], words
         if unseen:
+            known = [w for w in unseen if w in self.older]
+            fresh = [w for w in unseen if w not in self.older]
+            again = self.older_rows[np.fromiter(map(self.older.__getitem__, known), np.int64, len(known))]
             first = len(self.cache)
-            self.rows = np.concatenate([self.rows[:first], np.stack([self.vector(w) for w in unseen])])
-            self.cache.update((w, first + i) for i, w in enumerate(unseen))
+            self.rows = np.concatenate([self.rows, again, self.vectors_of(fresh)])
+            self.cache.update(zip([*known, *fresh], range(first, first + len(unseen)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         cut = [[w for w in WORD.findall((t or "").lower())] for t in texts]
