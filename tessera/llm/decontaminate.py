@@ -1,25 +1,29 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: shared words as an exact filter, then Smith-Waterman alignment.
 
-Of every WINDOW consecutive n-grams of a test item, the one that is rarest over all training documents
-is a seed, so any run of NGRAM + WINDOW - 1 unedited words holds one, however common the item's words
-are and however often it has leaked. Where a seed occurs in a document, the passage around it is aligned
-with the item, word by word; the score is the alignment's share of the item's best possible score.
+Every stretch of a document is compared with every test item by the words that they share; where these leave
+a score of the threshold possible, the stretch is aligned with the item, word by word. The score is the
+alignment's share of the item's best possible score. The filter is a bound, so no passage is lost, whichever
+words were edited; items of up to WHOLE words must occur unedited.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import arrow_map
-from .common import read_table, shingle_hashes, word_blocks
+from .common import read_table, word_blocks
 
-NGRAM, WINDOW, THRESHOLD = 3, 4, 0.5
+WHOLE, THRESHOLD = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items are held in blocks of at most so many words; each block is one pass over the documents.
 BLOCK_WORDS = 2_000_000
+#: Counts of stretches by items that are held at once.
+CELLS = 1_000_000
 _BITS = 20
 
 
@@ -65,93 +69,113 @@ class _Bits:
         return at[same], index[same]
 
 
-def _grams(words: np.ndarray) -> np.ndarray:
-    """An item's n-grams; an item of fewer words than NGRAM is one n-gram."""
-    return shingle_hashes(words, min(NGRAM, len(words)))
-
-
-def _block_grams(words: np.ndarray, bounds: np.ndarray, sizes: list[int]):
-    """(n-gram size, hashes, rows) of a block of documents, for each size that the items have."""
-    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    for k in sizes:
-        hashes = shingle_hashes(words, k)
-        whole = rows[: len(hashes)] == rows[k - 1 :][: len(hashes)]
-        yield k, hashes, rows[: len(hashes)], whole
-
+class _Class:
+    """Items of similar length, with a bound on how much of each a stretch of text can hold.
 
-def _counter(shared):
-    def run(batches):
-        known, sizes = shared.value
-        found = _Bits(known)
-        for batch in batches:
-            total = np.zeros(len(found.values), np.int64)
-            for _, words, bounds in word_blocks(batch.column(0)):
-                for _, hashes, rows, whole in _block_grams(words, bounds, sizes):
-                    at, index = found.find(hashes)
-                    at, index = at[whole[at]], index[whole[at]]
-                    pairs = np.unique(rows[at] * len(found.values) + index)
-                    total += np.bincount(pairs % max(len(found.values), 1), minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(found.values[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
+    A passage that scores share t of an item of n words has at least t * n of them and is at most
+    (3 - 2 * t) * n words long: each word beyond a match costs a point. Texts are cut into stretches of that
+    length, so a passage lies within two that follow each other, and both must have t * n of the item's words.
+    """
 
-    return run
+    def __init__(self, items: list[tuple[int, np.ndarray]], least: dict[int, float], threshold: float):
+        self.ids = np.array([i for i, _ in items])
+        longest = max(len(w) for _, w in items)
+        self.step = max(longest, math.ceil(longest * (3 - 2 * threshold)))
+        self.words = np.array([math.ceil(least[i] * len(w) - 1e-9) for i, w in items])
+        self.score = np.array([math.ceil(least[i] * MATCH * len(w) - 1e-9) for i, w in items])
+        own = [np.unique(w, return_counts=True) for _, w in items]
+        self.bits = _Bits(np.concatenate([w for w, _ in own]))
+        at = np.concatenate([np.searchsorted(self.bits.values, w) for w, _ in own])
+        order = np.argsort(at, kind="stable")
+        self.item = np.repeat(np.arange(len(own)), [len(w) for w, _ in own])[order]
+        self.times = np.concatenate([n for _, n in own])[order]
+        self.first = np.searchsorted(at[order], np.arange(len(self.bits.values) + 1))
+
+    def stretches(self, words: np.ndarray, bounds: np.ndarray):
+        """(row, item's index, start, end) of each two stretches that may hold a passage; ordered by row, item and start."""
+        at, word = self.bits.find(words)
+        if not len(at):
+            return
+        codes = np.full(len(words) + 1, len(self.bits.values), np.int64)
+        codes[at] = word
+        # what a word adds to an item's score at most; the last row is for words that no item has
+        points = np.full((len(self.bits.values) + 1, len(self.ids)), MISMATCH, np.int8)
+        points[np.repeat(np.arange(len(self.bits.values)), np.diff(self.first)), self.item] = MATCH
+        # a row's stretches are numbered from base on, and an empty one follows them
+        base = np.concatenate([[0], np.cumsum(-(-np.diff(bounds) // self.step) + 1)])
+        rows = np.searchsorted(bounds, at, side="right") - 1
+        keys, n = np.unique((base[rows] + (at - bounds[rows]) // self.step) * len(self.bits.values) + word, return_counts=True)
+        stretch, word = keys // len(self.bits.values), keys % len(self.bits.values)
+        size = max(1, CELLS // len(self.ids))
+        found = []
+        for low in range(0, int(base[-1]), size):
+            high = min(low + size, int(base[-1])) + 1  # one more, to be added to the one before it
+            lo, hi = np.searchsorted(stretch, (low, high))
+            begin, many = self.first[word[lo:hi]], np.diff(self.first)[word[lo:hi]]
+            flat = np.arange(many.sum()) + np.repeat(begin - np.cumsum(many) + many, many)
+            cell = np.repeat((stretch[lo:hi] - low) * len(self.ids), many) + self.item[flat]
+            held = np.bincount(cell, np.minimum(self.times[flat], np.repeat(n[lo:hi], many)), (high - low) * len(self.ids)).reshape(high - low, -1)
+            k, item = np.nonzero(held[:-1] + held[1:] >= self.words)
+            rows = np.searchsorted(base, k + low, side="right") - 1
+            start = bounds[rows] + (k + low - base[rows]) * self.step
+            end = np.minimum(start + 2 * self.step, bounds[rows + 1])
+            at = np.flatnonzero(start < end)
+            for part in np.array_split(at, len(at) * 2 * self.step // CELLS + 1):
+                part = part[self._best(codes, points, start[part], end[part], item[part]) >= self.score[item[part]]]
+                found += zip(rows[part].tolist(), self.ids[item[part]].tolist(), start[part].tolist(), end[part].tolist(), strict=True)
+        yield from sorted(found)
+
+    def _best(self, codes: np.ndarray, points: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """No alignment can score more: an item's words count as matches in any order, others as edits."""
+        at = start + np.arange(2 * self.step)[:, None]
+        at = np.where(at < end, at, len(codes) - 1)
+        sums = np.zeros((len(at) + 1, len(start)), np.int32)
+        np.cumsum(points[codes[at], item], axis=0, out=sums[1:])
+        return (sums - np.minimum.accumulate(sums, axis=0)).max(axis=0, initial=0)
 
 
 class _Aligner:
-    def __init__(self, items: list[tuple[object, np.ndarray]], seeds: dict[int, list[tuple[int, int]]], threshold: float):
-        self.items, self.threshold = items, threshold
-        self.bits = _Bits(np.array(list(seeds), np.uint64))
-        self.spots = [seeds[int(v)] for v in self.bits.values]
-        self.sizes = sorted({min(NGRAM, len(w)) for _, w in items})
-        self.words = [np.unique(w, return_counts=True) for _, w in items]
+    def __init__(self, items: list[tuple[object, np.ndarray]], threshold: float):
+        self.items = items
+        #: An item of up to WHOLE words must be there as it is: half of so few words is no copy.
+        self.least = {i: max(threshold, 1.0) if len(w) <= WHOLE else threshold for i, (_, w) in enumerate(items)}
+        # by length, and so few at once that words x items stay below 4 * CELLS
+        sizes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        seen: dict[int, int] = {}
+        for i, (_, w) in enumerate(items):
+            k = (len(w) - 1).bit_length()
+            seen[k] = seen.get(k, -1) + 1
+            sizes.setdefault((k, seen[k] // max(1, math.isqrt(4 * CELLS >> k))), []).append((i, w))
+        self.classes = [_Class(own, self.least, threshold) for _, own in sorted(sizes.items())]
 
     def hits(self, texts: pa.Array):
         """(row, item's index, score, first word, end word) of all passages that reach the threshold."""
         for first, words, bounds in word_blocks(texts):
-            regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for _, hashes, rows, whole in _block_grams(words, bounds, self.sizes):
-                at, index = self.bits.find(hashes)
-                for q, v in zip(at[whole[at]], index[whole[at]], strict=True):
-                    r = int(rows[q])
-                    for item, p in self.spots[v]:
-                        n = len(self.items[item][1])
-                        slack = n // 2 + 2
-                        start, end = max(int(bounds[r]), int(q) - p - slack), min(int(bounds[r + 1]), int(q) - p + n + slack)
-                        regions.setdefault((r, item), []).append((start, end))
-            for (r, item), spans in sorted(regions.items()):
-                spans.sort()
-                merged = [list(spans[0])]
-                for s, e in spans[1:]:
-                    if s <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
+            regions: dict[tuple[int, int], list[list[int]]] = {}
+            for own in self.classes:
+                for r, item, start, end in own.stretches(words, bounds):
+                    spans = regions.setdefault((r, item), [])
+                    if spans and start <= spans[-1][1]:
+                        spans[-1][1] = end
                     else:
-                        merged.append([s, e])
+                        spans.append([start, end])
+            for (r, item), spans in sorted(regions.items()):
                 best = (0.0, 0, 0)
-                for s, e in merged:
-                    passage = words[s:e]
-                    if self._bound(item, passage) < self.threshold:
-                        continue
-                    score, a, b = align(self.items[item][1], passage)
+                for s, e in spans:
+                    score, a, b = align(self.items[item][1], words[s:e])
                     if score > best[0]:
                         best = (score, s + a - int(bounds[r]), s + b - int(bounds[r]))
-                if best[0] >= self.threshold:
+                if best[0] >= self.least[item]:
                     yield first + r, item, *best
 
-    def _bound(self, item: int, passage: np.ndarray) -> float:
-        """No alignment can score more: the share of the item's words that the passage has."""
-        words, n = self.words[item]
-        have, m = np.unique(passage, return_counts=True)
-        at = np.minimum(np.searchsorted(have, words), len(have) - 1)
-        return float(np.where(have[at] == words, np.minimum(m[at], n), 0).sum() / n.sum())
-
 
 _HITS = "item_id {kind}, score double, first_word bigint, end_word bigint"
 
 
 def _finder(shared, kind):
     def run(batches):
-        items, seeds, threshold = shared.value
-        aligner = _Aligner(items, seeds, threshold)
+        items, threshold = shared.value
+        aligner = _Aligner(items, threshold)
         for batch in batches:
             rows, cols = [], [[], [], [], []]
             for row, item, score, start, end in aligner.hits(batch.column(1)):
@@ -166,8 +190,8 @@ def _finder(shared, kind):
 
 def _cleaner(shared, at: int):
     def run(batches):
-        items, seeds, threshold = shared.value
-        aligner = _Aligner(items, seeds, threshold)
+        items, threshold = shared.value
+        aligner = _Aligner(items, threshold)
         for batch in batches:
             keep = np.ones(len(batch), bool)
             for row, *_ in aligner.hits(batch.column(at)):
@@ -192,27 +216,11 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
         yield block
 
 
-def choose_seeds(docs: DataFrame, items: list[tuple[object, np.ndarray]], text_col: str) -> dict[int, list[tuple[int, int]]]:
-    """Seed hash -> [(item's index, position)]: the rarest n-gram over all documents of every WINDOW."""
-    spark = docs.sparkSession
-    grams = [_grams(w) for _, w in items]
-    sizes = sorted({min(NGRAM, len(w)) for _, w in items})
-    shared = spark.sparkContext.broadcast((np.unique(np.concatenate(grams)), sizes))  # bounded: a block's n-grams
-    counted = arrow_map(docs.select(F.col(text_col).cast("string").alias("t")), _counter(shared), "gram bigint, n bigint")
-    counts = {r["gram"] & ((1 << 64) - 1): r["n"] for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    seeds: dict[int, list[tuple[int, int]]] = {}
-    for item, own in enumerate(grams):
-        rank = [(counts.get(int(g), 0), int(g)) for g in own]
-        for p in {min(range(s, min(s + WINDOW, len(rank))), key=lambda i: (rank[i], i)) for s in range(max(1, len(rank) - WINDOW + 1))}:
-            seeds.setdefault(rank[p][1], []).append((item, p))
-    return seeds
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The passages that copy test items: id_col, item_id, score, first_word, end_word.
 
     A row a document and item whose best passage scores threshold or more; the passage is words
-    [first_word, end_word) of the document. Documents without such passage have no row. Null texts and
+    [first_word, end_word) of the document. An item of up to WHOLE words needs a score of 1. Documents without such passage have no row. Null texts and
     texts or items without words match nothing; repeated documents and items are reported each; empty
     tables on either side give an empty result; other columns are not read.
     """
@@ -224,7 +232,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     schema = f"id {dict(rows.dtypes)['id']}, " + _HITS.format(kind=item_type.simpleString())
     out = spark.createDataFrame([], schema)
     for k, items in enumerate(_blocks(benchmark, item_col, item_text_col, block_words)):
-        shared = spark.sparkContext.broadcast((items, choose_seeds(rows, items, "text"), threshold))
+        shared = spark.sparkContext.broadcast((items, threshold))
         found = arrow_map(rows, _finder(shared, to_arrow_type(item_type)), schema)
         out = out.unionByName(found) if k else found
     return out.withColumnRenamed("id", id_col)
@@ -235,7 +243,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
     for items in _blocks(benchmark, item_col, item_text_col, block_words):
-        shared = spark.sparkContext.broadcast((items, choose_seeds(docs, items, text_col), threshold))
+        shared = spark.sparkContext.broadcast((items, threshold))
         docs = arrow_map(docs, _cleaner(shared, at), docs.schema)
     return docs
 

@@ -276,6 +276,25 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_edited_leaks_against_brute_force(spark):
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(800)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [text(rng.randint(13, 60)) for _ in range(12)]
+    docs = [*items, *[text(n) for n in (0, 1, 200, 3000)]]  # exact leaks elsewhere don't make a word rare
+    for n in (3, 4, 5, 6):
+        for x in items:
+            docs.append(f"{text(rng.randint(0, 300))} {' '.join(f'new{i}' if i % n == n - 1 else w for i, w in enumerate(x.split()))} {text(rng.randint(0, 300))}")
+    for x in items:
+        docs.append(f"{text(50)} {' '.join(f'{w} more' if i % 2 else w for i, w in enumerate(x.split()))} {text(50)}")
+        docs.append(f"{text(50)} {' '.join(w for i, w in enumerate(x.split()) if i % 4)} {text(50)}")
+    cut = lambda t: next((w for _, w, _ in word_blocks(pa.array([t]))), np.zeros(0, np.uint64))
+    want = {(d, i): s for d, t in enumerate(docs) for i, x in enumerate(items) if (s := decontaminate.align(cut(x), cut(t))[0]) >= decontaminate.THRESHOLD}
+    found = decontaminate.find_leaks(frame(spark, list(enumerate(docs))), frame(spark, list(enumerate(items)), "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == want and len(found) == len({(r.doc_id, r.item_id) for r in found})
+    assert len(want) > 6 * len(items)
+
+
 def test_smith_waterman_against_plain():
     rng = np.random.default_rng(6)
     for _ in range(200):
