@@ -17,6 +17,9 @@ around them stays as it is.
 A digit string of radix r is a Feistel network with ROUNDS rounds on its two halves: each digit of one
 half is shifted, modulo r, by a digit drawn from SHA-256 of the key, the kind, the round and the other
 half. Days are split as 773 x 189, which is exactly the cycle's 146,097 days.
+
+Numbers next to a card belong to the same run of digit groups; the card is the part of whole groups that passes
+the test (see cut_sql). An IBAN ends where its country's length says, or after the last group with which it holds.
 """
 
 from __future__ import annotations
@@ -31,12 +34,20 @@ ALNUM = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 EMAIL = r"[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![0-9A-Za-z])"
+#: Characters of an IBAN by country.
+LENGTHS = {
+    15: "NO", 16: "BE BI", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BF BJ CF CG CI CM FR GR IT MC MG ML MR NE SM SN", 28: "AL AZ BY CY DO DZ GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in LENGTHS.items())
+IBAN = rf"(?<![0-9A-Za-z])(?:(?:{_KNOWN})|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,4}})?)(?![0-9A-Za-z])"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d]|[./-]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
-CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d)"
+#: A run of digit groups of any length, up to where a value of another form begins; cards are parts of it.
+CARD = rf"(?<![\d.-])(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{PHONE}|{SSN}|{DATE})\d++)*+"
 ANY = "|".join([EMAIL, SECRET, IBAN, IPV4, DATE, SSN, PHONE, CARD])
 
 
@@ -89,6 +100,43 @@ def _day(expr: str, key: str) -> str:
     return _let(expr, inner, "d")
 
 
+def cut_sql(value: str) -> str:
+    """SQL: the parts of a string that ANY matched, of which pseudonym_sql() takes each by itself.
+
+    Of a run of digit groups, the cards are parts: first single groups and groups as cards are printed, then parts
+    of groups of four digits or more and the first 13 to 19 digits; longer ones first, then from the left.
+    """
+    digits = "regexp_replace(array_join(slice(g, i, j - i + 1), ''), '[^0-9]', '')"
+    form = "array_join(transform(slice(g, i, j - i + 1), x -> cast(length(regexp_replace(x, '[^0-9]', '')) as string)), '-')"
+    rank = f"""case when i = j or f in ('4-4-4-4', '4-6-5', '4-6-4') then 0
+        when f rlike '^([4-9]|1[0-9])(-([4-9]|1[0-9]))*$' or f rlike '^4-4-4(-4)?-[1-3]$' then 1
+        when i = 1 and (j = size(g) or length(d) + length(regexp_replace(g[j], '[^0-9]', '')) > 19) then 2 end"""
+    one = _let(digits, f"""case when length(d) between 13 and 19 then {_let(form, f"named_struct('rank', {rank}, 'short', -length(d), 'i', i, 'j', j, 'd', d)", 'f')} end""", "d")
+    every = f"flatten(transform(sequence(1, size(g)), i -> transform(sequence(i, least(size(g), i + 18)), j -> {one})))"
+    good = f"array_sort(filter({every}, c -> c.rank is not null and {luhn_sum('c.d')} % 10 = 0))"
+    cards = f"""aggregate({good}, cast(array() as array<struct<i: int, j: int>>), (s, c) -> case when exists(s, x -> x.i <= c.j and c.i <= x.j) then s
+        else concat(s, array(named_struct('i', c.i, 'j', c.j))) end)"""
+    text = "array_join(slice(g, c.i, c.j - c.i + 1), '')"
+    parts = f"""filter(flatten(transform(sequence(1, size(g)), k -> case when exists(a, c -> c.i = k)
+        then element_at(transform(filter(a, c -> c.i = k), c -> array(regexp_replace({text}, '[ -]$', ''), regexp_extract({text}, '([ -]?)$', 1))), 1)
+        when exists(a, c -> c.i < k and k <= c.j) then cast(array() as array<string>) else array(g[k - 1]) end)), x -> x <> '')"""
+    run = _let(f"regexp_extract_all({value}, '([0-9]+[ -]?)', 1)", _let(cards, parts, "a"), "g")
+    short = f"filter(transform(sequence(size(g), 1), k -> array_join(slice(g, 1, k), ' ')), x -> {_iban_ok('x')})"
+    iban = _let(f"split({value}, ' ')", f"coalesce({_let(short, f'case when size(a) > 0 then filter(array(a[0], substr({value}, length(a[0]) + 1)), x -> length(x) > 0) end', 'a')}, array({value}))", "g")
+    taken = f"{value} rlike {_whole(f'{DATE}|{SSN}|{PHONE}')}"
+    return f"""case when {value} rlike '^[0-9]+[ -]' and not {value} rlike '[^0-9 -]' and not {taken} then {run}
+        when {value} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ]* ' then {iban} else array({value}) end"""
+
+
+_NUMERAL = "aggregate(sequence(1, length(w)), 0, (s, i) -> case when substr(w, i, 1) rlike '[0-9]' then (s * 10 + cast(substr(w, i, 1) as int)) % 97 else (s * 100 + ascii(substr(w, i, 1)) - 55) % 97 end)"
+
+
+def _iban_ok(value: str) -> str:
+    """SQL: whether a string has an IBAN's length and check digits."""
+    bare = f"replace({value}, ' ', '')"
+    return f"(length({bare}) between 15 and 34 and {_let(f'concat(substr({bare}, 5), substr({bare}, 1, 4))', f'{_NUMERAL} = 1', 'w')})"
+
+
 def pseudonym_sql(value: str, key: str = KEY) -> str:
     """SQL: struct(kind, text) for a string that ANY matched; kind is null where no validity test holds."""
     digits = f"regexp_replace({value}, '[^0-9]', '')"
@@ -102,9 +150,7 @@ def pseudonym_sql(value: str, key: str = KEY) -> str:
     email = _let(_let(local, feistel("w", "email", 36, key), "w"), f"concat({fill(f'''substring_index({value}, '@', 1)''', 'p', 'A-Za-z0-9')}, '@', substring_index({value}, '@', -1))", "p")
     secret = _let(f"lower({value})", feistel("w", "secret", 16, key), "w")
     secret = f"case when {value} rlike '[A-F]' then upper({secret}) else {secret} end"
-    numeral = "aggregate(sequence(1, length(w)), 0, (s, i) -> case when substr(w, i, 1) rlike '[0-9]' then (s * 10 + cast(substr(w, i, 1) as int)) % 97 else (s * 100 + ascii(substr(w, i, 1)) - 55) % 97 end)"
-    iban_ok = _let(f"concat(substr({bare}, 5), substr({bare}, 1, 4))", f"{numeral} = 1", "w")
-    check = "lpad(cast(98 - " + _let(f"concat(p, substr({bare}, 1, 2), '00')", numeral, "w") + " as string), 2, '0')"
+    check = "lpad(cast(98 - " + _let(f"concat(p, substr({bare}, 1, 2), '00')", _NUMERAL, "w") + " as string), 2, '0')"
     account = _let(_let(f"regexp_replace(substr({bare}, 5), '[^0-9]', '')", feistel("w", "iban", 10, key), "w"), fill(f"substr({bare}, 5)", "q", "0-9"), "q")
     iban = _let(account, _let(f"concat(substr({bare}, 1, 2), {check}, p)", fill(value, "q", "A-Z0-9"), "q"), "p")
     hexed = f"array_join(transform(split({value}, '[.]'), x -> lower(lpad(hex(cast(x as int)), 2, '0'))), '')"
@@ -124,7 +170,7 @@ def pseudonym_sql(value: str, key: str = KEY) -> str:
     return f"""case
         when {value} rlike {_whole(EMAIL)} then {pair('email', email)}
         when {value} rlike {_whole('[0-9a-f]{32,128}|[0-9A-F]{32,128}')} then {pair('secret', secret)}
-        when {value} rlike '^[A-Z][A-Z]' then case when length({bare}) between 15 and 34 and {iban_ok} then {pair('iban', iban)} end
+        when {value} rlike '^[A-Z][A-Z]' then case when {_iban_ok(value)} then {pair('iban', iban)} end
         when {value} rlike {_whole(r'[0-9]{1,3}([.][0-9]{1,3}){3}')} then case when {octets} then {pair('ipv4', address)} end
         when {value} rlike {_whole(r'[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[.][0-9]{2}[.][0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}')} then case when {iso} is not null then {pair('date', date)} end
         when {value} rlike {_whole(r'[0-9]{3}-[0-9]{2}-[0-9]{4}')} then case when {ssn_ok} then {pair('ssn', ssn)} end
@@ -143,9 +189,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     # Most texts have neither a digit nor an @: they pass a plain character test and no more.
     maybe = F.col("t").rlike("[0-9@]|[0-9a-f]{32}")
     hits = F.when(maybe, F.regexp_extract_all("t", F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("hits", hits)
+    rows = rows.withColumn("cuts", hits)
+    rows = rows.withColumn("cuts", F.expr(f"transform(cuts, v -> {cut_sql('v')})"))
+    rows = rows.withColumn("hits", F.flatten("cuts"))
     rows = rows.withColumn("new", F.expr(f"transform(hits, v -> {pseudonym_sql('v', key)})"))
-    gaps = F.split("t", ANY, -1)
+    # between the parts of a match is nothing
+    gaps = F.expr(f"concat(flatten(transform(cuts, (v, i) -> concat(array(split(t, {_q(ANY)}, -1)[i]), array_repeat('', size(v) - 1)))), array(element_at(split(t, {_q(ANY)}, -1), -1)))")
     rows = rows.withColumn("found", F.filter("new", lambda x: x.isNotNull()))
     swapped = F.expr("concat(gaps[0], array_join(transform(sequence(1, size(hits)), i -> concat(coalesce(new[i - 1].text, hits[i - 1]), gaps[i])), ''))")
     rows = rows.withColumn("gaps", F.when(F.size("found") > 0, gaps))

@@ -348,6 +348,36 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(frame(spark, [])).count() == 0
 
 
+def test_private_numbers_beside_others(spark):
+    card, iban = "4111111111111111", "AT611904300234573201"
+    spaced, grouped = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+    amex = "3782 822463 10005"
+    new = {c: p + str((10 - luhn(p + "0")) % 10) for c in (card, amex.replace(" ", "")) for p in [feistel(c[:-1], "card", 10)]}
+    four = lambda d: " ".join(d[i : i + 4] for i in range(0, len(d), 4))
+    account = feistel(iban[4:], "iban", 10)
+    safe = f"AT{98 - int(account + '102900') % 97:02d}{account}"
+    a, b, x, e = new[card], four(new[card]), new[amex.replace(" ", "")], four(safe)
+    cases = {
+        f"{spaced} 12/25": f"{b} 12/25", f"{card} 123": f"{a} 123", f"{card} 05/27": f"{a} 05/27", f"42 {card}": f"42 {a}", f"12 34 {spaced}": f"12 34 {b}",
+        f"1234 {spaced} 99.": f"1234 {b} 99.", f"{spaced} 123 {spaced}": f"{b} 123 {b}", f"{amex} 1234": f"{x[:4]} {x[4:10]} {x[10:]} 1234", f"{spaced.replace(' ', '-')}-7": f"{b.replace(' ', '-')}-7",
+        f"{grouped} BANK AG": f"{e} BANK AG", f"{iban} BANK AG": f"{safe} BANK AG", f"{grouped} {spaced} 12/25": f"{e} {b} 12/25", f"{grouped} BIC": f"{e} BIC",
+        "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 17": None, "9" * 5000: None, "AT61 1904 3002 3457 3202 BANK AG": None,
+    }
+    got = {r.doc_id: r for r in pii.pseudonymise(with_clashes(frame(spark, list(enumerate(cases))))).collect()}
+    for k, (text, want) in enumerate(cases.items()):
+        assert got[k].text == (text if want is None else want), text[:80]
+    assert got[6].kinds == ["card", "card"] and got[11].kinds == ["iban", "card"]
+    # a country without a known length; a phone number after another number; more groups than a match once held
+    bare = "ZZ00123456789012"
+    check = f"{98 - int('123456789012' + '3535' + '00') % 97:02d}"
+    zz = four(bare.replace("ZZ00", f"ZZ{check}"))
+    rows = pii.pseudonymise(frame(spark, [(0, f"{zz} HAUS"), (1, "100 017-555-7713"), (2, "7 " * 30_000 + card)])).collect()
+    rows = {r.doc_id: r for r in rows}
+    assert rows[0].kinds == ["iban"] and rows[0].text.endswith(" HAUS") and rows[0].text != f"{zz} HAUS"
+    assert rows[1].kinds == ["phone"] and rows[1].text.startswith("100 ") and "7713" not in rows[1].text
+    assert rows[2].text.endswith(a) and "card" in rows[2].kinds
+
+
 def test_feistel_is_a_permutation(spark):
     rows = spark.range(1000).select(F.format_string("%03d", "id").alias("v"))
     got = [r[0] for r in rows.select(F.expr(pii.feistel("v", "k", 10, "key"))).collect()]
