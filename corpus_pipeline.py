@@ -17,11 +17,12 @@ ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the language model rejects: texts that are null or without a letter (`und`).
+    """Drops what the language model rejects: texts that are null or without a letter (`und`), and those whose
+    share of known words is below langid's MIN_KNOWN, such as texts in an unlearned script.
 
     The model is fitted on the labelled rows of docs (a bounded sample); every row is predicted.
     """
-    return langid.keep_languages(docs, langid.fit_language_model(docs))
+    return langid.keep_languages(docs, langid.fit_language_model(docs), min_known=langid.MIN_KNOWN)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,20 @@ def test_language_backs_off(spark):
 # --- 2 near-dedup, components
 
 
+def test_unlearned_languages_are_dropped(spark):
+    import corpus_pipeline
+
+    docs = read_table(spark, SF, "documents").select("doc_id", "text", "lang")
+    odd = ["Привет мир это текст на русском языке", "これは日本語の文章です 今日は天気がいい", "xq zvk wqj kxz qqv", "12 34", None]
+    odd = frame(spark, [(-1 - k, t, None) for k, t in enumerate(odd)], "doc_id bigint, text string, lang string")
+    kept = corpus_pipeline.language_stage(spark, docs.unionByName(odd), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    out = langid.held_out(F.col("doc_id"))
+    kept = langid.keep_languages(docs.where(out), langid.fit_language_model(docs.where(~out)), min_known=langid.MIN_KNOWN)
+    assert kept.count() == docs.where(out).where("text is not null").count() > 300
+
+
 def shingled(texts):
     out = []
     for _, words, bounds in word_blocks(pa.array(texts, pa.string())):
