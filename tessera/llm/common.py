@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import tempfile
 import uuid
 
@@ -150,10 +151,11 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 _WORD_CODE = byte_table(5)
 
 
-def word_blocks(arr: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20):
-    """Texts as word hashes, in blocks of rows: (first row, hashes, bounds).
+def word_blocks(arr: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20, digests: bool = False):
+    """Texts as word hashes, in blocks of rows: (first row, hashes, bounds), and with digests a fourth value.
 
-    hashes has a 64-bit value a word, equal for equal words; bounds[i] to bounds[i + 1] are row i's.
+    hashes has a 64-bit value a word, equal for equal words; bounds[i] to bounds[i + 1] are row i's. A row's digest
+    is 128 bits of BLAKE2b over its words themselves, joined by spaces.
     """
     import pyarrow.compute as pc
 
@@ -162,7 +164,8 @@ def word_blocks(arr: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20):
     for first, data, offsets in utf8_blocks(pc.utf8_lower(arr), max_bytes):
         n = len(data)
         if not n:
-            yield first, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+            none = (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+            yield (first, *none, [_digest(b"")] * (len(offsets) - 1)) if digests else (first, *none)
             continue
         inside = _WORD[data]
         edge = np.zeros(n + 1, bool)
@@ -172,7 +175,17 @@ def word_blocks(arr: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20):
         after = np.concatenate([inside[1:], [False]])
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         hashes = mix64(span_hashes(prefix_hashes(_WORD_CODE[data]), begins, ends))
-        yield first, hashes, np.searchsorted(begins, offsets)
+        if not digests:
+            yield first, hashes, np.searchsorted(begins, offsets)
+            continue
+        keep = inside | (before & ~edge[:-1])  # words, and what comes right after a word
+        plain, cuts = np.where(inside, data, 32)[keep].astype(np.uint8), np.concatenate([[0], np.cumsum(keep)])[offsets].tolist()
+        own = [_digest(plain[a:b].tobytes().rstrip(b" ")) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield first, hashes, np.searchsorted(begins, offsets), own
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
