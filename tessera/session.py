@@ -36,10 +36,47 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+#: Rows and bytes of an Arrow batch on its way to and from Python; a session that sets its own keeps them.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow with this package at hand on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    """df.mapInArrow with this package at hand on the executors, in batches of bounded size.
+
+    When a task ends, its worker (which Spark uses again) gives back the memory that it has freed.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) in (None, "10000"):  # unset, or Spark's default
+            spark.conf.set(key, str(value))
+    return df.mapInArrow(_tidy(function), schema)
+
+
+def _tidy(function):
+    def run(batches):
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where the C library can (glibc)."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
 
 
 def with_fields(schema: StructType, **kinds: str) -> StructType:
