@@ -25,7 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/")
+        # the full name, so that every reader takes a path without a scheme for the same store
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="tessera-shared-"))
     return f"file://{_OWN_DIR[0]}"
@@ -122,12 +125,12 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "i" if inverse else "b"
     have = _POWERS.get(key)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
+        size = max(n + n // 4, 1 << 16)
         have = np.empty(size, np.uint64)
         have[0] = 1
         have[1:] = _INVERSE if inverse else _BASE
         np.multiply.accumulate(have, out=have)
-        if size > 8 << 20:
+        if size > 2 << 20:
             return have[:n]
         _POWERS[key] = have
     return have[:n]

@@ -13,13 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import arrow_map
 from .common import read_table
 
-#: Bounds of the model: training documents a language (in expectation), words and n-grams kept in all.
-TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 3_000, 40_000, 60_000
-LONGEST, LEAST, EVIDENCE, CACHED = 5, 3, 12.0, 250_000
+#: Bounds of the model: training documents (in expectation), words and n-grams kept, each for a language.
+TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 3_000, 10_000, 15_000
+LONGEST, LEAST, EVIDENCE, CACHED = 5, 3, 12.0, 100_000
 #: The least share of words that are known, or have a known n-gram of KNOWN characters or more, in a text to be kept.
 #: The least of 17,188 held-out rows of the check tool's 0.10 GB has 0.714; texts in an unlearned script have 0.
 MIN_KNOWN, KNOWN = 0.5, 3
@@ -39,8 +40,9 @@ def fit_language_model(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_words:
     """Learns from rows with a text and a language.
 
     The sample is bounded: about train_docs rows a language, chosen by a hash of the id; the model holds
-    at most max_words words and max_grams n-grams (the most frequent). An empty table gives a model
-    without languages, which predicts `und` always.
+    of each language its max_words most frequent words and max_grams n-grams, so that large languages don't
+    take the places of small ones. Ties of frequency go to the word that sorts first; repeated rows count as
+    often as they come. An empty table gives a model without languages, which predicts `und` always.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where("lang is not null and text is not null")
@@ -52,7 +54,7 @@ def fit_language_model(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_words:
     for lang in langs:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_docs / counts[lang]))).otherwise(share)
     picked = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < share * (1 << 20))
-    words = picked.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("w"))
+    words = picked.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{Nl}\p{No}]+)"), 1)).alias("w"))
     words = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     grams = None
     for n in range(1, LONGEST + 1):
@@ -63,8 +65,10 @@ def fit_language_model(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_words:
     grams = grams.groupBy("lang", "w").agg(F.sum("n").alias("n"))
 
     def most(table: DataFrame, bound: int) -> dict[str, dict[str, int]]:
-        top = table.groupBy("w").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        return {r["w"]: r["by"] for r in top.where(F.col("all") >= LEAST).orderBy(F.desc("all"), "w").limit(bound).collect()}
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
+        top = table.where(F.col("n") >= LEAST).withColumn("r", rank).where(F.col("r") <= bound).select("w").distinct()
+        found = table.join(top, "w").groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        return {r["w"]: r["by"] for r in found.orderBy("w").collect()}  # bounded: languages x bound
 
     index, vectors = {lang: i for i, lang in enumerate(langs)}, []
 
@@ -168,7 +172,7 @@ def _predictor(model):
             at, n = 0, len(ids)
             while at < n:
                 upto, size, own = at, 0, []
-                while upto < n and (size < 4 << 20 or upto == at):
+                while upto < n and (size < 1 << 20 or upto == at):
                     own.append(texts[upto].as_py())
                     size += len(own[-1] or "")
                     upto += 1
@@ -201,7 +205,7 @@ def _keeper(model, at: int, min_score: float, min_known: float):
             texts, n, keep, row = batch.column(at), len(batch), [], 0
             while row < n:
                 upto, size, own = row, 0, []
-                while upto < n and (size < 4 << 20 or upto == row):
+                while upto < n and (size < 1 << 20 or upto == row):
                     own.append(texts[upto].as_py())
                     size += len(own[-1] or "")
                     upto += 1

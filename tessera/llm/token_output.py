@@ -1,6 +1,6 @@
 """Token ids in directly addressable codes (DAC).
 
-A shard file holds documents in ascending doc_id order. An id is cut into 8-bit chunks, lowest first;
+A shard file holds documents in the order asked for. An id is cut into 8-bit chunks, lowest first;
 level k holds the k-th chunks of those ids that have one, and a bitmap that says which go on. A rank
 directory over each bitmap (ones before every 512th bit) leads from a position in one level to its
 position in the next, so any single token is found with a few reads and nothing around it is decoded.
@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,7 +31,7 @@ from ..session import arrow_map
 from .common import read_table, scratch_path, shuffle_parts, written
 
 MAGIC, DIRECTORY_BITS = b"TDAC1\0\0\0", 512
-SHARD_TOKENS, CACHED_WORDS = 4 << 20, 250_000
+SHARD_TOKENS, CACHED_WORDS = 2 << 20, 150_000
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
@@ -39,9 +40,9 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 def dac_bytes(ids: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, offsets: np.ndarray) -> bytes:
     """A shard file's content."""
-    levels, rest = [], ids.astype(np.uint64)
+    levels, rest = [], ids.astype(np.uint32)
     while True:
-        chunk, rest = (rest & np.uint64(255)).astype(np.uint8), rest >> np.uint64(8)
+        chunk, rest = (rest & np.uint32(255)).astype(np.uint8), rest >> np.uint32(8)
         more = rest != 0
         levels.append((chunk, more))
         if not more.any():
@@ -207,20 +208,22 @@ def encoder(path: str) -> WordCachedEncoder:
     return _ENCODERS[path]
 
 
-MANIFEST = "part int, seq int, file string, n_docs bigint, n_tokens bigint"
+MANIFEST = "origin string, at bigint, file string, n_docs bigint, n_tokens bigint"
 
 
 def _writer(folder: str, tokenizer_path: str, end_id: int, shard_tokens: int):
+    """Rows: id, text, and for rows in stored order the file and row that they were read from."""
+
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer_path), f"{TaskContext.get().partitionId():08d}"
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         end, seq = np.array([end_id], "<u4").tobytes(), 0
         ids: list[bytes] = []
         names: list[int | None] = []
-        sizes, held = [], 0
+        sizes, held, where = [], 0, None  # where: the place of the shard's first document, and the next one's
 
         def flush():
             nonlocal seq, held
@@ -228,55 +231,74 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, shard_tokens: int):
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             data = dac_bytes(flat, np.array([x or 0 for x in names], np.int64), np.array([x is None for x in names]), offsets)
             # Named for this attempt: what a lost attempt leaves behind is in no manifest.
-            file = f"{root}/part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.dac"
+            file = f"{root}/part-{part}-{seq:05d}-{uuid.uuid4().hex}.dac"
             with fs.open_output_stream(file) as out:
                 out.write(data)
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [file], "n_docs": [len(names)], "n_tokens": [len(flat)]})
+            origin, at = (part, seq) if where is None else where[:2]
+            row = pa.RecordBatch.from_pydict({"origin": [origin], "at": pa.array([at], pa.int64()), "file": [file], "n_docs": [len(names)], "n_tokens": [len(flat)]})
             seq += 1
             ids.clear(), names.clear(), sizes.clear()
             held = 0
             return row
 
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = 0
-            while at < len(doc_ids):
-                upto, size = at, 0
-                while upto < len(doc_ids) and (size < 4 << 20 or upto == at):
-                    size += len(texts[upto].as_py() or "")
-                    upto += 1
-                for name, code in zip(doc_ids[at:upto], enc.encode([x or "" for x in texts[at:upto].to_pylist()]), strict=True):
-                    ids.append(code + end)
-                    names.append(name)
-                    sizes.append(len(code) // 4 + 1)
-                    held += sizes[-1]
-                    if held >= shard_tokens:
-                        yield flush()
-                at = upto
-        if names:
-            yield flush()
+        try:
+            for batch in batches:
+                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+                places = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if batch.num_columns > 2 else None
+                at = 0
+                while at < len(doc_ids):
+                    upto, size = at, 0
+                    while upto < len(doc_ids) and (size < 1 << 20 or upto == at):
+                        size += len(texts[upto].as_py() or "")
+                        upto += 1
+                    for k, code in enumerate(enc.encode([x or "" for x in texts.slice(at, upto - at).to_pylist()]), at):
+                        if places:
+                            origin, row = places[k]
+                            if names and where[::2] != (origin, row):  # another file, or another part of this one
+                                yield flush()
+                            where = (origin, where[1] if names else row, row + 1)
+                        ids.append(code + end)
+                        names.append(doc_ids[k])
+                        sizes.append(len(code) // 4 + 1)
+                        held += sizes[-1]
+                        if held >= shard_tokens:
+                            yield flush()
+                    at = upto
+            if names:
+                yield flush()
+        finally:
+            enc.older = {}
 
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, folder: str | None = None, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, folder: str | None = None, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", by_id: bool = True) -> tuple[DataFrame, str]:
     """Encodes docs and writes them as DAC shards under folder; the manifest, a row a shard.
 
-    Returns the manifest and the folder. The manifest's columns: part, seq, file, n_docs, n_tokens, first_token (of all documents). Shards in
-    order of (part, seq) hold documents in ascending id order; null ids come first, equal ids in the
-    order of their texts. A null text counts as empty and gives the end id alone. An empty table
+    Returns the manifest and the folder. The manifest's columns: origin, at, file, n_docs, n_tokens, first_token (of all documents).
+    With by_id, shards hold documents in ascending id order; null ids come first, equal ids in the
+    order of their texts. Without it, documents keep the order in which docs is stored (the rows of its files in turn, files
+    by name), and texts aren't shuffled; docs that isn't a plain table of files is written as one first.
+    A null text counts as empty and gives the end id alone. Repeated rows are encoded each. An empty table
     gives an empty manifest. Columns other than id and text are not read.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "dac")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(shuffle_parts(spark), "id").sortWithinPartitions("id", "text")
+    columns = [F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")]
+    if by_id:
+        ordered = docs.select(*columns).repartitionByRange(shuffle_parts(spark), "id").sortWithinPartitions("id", "text")
+    else:
+        places = [F.col("_metadata.file_path").alias("origin"), F.col("_metadata.row_index").alias("at")]
+        try:
+            ordered = docs.select(*columns, *places)
+        except AnalysisException:
+            ordered = written(docs.select(*columns), "stored").select("id", "text", *places)
     manifest = written(arrow_map(ordered, _writer(folder, tokenizer_path, end_id, shard_tokens), MANIFEST), "manifest")
-    # As many rows as partitions; within a partition, as many as shards.
-    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("t"))
-    before = parts.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("before"))
-    own = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    return manifest.join(before, "part").select(*manifest.columns, (F.col("before") + own).alias("first_token")), folder
+    # As many rows as partitions or files; within one of them, as many as shards. Longer names have higher numbers.
+    origins = manifest.groupBy("origin").agg(F.sum("n_tokens").alias("t"))
+    before = origins.select("origin", (F.sum("t").over(Window.orderBy(F.length("origin"), "origin")) - F.col("t")).alias("before"))
+    own = F.sum("n_tokens").over(Window.partitionBy("origin").orderBy("at")) - F.col("n_tokens")
+    return manifest.join(before, "origin").select(*manifest.columns, (F.col("before") + own).alias("first_token")), folder
 
 
 def _reader(folder: str, with_ids: bool):
