@@ -26,24 +26,33 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: the one with the smallest id."""
+    """One document of each class of near-duplicates stays: the one with the smallest id.
+
+    Null texts, texts without words and rows without an id stay; rows that repeat an id go or stay by their own texts.
+    """
     return near_dedup.drop_near_duplicates(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a passage that copies a test item."""
+    """Drops documents with a passage that copies a test item; null and empty texts stay, repeated rows are judged each."""
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its Poisson draw for its source's target rate, in global random order."""
+    """Each document as often as its Poisson draw for its source's target rate, in global random order.
+
+    A null source is a source like any other; rows that repeat an id share a draw.
+    """
     columns = docs.columns
     return mixing.mix_sources(docs).select(*columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token ids as DAC shards and reads them back: doc_id, start, n_tokens, ids_crc32."""
-    manifest, folder = token_output.write_tokens(docs, token_output.tokenizer_file())
+    """Writes the token ids as DAC shards and reads them back: doc_id, start, n_tokens, ids_crc32.
+
+    Documents keep the order in which docs is stored, which is that of mixing. A null text is the end id alone.
+    """
+    manifest, folder = token_output.write_tokens(docs, token_output.tokenizer_file(), by_id=False)
     return token_output.read_tokens(manifest, folder)
 
 
@@ -57,6 +66,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again; empty tables give an empty result."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
