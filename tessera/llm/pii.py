@@ -5,18 +5,21 @@ the same value gets the same pseudonym in every document, two values never share
 around them stays as it is.
 
     kind    found as                                         permuted
-    email   local@domain.tld                                 letters and digits of the local part
+    email   local@domain.tld, letters of any script          letters and digits of the local part
     phone   +1 (ddd) ddd-dddd, ddd-ddd-dddd and the like     the digits after the country code
     ipv4    four numbers up to 255                           the 32-bit address
     card    13 to 19 digits that pass the Luhn test          all digits but the last, which is computed anew
-    ssn     ddd-dd-dddd with issuable parts                  the nine digits
+    ssn     ddd-dd-dddd with issuable parts                  the nine digits, again until the parts are issuable
     iban    country, check digits, account (mod 97 holds)    the account's digits; check digits are computed anew
-    date    yyyy-mm-dd or dd.mm.yyyy, dd/mm/yyyy that exist  the day within its 400-year cycle
+    date    yyyy-mm-dd or dd.mm.yyyy, dd/mm/yyyy that exist  the day within its 400 years, again until its year has four digits
     secret  32 or more hex digits                            the hex digits
 
 A digit string of radix r is a Feistel network with ROUNDS rounds on its two halves: each digit of one
 half is shifted, modulo r, by a digit drawn from SHA-256 of the key, the kind, the round and the other
-half. Days are split as 773 x 189, which is exactly the cycle's 146,097 days.
+half. Days are split as 773 x 189, which is exactly the cycle's 146,097 days. Where values are few (e-mail names, days) the
+network is undone, a fixed step taken and the network done again: a permutation that leaves no value as it is.
+Letters beyond ASCII are moved within their 128 code points, to a small letter or numeral, by a step drawn from the key,
+the ASCII part's pseudonym and the letters moved before.
 
 Numbers next to a card belong to the same run of digit groups; the card is the part of whole groups that passes
 the test (see cut_sql). An IBAN ends where its country's length says, or after the last group with which it holds.
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 KEY, ROUNDS, CYCLE, ROWS_A, ROWS_B = "pii-key-1", 8, 146_097, 773, 189
+#: Days from 0001-01-01 to 1970-01-01, and to 9999-12-31.
+DAY_ONE, LAST_DAY, STEPS = 719_162, 3_652_058, 32
 ALNUM = "0123456789abcdefghijklmnopqrstuvwxyz"
 
-EMAIL = r"[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
+EMAIL = r"[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?\.)+\p{L}{2,24}"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
 #: Characters of an IBAN by country.
 LENGTHS = {
@@ -65,19 +70,46 @@ def luhn_sum(digits: str) -> str:
     return f"aggregate(sequence(0, length({digits}) - 1), 0, (s, i) -> s + case when i % 2 = 0 then {d} when {d} < 5 then 2 * {d} else 2 * {d} - 9 end)"
 
 
-def feistel(value: str, kind: str, radix: int, key: str, rounds: int = ROUNDS) -> str:
-    """SQL: a keyed permutation of the strings of value's length over the first radix digits of ALNUM."""
+def feistel(value: str, kind: str, radix: int, key: str, rounds: int = ROUNDS, inverse: bool = False) -> str:
+    """SQL: a keyed permutation of the strings of value's length over the first radix digits of ALNUM, or its inverse."""
     alphabet = _q(ALNUM[:radix])
-    stream = "concat(" + ", ".join(f"sha2(concat_ws('|', {_q(key)}, {_q(kind)}, r, length(s.b), s.a, {n}), 256)" for n in range(3)) + ")"
+    moving, other, sign = ("s.a", "s.b", "-") if inverse else ("s.b", "s.a", "+")
+    stream = "concat(" + ", ".join(f"sha2(concat_ws('|', {_q(key)}, {_q(kind)}, r, length({moving}), {other}, {n}), 256)" for n in range(3)) + ")"
     # a half's digits shifted by the stream's; then the halves change places
-    moved = f"""array_join(transform(sequence(1, length(s.b)), i -> substr({alphabet},
-        1 + (locate(substr(s.b, i, 1), {alphabet}) - 1 + cast(conv(substr({stream}, 2 * i - 1, 2), 16, 10) as int)) % {radix}, 1)), '')"""
-    return f"""case when length({value}) = 0 then '' else aggregate(sequence(1, {rounds}),
+    moved = f"""array_join(transform(sequence(1, length({moving})), i -> substr({alphabet},
+        1 + cast(pmod(locate(substr({moving}, i, 1), {alphabet}) - 1 {sign} cast(conv(substr({stream}, 2 * i - 1, 2), 16, 10) as int), {radix}) as int), 1)), '')"""
+    moved = f"case when length({moving}) = 0 then {moving} else {moved} end"
+    halves = f"'a', {other}, 'b', {moved}" if inverse else f"'a', {moved}, 'b', {other}"
+    return f"""case when length({value}) = 0 then '' else aggregate(sequence({f'{rounds}, 1, -1' if inverse else f'1, {rounds}'}),
         named_struct('a', substr({value}, 1, cast(length({value}) / 2 as int)), 'b', substr({value}, cast(length({value}) / 2 as int) + 1)),
-        (s, r) -> named_struct('a', case when length(s.b) = 0 then s.b else {moved} end, 'b', s.a),
+        (s, r) -> named_struct({halves}),
         s -> concat(s.a, s.b)) end"""
 
 
+def moved_always(value: str, kind: str, radix: int, key: str) -> str:
+    """SQL: a keyed permutation that moves every string: the network undone, the last digit raised by one, the network done."""
+    alphabet = _q(ALNUM[:radix])
+    raised = f"concat(substr(v, 1, length(v) - 1), substr({alphabet}, locate(substr(v, -1), {alphabet}) % {radix} + 1, 1))"
+    step = _let(raised, feistel("u", kind, radix, key), "u")
+    return f"case when length({value}) = 0 then '' else {_let(feistel(value, kind, radix, key, inverse=True), step, 'v')} end"
+
+
+def other_letters(value: str, seed: str, key: str) -> str:
+    """SQL: value with its letters and numerals beyond ASCII moved, each to another, by a permutation of such strings."""
+    draw = f"(2 * (cast(conv(substr(sha2(concat_ws('|', {_q(key)}, 'letter', {seed}, i, s), 256), 1, 6), 16, 10) as int) % 64) + 1)"
+    # an odd step comes by all 128 code points, at last by the letter itself
+    steps = f"transform(sequence(1, 128), t -> decode(unhex(lpad(hex(x - x % 128 + (x % 128 + t * {draw}) % 128), 8, '0')), 'UTF-32'))"
+    found = f"element_at(filter({steps}, c -> c rlike '^[\\\\p{{L}}\\\\p{{N}}]$' and c = lower(c)), 1)"
+    moved = _let(value, f"""aggregate(sequence(1, length(w)), '', (s, i) -> concat(s, case when substr(w, i, 1) rlike '^[\\\\p{{L}}\\\\p{{N}}]$' and ascii(substr(w, i, 1)) > 127
+        then {_let("ascii(substr(w, i, 1))", found, "x")} else substr(w, i, 1) end))""", "w")
+    return f"case when {value} rlike '[^\\x00-\\x7F]' then {moved} else {value} end"
+
+
+def walk(value: str, step: str, good: str) -> str:
+    """SQL: step of value, taken again (on w) until good holds of w."""
+    return f"aggregate(sequence(1, {STEPS}), {value}, (w, t) -> case when t > 1 and {good} then w else {step} end)"
+
+
 def fill(mask: str, digits: str, kinds: str) -> str:
     """SQL: mask with its characters of the class `kinds` replaced by those of digits, in turn."""
     used = f"length(regexp_replace(substr({mask}, 1, i), '[^{kinds}]', ''))"
@@ -90,14 +122,19 @@ def _let(value: str, body: str, name: str) -> str:
 
 
 def _day(expr: str, key: str) -> str:
-    """SQL: a day number moved within its 400-year cycle."""
+    """SQL: a day number from 0001-01-01 to 9999-12-31 moved within its 400 years, to another such day."""
     draw = "cast(conv(substr(sha2(concat_ws('|', {k}, 'date', r, {x}), 256), 1, 12), 16, 10) as bigint)"
-    a = f"(s.a + {draw.format(k=_q(key), x='s.b')}) % {ROWS_A}"
-    b = f"(s.b + {draw.format(k=_q(key + ':b'), x='s.a')}) % {ROWS_B}"
-    inner = f"""aggregate(sequence(1, {ROUNDS}), named_struct('a', cast(pmod(d, {CYCLE}) div {ROWS_B} as bigint), 'b', cast(pmod(d, {CYCLE}) % {ROWS_B} as bigint)),
-        (s, r) -> case when r % 2 = 1 then named_struct('a', {a}, 'b', s.b) else named_struct('a', s.a, 'b', {b}) end,
-        s -> cast(d - pmod(d, {CYCLE}) + s.a * {ROWS_B} + s.b as int))"""
-    return _let(expr, inner, "d")
+
+    def network(day: str, inverse: bool) -> str:
+        sign = "-" if inverse else "+"
+        a = f"pmod(s.a {sign} {draw.format(k=_q(key), x='s.b')}, {ROWS_A})"
+        b = f"pmod(s.b {sign} {draw.format(k=_q(key + ':b'), x='s.a')}, {ROWS_B})"
+        return f"""aggregate(sequence({f'{ROUNDS}, 1, -1' if inverse else f'1, {ROUNDS}'}), named_struct('a', cast({day} div {ROWS_B} as bigint), 'b', cast({day} % {ROWS_B} as bigint)),
+            (s, r) -> case when r % 2 = 1 then named_struct('a', {a}, 'b', s.b) else named_struct('a', s.a, 'b', {b}) end,
+            s -> cast(s.a * {ROWS_B} + s.b as int))"""
+
+    once = _let(network(f"(w % {CYCLE})", True), f"w - w % {CYCLE} + {network(f'((d + 1) % {CYCLE})', False)}", "d")
+    return f"(cast({walk(f'cast({expr} + {DAY_ONE} as int)', f'cast({once} as int)', f'w <= {LAST_DAY}')} as int) - {DAY_ONE})"
 
 
 def cut_sql(value: str) -> str:
@@ -145,9 +182,10 @@ def pseudonym_sql(value: str, key: str = KEY) -> str:
     def pair(kind: str, text: str) -> str:
         return f"named_struct('kind', '{kind}', 'text', {text})"
 
-    local = f"lower(regexp_replace(substring_index({value}, '@', 1), '[^A-Za-z0-9]', ''))"
+    local = f"regexp_replace(lower(substring_index({value}, '@', 1)), '[^a-z0-9]', '')"
     # the pseudonym is computed once and bound to p before it is filled in
-    email = _let(_let(local, feistel("w", "email", 36, key), "w"), f"concat({fill(f'''substring_index({value}, '@', 1)''', 'p', 'A-Za-z0-9')}, '@', substring_index({value}, '@', -1))", "p")
+    name = other_letters(fill(f"lower(substring_index({value}, '@', 1))", "p", "a-z0-9"), "p", key)
+    email = _let(_let(local, moved_always("w", "email", 36, key), "w"), f"concat({name}, '@', substring_index({value}, '@', -1))", "p")
     secret = _let(f"lower({value})", feistel("w", "secret", 16, key), "w")
     secret = f"case when {value} rlike '[A-F]' then upper({secret}) else {secret} end"
     check = "lpad(cast(98 - " + _let(f"concat(p, substr({bare}, 1, 2), '00')", _NUMERAL, "w") + " as string), 2, '0')"
@@ -159,8 +197,9 @@ def pseudonym_sql(value: str, key: str = KEY) -> str:
     iso = f"coalesce(try_to_date({value}, 'yyyy-MM-dd'), try_to_date({value}, 'dd.MM.yyyy'), try_to_date({value}, 'dd/MM/yyyy'))"
     forms = " ".join(f"when {value} like '{like}' then date_format(n, '{form}')" for like, form in (("%-%", "yyyy-MM-dd"), ("%.%", "dd.MM.yyyy")))
     date = _let(f"date_from_unix_date({_day(f'unix_date({iso})', key)})", f"case {forms} else date_format(n, 'dd/MM/yyyy') end", "n")
-    ssn = _let(_let(digits, feistel("w", "ssn", 10, key), "w"), fill(value, "p", "0-9"), "p")
-    ssn_ok = f"substr({value}, 1, 3) not in ('000', '666') and substr({value}, 1, 1) <> '9' and substr({value}, 5, 2) <> '00' and substr({value}, 8) <> '0000'"
+    issuable = "substr({0}, 1, 3) not in ('000', '666') and substr({0}, 1, 1) <> '9' and substr({0}, 4, 2) <> '00' and substr({0}, 6) <> '0000'"
+    ssn = _let(walk(digits, feistel("w", "ssn", 10, key), issuable.format("w")), fill(value, "p", "0-9"), "p")
+    ssn_ok = issuable.format(digits)
     country = f"substr({digits}, 1, length({digits}) - 10)"
     phone = _let(_let(f"substr({digits}, -10)", f"concat({country}, {feistel('w', 'phone', 10, key)})", "w"), fill(value, "p", "0-9"), "p")
     body = _let(f"substr({digits}, 1, length({digits}) - 1)", feistel("w", "card", 10, key), "w")
@@ -172,7 +211,7 @@ def pseudonym_sql(value: str, key: str = KEY) -> str:
         when {value} rlike {_whole('[0-9a-f]{32,128}|[0-9A-F]{32,128}')} then {pair('secret', secret)}
         when {value} rlike '^[A-Z][A-Z]' then case when {_iban_ok(value)} then {pair('iban', iban)} end
         when {value} rlike {_whole(r'[0-9]{1,3}([.][0-9]{1,3}){3}')} then case when {octets} then {pair('ipv4', address)} end
-        when {value} rlike {_whole(r'[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[.][0-9]{2}[.][0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}')} then case when {iso} is not null then {pair('date', date)} end
+        when {value} rlike {_whole(r'[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[.][0-9]{2}[.][0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}')} then case when {iso} >= date'0001-01-01' then {pair('date', date)} end
         when {value} rlike {_whole(r'[0-9]{3}-[0-9]{2}-[0-9]{4}')} then case when {ssn_ok} then {pair('ssn', ssn)} end
         when length({digits}) between 10 and 13 and {value} rlike '[ .()+-]' and {value} rlike {_whole(PHONE)} then {pair('phone', phone)}
         when length({digits}) between 13 and 19 and {luhn_ok} then {pair('card', card)}

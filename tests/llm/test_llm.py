@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips, held-out accuracy and edge cases."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -418,8 +419,71 @@ def test_feistel_is_a_permutation(spark):
     rows = spark.range(1000).select(F.format_string("%03d", "id").alias("v"))
     got = [r[0] for r in rows.select(F.expr(pii.feistel("v", "k", 10, "key"))).collect()]
     assert len(set(got)) == 1000 and got[:50] == [feistel(f"{k:03d}", "k", 10, "key") for k in range(50)]
-    days = spark.range(-200_000, 200_000, 7).select(F.expr(pii._day("cast(id as int)", "key")).alias("d"), "id").collect()
-    assert len({r.d for r in days}) == len(days) and all(r.d // pii.CYCLE == r.id // pii.CYCLE for r in days)
+    first, last = -pii.DAY_ONE, pii.LAST_DAY - pii.DAY_ONE
+    days = spark.range(first, last + 1, 97).unionAll(spark.range(last - 3000, last + 1)).distinct().select(F.expr(pii._day("cast(id as int)", "key")).alias("d"), "id").collect()
+    assert len({r.d for r in days}) == len(days) and all((r.d - first) // pii.CYCLE == (r.id - first) // pii.CYCLE and first <= r.d <= last and r.d != r.id for r in days)
+    one = spark.range(36).select(F.expr(f"substr('{pii.ALNUM}', cast(id as int) + 1, 1)").alias("v"))
+    both = one.unionAll(one.crossJoin(one.toDF("w")).select(F.concat("v", "w")))  # names of one and of two characters
+    got = both.select("v", F.expr(pii.moved_always("v", "email", 36, "key")).alias("p")).collect()
+    assert len({r.p for r in got}) == len(got) and all(r.p != r.v and len(r.p) == len(r.v) for r in got)
+    back = spark.range(200).select(F.format_string("%07d", F.col("id") * 49_999).alias("v")).select("v", F.expr(pii.feistel("v", "k", 10, "key")).alias("p"))
+    assert back.where(F.expr(pii.feistel("p", "k", 10, "key", inverse=True)) != F.col("v")).count() == 0
+
+
+def test_nothing_found_stays_or_leaves_its_form(spark):
+    """Random mixtures of private values and look-alikes: finding and validating again, in Python."""
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def good(kind, v):
+        d = re.sub(r"\D", "", v)
+        if kind == "card":
+            return 13 <= len(d) <= 19 and luhn(d) == 0
+        if kind == "ssn":
+            return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+        if kind == "ipv4":
+            return all(int(x) <= 255 for x in v.split("."))
+        if kind == "date":
+            y, m, day = (int(x) for x in (v.split("-") if "-" in v else reversed(re.split("[./]", v))))
+            try:
+                return bool(datetime.date(y, m, day))
+            except ValueError:
+                return False
+        if kind == "iban":
+            return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+        return True
+
+    def value(kind):
+        if kind == "email":
+            return "".join(rng.choice("aZ9.ёжöé京") for _ in range(rng.randint(1, 8))).strip(".").replace("..", ".") or "q"
+        return {
+            "card": lambda: digits(16), "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", "ipv4": lambda: ".".join(str(rng.randrange(300)) for _ in range(4)),
+            "date": lambda: rng.choice([f"{rng.randint(0, 9999):04d}-{rng.randint(0, 13):02d}-{rng.randint(0, 32):02d}", f"{rng.randint(1, 31):02d}.{rng.randint(1, 12):02d}.{rng.randint(0, 9999):04d}", "9999-12-31", "0001-01-01", "31/12/9999"]),
+            "iban": lambda: f"DE{digits(2)}{digits(18)}" if rng.random() < 0.3 else (lambda a: f"DE{98 - int(a + '131400') % 97:02d}{a}")(digits(18)), "secret": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)),
+        }[kind]()
+
+    rows, kinds = [], ["email", "card", "ssn", "ipv4", "date", "iban", "secret"]
+    for k in range(400):
+        kind = rng.choice(kinds)
+        v = value(kind)
+        if kind == "card" and rng.random() < 0.7:
+            v = v[:-1] + str((10 - luhn(v[:-1] + "0")) % 10)
+        rows.append((k, kind, v + rng.choice(["@mail.ru", "@пример.org", "@x-y.co"]) if kind == "email" else v))
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, [(k, f"see {v}, ok") for k, _, v in rows])).collect()}
+    seen = {}
+    for k, kind, v in rows:
+        new = got[k].text[4:-4]
+        if not good(kind, v):
+            assert new == v and got[k].kinds == [], (kind, v, new)
+            continue
+        assert got[k].kinds == [kind] and (kind == "ipv4" or len(new) == len(v)), (kind, v, new)
+        assert [c.isdigit() if kind != "email" else c in ".@" for c in new] == [c.isdigit() if kind != "email" else c in ".@" for c in v] or kind in ("secret", "ipv4")
+        name, own = (new.rsplit("@", 1)[0], v.lower().rsplit("@", 1)[0]) if kind == "email" else (new, v)
+        assert name != own and good(kind, new), (kind, v, new)
+        if kind == "email":
+            assert all(a != b for a, b in zip(name, own, strict=True) if ord(b) > 127), (v, new)
+        assert seen.setdefault(v.lower() if kind == "email" else v, new) == new
+    assert len(set(seen.values())) == len(seen)
 
 
 # --- 8 chat
