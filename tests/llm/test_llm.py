@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, exact_dedup, langid, mixing, near_dedup, pii, quality, suffix_dedup, token_output
-from tessera.llm.common import read_table, word_blocks
+from tessera.llm.common import read_table, utf8_blocks, word_blocks
 from tessera.llm.components import components
 from tessera.llm.registry import ORACLES, QUERIES
 
@@ -262,9 +262,27 @@ def test_quality_edges(spark):
     got = {r.doc_id: r.score for r in quality.score_quality(odd, model).collect()}
     assert got[None] > 0.5 > got[4] and got[1] == got[2] and len(got) == 5
     assert quality.fit_quality(docs, labels.limit(0))["bias"] == 0
+    twice = quality.score_quality(odd.unionAll(odd), quality.fit_quality(docs, labels.limit(0))).collect()
+    assert len(twice) == 10 and {r.score for r in twice} == {0.5}  # a tie, which op4_quality calls class 1
     assert quality.score_quality(odd.limit(0), model).count() == 0
 
 
+def test_features_are_those_of_characters():
+    texts = ["aé b", "", "日本語 テキスト 日本語", "x" * 50 + " é" * 9, None, "ab\tcd"]
+    table = {}
+    for first, data, offsets in utf8_blocks(pa.array(texts), 12):
+        row, bucket = quality.features(data, offsets)
+        for r in range(len(offsets) - 1):
+            table[first + r] = sorted(bucket[row == r].tolist())
+    for k, text in enumerate(texts):
+        t = text or ""
+        grams = [t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1) if not any(c in " \t" for c in t[i + 1 : i + n - 1])]
+        words = t.split()
+        again = sum(words[i] == words[i - lag] for lag in range(1, quality.LAGS + 1) for i in range(lag, len(words)))
+        assert len(table[k]) == len(grams) + len(words) + again, text
+        assert len(set(table[k])) == len(set(grams)) + len(set(words)) + len({lag for lag in range(1, quality.LAGS + 1) for i in range(lag, len(words)) if words[i] == words[i - lag]})
+
+
 # --- 5 mixing
 
 
