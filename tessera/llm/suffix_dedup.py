@@ -7,9 +7,10 @@ equal ones must share, and then each group's suffixes are sorted:
    hash (the leftmost of equals). Equal strings have equal anchors at equal offsets. Neighbouring
    strings share anchors, so a document has an anchor about every (LENGTH - ANCHOR) / 2 bytes, and
    strings with the same anchor form a run.
-2. Runs are brought together by anchor. Runs that agree in all their bytes (by two 64-bit
-   hashes) form a class. All of a class but its first run are covered; that needs no text, and classes
-   are combined before the shuffle.
+2. Runs are brought together by anchor. Runs that agree in all their bytes form a class; the polynomial
+   hash of the anchor only brings them together, what makes them equal is 128 bits of BLAKE2b over their
+   bytes. All of a class but its first run are covered; that needs no text, and classes are combined before
+   the shuffle.
 3. Only where several classes share an anchor, their first runs' bytes are fetched, and the suffixes
    that start at their strings are sorted: a mergesort whose comparisons find the common extension of
    two suffixes by binary search over prefix polynomial hashes. Neighbours that agree for LENGTH
@@ -41,10 +42,12 @@ _HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """Runs of strings with the same anchor: row, first start in the row, anchor's offset, last - first, two hashes."""
+    """Runs of strings with the same anchor: row, first start in the row, anchor's offset, last - first, the anchor's
+    hash and a digest of the run's bytes, as two numbers."""
     n = len(data)
+    none = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)]
     if n < length:
-        return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
+        return none
     prefix = prefix_hashes(_CODE[data])
     at = np.arange(n - anchor + 1)
     grams = mix64(span_hashes(prefix, at, at + anchor))
@@ -59,13 +62,14 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anc
     start = start[start + length <= offsets[1:][row_of[:total]]]
     spot = (least[start] & ~_HIGH).astype(np.int64)
     if not len(start):
-        return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
+        return none
     fresh = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]]))
     first, last = start[fresh], start[np.concatenate([fresh[1:] - 1, [len(start) - 1]])]
     spot, row = spot[fresh], row_of[first]
     offset, more = spot - first, last - first
-    content = mix64(span_hashes(prefix, first, last + length) + (offset * 256 + more).astype(np.uint64))
-    return row, first - offsets[row], offset, more, grams[spot], content
+    raw, digest = memoryview(data.tobytes()), hashlib.blake2b
+    content = b"".join([digest(raw[s:e], digest_size=16).digest() for s, e in zip(first.tolist(), (last + length).tolist(), strict=True)])
+    return row, first - offsets[row], offset, more, grams[spot], np.frombuffer(content, "<i8").reshape(-1, 2)
 
 
 def _segments(arr: pa.Array, length: int):
@@ -90,17 +94,17 @@ def _mapper(length: int, anchor: int):
             for begin, data, offsets, shift in _segments(batch.column(1), length):
                 row, first, offset, more, name, content = anchor_runs(data, offsets, length, anchor)
                 doc, pos = ids[begin + row].astype(np.int64), _pack(first + shift, offset, more)
-                order = np.lexsort((pos, doc, content, name))
+                order = np.lexsort((pos, doc, content[:, 1], content[:, 0], name))
                 doc, pos, name, content = doc[order], pos[order], name[order], content[order]
-                same = np.concatenate([[False], (name[1:] == name[:-1]) & (content[1:] == content[:-1])]) if len(doc) else np.zeros(0, bool)
+                same = np.concatenate([[False], (name[1:] == name[:-1]) & (content[1:] == content[:-1]).all(axis=1)]) if len(doc) else np.zeros(0, bool)
                 lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc)))) if len(doc) else np.zeros(0, np.int64)
                 again = same & ((doc != doc[lead]) | (pos != pos[lead]))
                 # Covered within this block: nothing left to compare, so it is dealt anywhere.
                 name = np.where(again, mix64(doc.view(np.uint64) ^ pos.view(np.uint64)), name)
                 keep = ~same | again
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[keep].view(np.int64)), pa.array(content[keep].view(np.int64)), pa.array(doc[keep]), pa.array(pos[keep]), pa.array(again[keep])],
-                    names=["anchor", "content", "doc", "pos", "covered"],
+                    [pa.array(name[keep].view(np.int64)), pa.array(content[keep, 0]), pa.array(content[keep, 1]), pa.array(doc[keep]), pa.array(pos[keep]), pa.array(again[keep])],
+                    names=["anchor", "c1", "c2", "doc", "pos", "covered"],
                 )
 
     return run
@@ -118,28 +122,28 @@ def _runs_batch(doc, pos, anchor=None):
 
 
 def _classer(batches):
-    """Rows sorted by anchor, content, doc, pos: covered runs (anchor null), and the first runs of classes
+    """Rows sorted by anchor, c1, c2, doc, pos: covered runs (anchor null), and the first runs of classes
     that aren't alone with their anchor. What it remembers of earlier batches is one row."""
-    last = pending = None  # (anchor, content, doc, pos of the class's first run); a first run that may be alone
+    last = pending = None  # (anchor, c1, c2, doc, pos of the class's first run); (anchor, doc, pos) of a first run that may be alone
     for batch in batches:
-        anchor, content, doc, pos, covered = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        anchor, c1, c2, doc, pos, covered = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
         covered = covered.astype(bool)
         if covered.any():
             yield _runs_batch(doc[covered], pos[covered])
-            anchor, content, doc, pos = anchor[~covered], content[~covered], doc[~covered], pos[~covered]
+            anchor, c1, c2, doc, pos = anchor[~covered], c1[~covered], c2[~covered], doc[~covered], pos[~covered]
         n = len(anchor)
         if not n:
             continue
         group = np.ones(n, bool)
         group[1:] = anchor[1:] != anchor[:-1]
         klass = np.ones(n, bool)
-        klass[1:] = group[1:] | (content[1:] != content[:-1])
+        klass[1:] = group[1:] | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
         if last is not None:
             group[0] = anchor[0] != last[0]
-            klass[0] = group[0] or content[0] != last[1]
+            klass[0] = group[0] or (c1[0], c2[0]) != last[1:3]
         lead = np.maximum.accumulate(np.where(klass, np.arange(n), -1))
-        lead_doc = np.where(lead >= 0, doc[lead], last[2] if last else 0)
-        lead_pos = np.where(lead >= 0, pos[lead], last[3] if last else 0)
+        lead_doc = np.where(lead >= 0, doc[lead], last[3] if last else 0)
+        lead_pos = np.where(lead >= 0, pos[lead], last[4] if last else 0)
         over = ~klass & ((doc != lead_doc) | (pos != lead_pos))
         if over.any():
             yield _runs_batch(doc[over], pos[over])
@@ -148,13 +152,13 @@ def _classer(batches):
             joins = ~group[heads]  # its anchor has an earlier class
             followed = np.concatenate([joins[1:], [False]])
             if pending is not None and joins[0]:
-                yield _runs_batch(np.array([pending[2]]), np.array([pending[3]]), np.array([pending[0]]))
+                yield _runs_batch(np.array([pending[1]]), np.array([pending[2]]), np.array([pending[0]]))
             several = joins | followed
             if several.any():
                 yield _runs_batch(doc[heads[several]], pos[heads[several]], anchor[heads[several]])
             h = heads[-1]
-            pending = None if several[-1] else (anchor[h], content[h], doc[h], pos[h])
-        last = (anchor[-1], content[-1], int(lead_doc[-1]), int(lead_pos[-1]))
+            pending = None if several[-1] else (anchor[h], doc[h], pos[h])
+        last = (anchor[-1], c1[-1], c2[-1], int(lead_doc[-1]), int(lead_pos[-1]))
 
 
 # --- the suffix sort -----------------------------------------------------------------------------
@@ -312,8 +316,8 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         raise ValueError("the anchor must be 8 bytes at least, and at most 200 shorter than the string")
     parts = shuffle_parts(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc is not null")
-    runs = arrow_map(rows, _mapper(length, anchor), "anchor bigint, content bigint, doc bigint, pos bigint, covered boolean")
-    runs = runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc", "pos")
+    runs = arrow_map(rows, _mapper(length, anchor), "anchor bigint, c1 bigint, c2 bigint, doc bigint, pos bigint, covered boolean")
+    runs = runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "c1", "c2", "doc", "pos")
     classed = written(arrow_map(runs, _classer, _RUNS), "runs")
     firsts = classed.where("anchor is not null")
     crowded = written(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_runs), "crowded")

@@ -591,6 +591,26 @@ def test_suffix_sort_survives_collisions(monkeypatch):
     assert sorted(zip(*(x.tolist() for x in suffix_dedup.covered_strings(*args)), strict=True)) == want
 
 
+def test_classes_survive_collisions(monkeypatch):
+    """All anchors under one hash: runs that count as one class still agree byte by byte."""
+    rng = random.Random(6)
+    base = ["".join(rng.choice("ab") for _ in range(260)) for _ in range(5)]
+    texts = [t for t in base * 3] + [t[:130] + "c" + t[130:] for t in base]
+    monkeypatch.setattr(suffix_dedup, "_CODE", np.ones(256, np.uint64))
+    mapped = list(suffix_dedup._mapper(100, 32)(pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], names=["doc", "text"]) for k, t in enumerate(texts)))
+    rows = sorted((r["anchor"], r["c1"], r["c2"], r["doc"], r["pos"]) for b in mapped for r in b.to_pylist() if not r["covered"])
+    cut = lambda doc, pos: texts[doc][pos >> 16 : (pos >> 16) + (pos & 255) + 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)] + [pa.array([False] * len(rows))], names=["anchor", "c1", "c2", "doc", "pos", "covered"])
+    covered = [r for b in suffix_dedup._classer(iter([batch.slice(0, 7), batch.slice(7)])) for r in b.to_pylist() if r["anchor"] is None]
+    assert len(covered) > 10
+    for r in covered:  # its bytes start earlier, too
+        string = texts[r["doc"]][r["first"] : r["first"] + r["more"] + 100]
+        assert any(string in texts[d] for d in range(r["doc"])) or texts[r["doc"]].find(string) < r["first"]
+    groups = {}
+    for a, c1, c2, doc, pos in rows:
+        assert groups.setdefault((a, c1, c2), cut(doc, pos)) == cut(doc, pos)
+
+
 # --- 10 exact dedup
 
 
