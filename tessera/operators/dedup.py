@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths
+from ..session import arrow_map, shuffle_parts, with_fields
 
 NEW_LABELS = ("new", "recover")
 
@@ -17,16 +18,15 @@ def fingerprint_lookup(source: DataFrame, files: DataFrame) -> DataFrame:
     Where both sides have a RAW id and these differ, a candidate isn't admissible; of those that are, the
     one with the smallest id counts. Files without an extension never match.
     """
-    right = files.where(F.col("crc32").isNotNull()).select(
-        F.col("size").alias("c_size"), F.col("crc32").alias("c_crc"), paths.extension("path").alias("c_ext"),
-        F.struct(F.col("id").alias("c_id"), F.col("path").alias("c_path"), F.col("status").alias("c_status"), F.col("raw_id").alias("c_raw")).alias("c"),
-    )
-    left = source.withColumn("_ext", paths.extension("path"))
-    on = (F.col("size") == F.col("c_size")) & (F.col("crc32") == F.col("c_crc")) & (F.col("_ext") == F.col("c_ext"))
-    admissible = F.col("raw_id").isNull() | F.col("c.c_raw").isNull() | (F.col("raw_id") == F.col("c.c_raw"))
-    # The smallest candidate is a pre-aggregated minimum, so a crowded fingerprint isn't gathered.
-    best = left.join(right, on & admissible).groupBy(*[F.col(c) for c in ("path",)]).agg(F.min("c").alias("c"))
-    return left.drop("_ext").join(best, "path", "left").select(*source.columns, "c.c_id", "c.c_path", "c.c_status", "c.c_raw")
+    key, c = ["_size", "_crc", "_ext"], F.struct(F.col("id").alias("c_id"), F.col("path").alias("c_path"), F.col("status").alias("c_status"), F.col("raw_id").alias("c_raw"))
+    right = files.where(F.col("crc32").isNotNull()).select(F.col("size").alias("_size"), F.col("crc32").alias("_crc"), paths.extension("path").alias("_ext"), F.col("raw_id").alias("_raw"), c.alias("_c"))
+    # Each side of a join below has a key once at most: a fingerprint that many files share is combined before.
+    shared = right.groupBy(*key).agg(F.min("_c").alias("_any"), F.min(F.when(F.col("_raw").isNull(), F.col("_c"))).alias("_bare"))
+    exact = right.where("_raw is not null").groupBy(*key, "_raw").agg(F.min("_c").alias("_own"))
+    left = source.withColumns({"_size": F.col("size"), "_crc": F.col("crc32"), "_ext": paths.extension("path"), "_raw": F.col("raw_id")})
+    found = left.join(shared, key, "left").join(exact, [*key, "_raw"], "left")
+    found = found.withColumn("c", F.when(F.col("_raw").isNull(), F.col("_any")).otherwise(F.least("_bare", "_own")))
+    return found.select(*source.columns, "c.c_id", "c.c_path", "c.c_status", "c.c_raw")
 
 
 def classify(looked_up: DataFrame, disk: DataFrame) -> DataFrame:
@@ -155,34 +155,63 @@ def outcome_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), *[F.coalesce(F.count_if(F.col("outcome") == k), F.lit(0)).alias(k) for k in ("added", "duplicate", "failed", "skipped")])
 
 
-def conflict_rename(planned: DataFrame, taken: DataFrame | None = None, template: str = "$filename.$n.$ext") -> DataFrame:
-    """planned(path, dest) with final: every destination once.
+DEFAULT_RENAME = "$filename.$n.$ext"
 
-    Of rows with one destination, the first by path keeps it, if taken(path) doesn't have it; the others
-    get the template with n = 1, 2, ... in the order of path. A generated name that is itself taken, or
-    another row's destination, moves on to the next free number in a second pass.
+
+def conflict_rename(planned: DataFrame, taken: DataFrame | None = None, template: str = DEFAULT_RENAME) -> DataFrame:
+    """planned(path, dest) with final: every destination once, and none of taken(path).
+
+    Rows come one by one in the order of path: each keeps its destination if that is free, or gets the template with the
+    smallest n from 1 that makes a free name. Names that can meet are a family: those of one folder that are alike
+    without their numbers (for other templates than the default one, all of a folder). A family of one
+    free name needs no more; the others stream through a task each, which holds the family's names.
+    Paths are not null. A null destination stays null; an empty table gives an empty result.
     """
-    n = F.row_number().over(Window.partitionBy("dest").orderBy("path"))
-    rows = planned.withColumn("_n", n - 1)
-    if taken is not None:
-        held = taken.select(F.col("path").alias("dest"), F.lit(1).alias("_held")).distinct()
-        rows = rows.join(held, "dest", "left").withColumn("_n", F.col("_n") + F.coalesce("_held", F.lit(0))).drop("_held")
     folder, name = paths.parent("dest"), paths.file_name("dest")
-    base, ext = paths.stem("dest"), F.regexp_extract(F.col("dest"), r"[^/]\.([^./]*)$", 1)
-
-    def named(k: Column) -> Column:
-        out = F.replace(F.replace(F.replace(F.lit(template), F.lit("$filename"), base), F.lit("$n"), k.cast("string")), F.lit("$ext"), ext)
-        out = F.regexp_replace(out, r"\.$", "")
-        return F.when(k == 0, F.col("dest")).otherwise(F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), out))
-
-    del name
-    first = rows.withColumn("final", named(F.col("_n")))
-    names = planned.select(F.col("dest").alias("final"))
-    if taken is not None:
-        names = names.unionAll(taken.select(F.col("path").alias("final")))
-    clash = first.where("_n > 0").join(names.distinct(), "final", "left_semi").select("path", "dest").withColumn("_clash", F.lit(True))
-    out = first.join(clash, ["path", "dest"], "left")
-    # numbers beyond the group's size can't be another generated name of the same group
-    size = F.count(F.lit(1)).over(Window.partitionBy("dest"))
-    out = out.withColumn("_n", F.when(F.col("_clash"), F.col("_n") + size + 1).otherwise(F.col("_n")))
-    return out.withColumn("final", named(F.col("_n"))).select(*planned.columns, "final")
+    alike = F.regexp_replace(name, r"\.\d+(?=\.|$)", "") if template == DEFAULT_RENAME else F.lit("")
+    family = F.concat_ws("/", F.coalesce(folder, F.lit("")), alike)
+    rows = planned.withColumn("_family", F.when(F.col("dest").isNotNull(), family))
+    held = (planned.limit(0).select("dest") if taken is None else taken.select(F.col("path").alias("dest"))).where("dest is not null").withColumn("_family", family)
+    sizes = rows.select("_family").unionAll(held.select("_family")).groupBy("_family").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = sizes.where("_n > 1 and _family is not null").select("_family", F.lit(True).alias("_crowded"))
+    rows = rows.join(crowded, "_family", "left")
+    simple = rows.where("_crowded is null").select(*planned.columns, F.col("dest").alias("final"))
+    both = rows.where("_crowded").drop("_crowded").unionByName(held.join(crowded.select("_family"), "_family", "left_semi").distinct(), allowMissingColumns=True)
+    names = planned.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, used, numbers = None, set(), {}
+        for batch in batches:
+            keep, final = [], []
+            for family, path, dest in zip(*[batch.column(k).to_pylist() for k in ("_family", "path", "dest")], strict=True):
+                if family != now:
+                    now, used, numbers = family, set(), {}
+                own = dest
+                if path is not None:  # what is taken has no path, and comes first
+                    n = numbers.get(dest, 0)
+                    while own in used:  # what is taken stays so: the search goes on from the last number
+                        n += 1
+                        own = renamed(dest, template, n)
+                    numbers[dest] = max(n - 1, 0)
+                    final.append(own)
+                keep.append(path is not None)
+                used.add(own)
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in names], pa.array(final, pa.string())], names=[*names, "final"])
+
+    # By a hash of the family: by the family itself, Spark takes the union for partitioned already, which it then isn't.
+    sorted_rows = both.select("_family", *names).repartition(shuffle_parts(planned.sparkSession), F.xxhash64("_family")).sortWithinPartitions("_family", F.asc_nulls_first("path"), "dest")
+    return simple.unionAll(arrow_map(sorted_rows, run, with_fields(planned.schema, final="string")))
+
+
+def renamed(dest: str, template: str, n: int) -> str:
+    """dest under the template with number n; a name without extension has no dot at its end."""
+    folder, _, name = dest.rpartition("/")
+    base, dot, ext = name.rpartition(".")
+    if not dot:
+        base, ext = name, ""
+    out = template.replace("$filename", base).replace("$ext", ext).replace("$n", str(n))
+    out = out[:-1] if out.endswith(".") else out
+    return f"{folder}/{out}" if folder else out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.values import GENESIS, event_hash
-from ..session import arrow_map, with_fields
+from ..session import arrow_map, shuffle_parts, with_fields
 
 COLUMNS = ["seq", "occurred_at", "event_type", "entity_type", "entity_id", "payload", "prev_hash", "self_hash"]
 PAYLOAD = "session_id string, session_type string, source string, total_files long, added long, duplicate long, failed long, skipped long, manifest string"
@@ -18,7 +18,7 @@ STATUS_NAMES = {
 }
 
 
-def filter_events(events: DataFrame, event_type: str | None = None, from_ms: int | None = None, to_ms: int | None = None, path: str | None = None, limit: int | None = None) -> DataFrame:
+def filter_events(events: DataFrame, event_type: str | None = None, from_ms: int | None = None, to_ms: int | None = None, path: str | None = None, limit: int | None = None, payload_like: str | None = None) -> DataFrame:
     """Newest first; bounds are included; an argument that is None filters nothing."""
     out = events
     if event_type is not None:
@@ -30,6 +30,8 @@ def filter_events(events: DataFrame, event_type: str | None = None, from_ms: int
     if path is not None:
         keys = [F.get_json_object("payload", f"$.{k}") == path for k in ("path", "old_path", "new_path")]
         out = out.where(F.coalesce(keys[0], F.lit(False)) | F.coalesce(keys[1], F.lit(False)) | F.coalesce(keys[2], F.lit(False)))
+    if payload_like is not None:
+        out = out.where(F.col("payload").ilike(payload_like))
     out = out.orderBy(F.desc("seq"))
     return out if limit is None else out.limit(limit)
 
@@ -48,7 +50,7 @@ def build_chain(events: DataFrame, by: list[str] | None = None, head: str = GENE
     columns = ["occurred_at", "event_type", "entity_type", "entity_id", "payload"]
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     rows = events.withColumn("_body", F.concat_ws("|", *parts)).withColumn("_by", F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit(""))
-    rows = (rows.repartition("_by") if by else rows.coalesce(1)).sortWithinPartitions("_by", "seq")
+    rows = (rows.repartition(shuffle_parts(events.sparkSession), F.xxhash64("_by")) if by else rows.coalesce(1)).sortWithinPartitions("_by", "seq")
     names = events.columns
     schema = with_fields(events.schema, prev_hash="string", self_hash="string")
 
@@ -87,24 +89,24 @@ def fold_heads(events: DataFrame, by: str) -> DataFrame:
 
 
 def verify_chain(events: DataFrame, parts: int | None = None) -> DataFrame:
-    """first_bad: the smallest seq whose link or own hash is wrong, null if the log is intact.
+    """first_bad: the smallest seq whose link or own hash is wrong (a null hash is), null if the log is intact.
 
     Rows are range-partitioned by seq and checked within partitions; a partition's first row is held
     against the last row of the partition before it, of which there is one each.
     """
     spark = events.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = parts or shuffle_parts(spark)
     ranged = events.repartitionByRange(n, "seq").withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy("seq")
     own = event_hash(*[F.col(c) for c in ("occurred_at", "event_type", "entity_type", "entity_id", "payload", "prev_hash")])
-    checked = ranged.select("_pid", "seq", "prev_hash", "self_hash", F.lag("self_hash").over(w).alias("_before"), (own != F.col("self_hash")).alias("_bad"))
-    bad = F.col("_bad") | (F.col("_before").isNotNull() & (F.col("_before") != F.col("prev_hash")))
-    ends = checked.groupBy("_pid").agg(
-        F.min(F.when(bad, F.col("seq"))).alias("inner"), F.min_by(F.struct("seq", "prev_hash"), "seq").alias("a"), F.max_by("self_hash", "seq").alias("z")
-    )
+    # a link is held in a struct: it is null only where there is no row before, not where the hash is
+    link = F.struct(F.col("self_hash").alias("h"))
+    checked = ranged.select("_pid", "seq", "prev_hash", "self_hash", F.lag(link).over(w).alias("_before"), (~own.eqNullSafe(F.col("self_hash"))).alias("_bad"))
+    bad = F.col("_bad") | (F.col("_before").isNotNull() & ~F.col("_before.h").eqNullSafe(F.col("prev_hash")))
+    ends = checked.groupBy("_pid").agg(F.min(F.when(bad, F.col("seq"))).alias("inner"), F.min_by(F.struct("seq", "prev_hash"), "seq").alias("a"), F.max_by(link, "seq").alias("z"))
     # as many rows as partitions
-    border = ends.withColumn("_z", F.coalesce(F.lag("z").over(Window.orderBy("a.seq")), F.lit(GENESIS)))
-    return border.agg(F.min(F.least("inner", F.when(F.col("_z") != F.col("a.prev_hash"), F.col("a.seq")))).alias("first_bad"))
+    border = ends.withColumn("_z", F.coalesce(F.lag("z").over(Window.orderBy("a.seq")), F.struct(F.lit(GENESIS).alias("h"))))
+    return border.agg(F.min(F.least("inner", F.when(~F.col("_z.h").eqNullSafe(F.col("a.prev_hash")), F.col("a.seq")))).alias("first_bad"))
 
 
 def sessions(events: DataFrame, source: str | None = None, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:

@@ -21,13 +21,18 @@ def reconcile_moves(missing: DataFrame, disk: DataFrame) -> DataFrame:
     fast). A disk file answers the first missing path by name; of several disk files for one row, the first by
     name counts.
     """
-    left = disk.select(F.col("path").alias("new_path"), "xxh3_128", "size", F.col("sha256").alias("d_sha"))
-    right = missing.select("id", F.col("path").alias("old_path"), "xxh3_128", "size", F.col("sha256").alias("c_sha"))
-    agree = F.col("c_sha").isNull() | F.col("d_sha").isNull() | (F.col("c_sha") == F.col("d_sha"))
-    sure = F.when(F.col("c_sha").isNotNull() & F.col("d_sha").isNotNull(), "definitive").otherwise("fast")
-    pairs = left.join(right, ["xxh3_128", "size"]).where(agree).select("new_path", F.struct("old_path", "id", sure.alias("confidence")).alias("m"))
-    best = pairs.groupBy("new_path").agg(F.min("m").alias("m"))
-    return best.groupBy(F.col("m.id").alias("id"), F.col("m.old_path").alias("old_path")).agg(F.min(F.struct("new_path", F.col("m.confidence").alias("confidence"))).alias("b")).select("id", "old_path", "b.new_path", "b.confidence")
+    key, m = ["xxh3_128", "size"], F.struct(F.col("path").alias("old_path"), "id")
+    left = disk.select(F.col("path").alias("new_path"), *key, F.col("sha256").alias("_sha"))
+    right = missing.where("xxh3_128 is not null").select(*key, F.col("sha256").alias("_sha"), m.alias("_m"), F.col("sha256").isNotNull().alias("_has"))
+    # The first missing path of each content, and of each content with its SHA-256: no pair of equal files is listed.
+    first = F.struct("_m", "_has")
+    shared = right.groupBy(*key).agg(F.min(first).alias("_any"), F.min(F.when(F.col("_sha").isNull(), first)).alias("_bare"))
+    exact = right.where("_sha is not null").groupBy(*key, "_sha").agg(F.min(first).alias("_own"))
+    found = left.join(shared, key).join(exact, [*key, "_sha"], "left")
+    found = found.withColumn("m", F.when(F.col("_sha").isNull(), F.col("_any")).otherwise(F.least("_bare", "_own"))).where("m is not null")
+    sure = F.when(F.col("m._has") & F.col("_sha").isNotNull(), "definitive").otherwise("fast")
+    best = found.groupBy(F.col("m._m.id").alias("id"), F.col("m._m.old_path").alias("old_path")).agg(F.min(F.struct("new_path", sure.alias("confidence"))).alias("b"))
+    return best.select("id", "old_path", "b.new_path", "b.confidence")
 
 
 def unmatched(missing: DataFrame, moves: DataFrame) -> DataFrame:

@@ -351,6 +351,23 @@ def import_summary(spark, d):
 ORACLES["import_summary"] = _sql("files", "disk", ctes=_OUTCOME, body="SELECT count(*) AS total, count(*) FILTER (outcome = 'added') AS added, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'skipped') AS skipped FROM outcome")
 
 
+_BROKEN = [c for c in events.COLUMNS if c != "seq"]
+
+
+@query(sql="SELECT n, c, (SELECT min(event_id) FROM events WHERE event_id % 97 = 40) AS first_bad FROM (VALUES " + ", ".join(f"({n}, '{c}')" for n in (1, 23) for c in _BROKEN) + ") t(n, c)")
+def chain_tamper_columns(spark, d):
+    """Each column in turn altered and nulled, on 1 and on 23 partitions."""
+    chained, out = events.build_chain(a.events(spark, d)), None
+    for n in (1, 23):
+        for c in _BROKEN:
+            kind = dict(chained.dtypes)[c]
+            other = F.lit(None).cast(kind) if n == 1 or c in ("prev_hash", "self_hash") else (F.col(c) + 1 if kind == "bigint" else F.concat(F.col(c).cast("string"), F.lit("~")).cast(kind))
+            one = events.verify_chain(chained.withColumn(c, F.when(F.col("seq") % 97 == 40, other).otherwise(F.col(c))), n)
+            one = one.select(F.lit(n).alias("n"), F.lit(c).alias("c"), "first_bad")
+            out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query("files", "disk", sql="SELECT d.path, EXISTS (SELECT 1 FROM files f WHERE f.path = d.path AND f.status <> 'missing') AS tracked FROM disk d")
 def path_tracked_skip(spark, d):
     tracked = a.files(spark, d).where("status <> 'missing'").select("path", F.lit(True).alias("t")).distinct()
@@ -431,13 +448,13 @@ ORACLES["verify_summary"] = _sql("files", "disk", ctes=_VERIFY, body="SELECT cou
 def _recheck(spark, d):
     f, disk = a.files(spark, d), a.disk(spark, d)
     items = f.select(F.concat(F.lit("card/"), F.col("path")).alias("src_path"), F.when(F.col("id") % 23 != 0, F.col("path")).alias("dest_path"), "xxh3_128", "sha256")
-    c = a._content(spark, d).where("id % 29 <> 0")
-    source = c.select(F.concat(F.lit("card/"), F.col("path")).alias("path"), F.when(F.col("id") % 31 == 0, F.lit(None)).otherwise(F.col("xxh3_128")).alias("xxh3_128"), F.when(F.col("id") % 31 == 0, F.lit(None)).otherwise(F.col("sha256")).alias("sha256"), F.lit(None).cast("string").alias("error"))
+    c = a._content(spark, d)
+    source = c.select(F.concat(F.when(F.col("id") % 29 == 0, "gone/").when(F.col("id") % 3 == 0, "card/old/").otherwise("card/"), F.col("path")).alias("path"), F.when(F.col("id") % 31 == 0, F.lit(None)).otherwise(F.col("xxh3_128")).alias("xxh3_128"), F.when(F.col("id") % 31 == 0, F.lit(None)).otherwise(F.col("sha256")).alias("sha256"), F.lit(None).cast("string").alias("error"))
     return reconcile.recheck(items, source, disk)
 
 
 _RECHECK = """i AS (SELECT id, 'card/' || path AS src_path, CASE WHEN id % 23 <> 0 THEN path END AS dest_path, xxh3_128, sha256 FROM files),
-s AS (SELECT 'card/' || path AS path, CASE WHEN id % 31 = 0 THEN NULL ELSE xxh3_128 END AS xxh3_128, CASE WHEN id % 31 = 0 THEN NULL ELSE sha256 END AS sha256 FROM c WHERE id % 29 <> 0),
+s AS (SELECT CASE WHEN id % 29 = 0 THEN 'gone/' WHEN id % 3 = 0 THEN 'card/old/' ELSE 'card/' END || path AS path, CASE WHEN id % 31 = 0 THEN NULL ELSE xxh3_128 END AS xxh3_128, CASE WHEN id % 31 = 0 THEN NULL ELSE sha256 END AS sha256 FROM c),
 q AS (SELECT i.*, s.path AS sp, disk.path AS dp, disk.error AS e, CASE WHEN i.sha256 IS NOT NULL THEN i.sha256 IS NOT DISTINCT FROM s.sha256 ELSE i.xxh3_128 IS NOT DISTINCT FROM s.xxh3_128 END AS so,
     CASE WHEN i.sha256 IS NOT NULL THEN i.sha256 IS NOT DISTINCT FROM disk.sha256 ELSE i.xxh3_128 IS NOT DISTINCT FROM disk.xxh3_128 END AS vo
   FROM i LEFT JOIN s ON s.path = i.src_path LEFT JOIN disk ON disk.path = i.dest_path WHERE i.dest_path IS NOT NULL),
@@ -491,6 +508,19 @@ def conflict_rename(spark, d):
     return dedup.conflict_rename(p)
 
 
+@query(sql="""WITH p AS (SELECT o_orderkey AS k, 'card/' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS path, 'd' || (o_orderkey % 37) || '/IMG_' || (o_orderkey % 500) AS b FROM orders),
+  n AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY path) - 1 AS k0 FROM p)
+  SELECT path, b || '.jpg' AS dest, b || CASE WHEN CAST(regexp_extract(b, '([0-9]+)$') AS INTEGER) % 2 = 0 THEN CASE k0 WHEN 0 THEN '.1' WHEN 1 THEN '.3' ELSE '.' || (k0 + 2) END ELSE CASE k0 WHEN 0 THEN '' ELSE '.' || k0 END END || '.jpg' AS final FROM n""")
+def conflict_rename_taken(spark, d):
+    """Of even names, the destination itself and its second number are taken."""
+    k = F.col("o_orderkey")
+    o = a.table(spark, d, "orders").select(k, F.concat(F.lit("d"), k % 37, F.lit("/IMG_"), k % 500).alias("b"))
+    planned = o.select(F.concat(F.lit("card/"), F.lpad(k.cast("string"), 9, "0")).alias("path"), F.concat("b", F.lit(".jpg")).alias("dest"))
+    even = o.where(k % 2 == 0).select("b").distinct()
+    taken = even.select(F.explode(F.array(F.concat("b", F.lit(".jpg")), F.concat("b", F.lit(".2.jpg")))).alias("path"))
+    return dedup.conflict_rename(planned, taken)
+
+
 @query(sql=r"""SELECT c_custkey AS id, CASE WHEN s = '' THEN 'Unknown' ELSE s END AS device FROM (SELECT c_custkey, trim(regexp_replace(CASE WHEN md = '' THEN mk WHEN mk = '' THEN md WHEN starts_with(lower(md), lower(mk)) THEN md ELSE mk || ' ' || md END, '[^A-Za-z0-9 _-]', '_', 'g')) AS s
   FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS mk, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) || ' X/' || c_custkey WHEN c_custkey % 10 = 5 THEN '' ELSE c_name END AS md FROM customer))""")
 def device_name(spark, d):
@@ -752,7 +782,7 @@ ORACLES["catalog_after_import"] = _sql("files", "disk", ctes=_OUTCOME, body=f"""
 
 @query("session_events", sql="SELECT seq FROM session_events WHERE lower(payload) LIKE '%\"manifest\":\"m/1%'")
 def events_payload_like(spark, d):
-    return a.session_events(spark, d).where(F.col("payload").ilike('%"manifest":"M/1%')).select("seq")
+    return events.filter_events(a.session_events(spark, d), payload_like='%"manifest":"M/1%').select("seq")
 
 
 # --- reports as JSON lines -----------------------------------------------------------------------

@@ -85,3 +85,8 @@ def with_fields(schema: StructType, **kinds: str) -> StructType:
     for name, kind in kinds.items():
         out = out.add(name, kind)
     return out
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    """Partitions of a shuffle."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,8 +56,9 @@ def dump(spark: SparkSession, tables: dict[str, DataFrame], path: str, form: str
         try:
             part = df if limit is None else df.limit(limit)
             lines = {"csv": csv_rows, "json": json_rows, "sql": lambda x, n=name: sql_rows(x, n)}[form](part)
-            lines.write.mode("overwrite").text(f"{path}/{name}")
-            n = spark.read.text(f"{path}/{name}").count()
+            seen = Observation()  # rows are counted as they are written: a row may have several lines
+            lines.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(f"{path}/{name}")
+            n = seen.get["n"]
             mark = "--" if form == "sql" else "#"
             head = f"{mark} Table: {name} ({n} rows)" if n or form != "sql" else f"-- Table: {name} (empty)"
             rows = [head] + ([",".join(df.columns)] if form == "csv" else [])

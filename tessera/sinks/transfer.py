@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import filecmp
 import os
 import shutil
 
@@ -61,10 +62,10 @@ def _run(action):
 
 def transfer(rows: DataFrame, strategies: tuple[str, ...] = ("reflink", "hardlink", "copy")) -> DataFrame:
     """rows(src, dest, ...) with how and copy_error, once each file has been placed. A re-run task finds a file
-    with equal size in place and leaves it."""
+    with the same content in place and leaves it; another content there is an error, and stays."""
 
     def action(row):
-        if os.path.exists(row["dest"]) and os.path.getsize(row["dest"]) == os.path.getsize(row["src"]):
+        if os.path.exists(row["dest"]) and filecmp.cmp(row["src"], row["dest"], shallow=False):
             return "present"
         return place(row["src"], row["dest"], strategies)
 

@@ -31,23 +31,30 @@ def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog: two thirds of the documents; every fifth is missing, every fourth has no SHA-256."""
-    c = _content(spark, sf_dir).where("id % 3 <> 0")
+    """The catalog: every document; a third under other paths and with other contents than on disk, every fifth
+    missing, every fourth without SHA-256."""
+    c, old = _content(spark, sf_dir), F.col("id") % 3 == 0
     return c.select(
-        "id", "path", "size", "crc32", "raw_id", "xxh3_128",
-        F.when(F.col("id") % 4 != 0, F.col("sha256")).alias("sha256"),
+        "id",
+        F.when(old, F.concat(F.lit("old/"), F.col("path"))).otherwise(F.col("path")).alias("path"),
+        (F.col("size") + F.when(old, 7).otherwise(0)).alias("size"),
+        "crc32", "raw_id",
+        F.when(old, F.unhex(F.md5(F.concat(F.lit("old"), F.hex("xxh3_128")).cast("binary")))).otherwise(F.col("xxh3_128")).alias("xxh3_128"),
+        F.when(F.col("id") % 4 != 0, F.when(old, F.unhex(F.sha2(F.concat(F.lit("old"), F.hex("sha256")).cast("binary"), 256))).otherwise(F.col("sha256"))).alias("sha256"),
         F.when(F.col("id") % 5 == 0, "missing").otherwise("imported").alias("status"),
         (F.lit(NOW_MS) - (F.col("id") * 7919 % 4_000_000) * 1000).alias("imported_at"),
     )
 
 
 def disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is there: most documents; some at other paths, some with another size or content, some unreadable."""
-    c = _content(spark, sf_dir).where("id % 11 <> 0")
-    flipped = F.col("id") % 17 == 0
+    """What is there: every document; some at other paths, some with another size or content (or both: the catalog's
+    file is gone and a new one is there), some unreadable."""
+    c = _content(spark, sf_dir)
+    fresh = F.col("id") % 11 == 0
+    flipped = (F.col("id") % 17 == 0) | fresh
     return c.select(
-        F.when(F.col("id") % 7 == 0, F.concat(F.lit("moved/"), F.col("path"))).otherwise(F.col("path")).alias("path"),
-        (F.col("size") + F.when(F.col("id") % 13 == 0, 1).otherwise(0)).alias("size"),
+        F.when(fresh, F.concat(F.lit("new/"), F.col("path"))).when(F.col("id") % 7 == 0, F.concat(F.lit("moved/"), F.col("path"))).otherwise(F.col("path")).alias("path"),
+        (F.col("size") + F.when(F.col("id") % 13 == 0, 1).when(fresh, 3).otherwise(0)).alias("size"),
         "crc32", "raw_id",
         F.when(flipped, F.unhex(F.md5(F.hex("xxh3_128").cast("binary")))).otherwise(F.col("xxh3_128")).alias("xxh3_128"),
         F.when(flipped, F.unhex(F.sha2(F.hex("sha256").cast("binary"), 256))).otherwise(F.col("sha256")).alias("sha256"),
@@ -66,19 +73,21 @@ c AS (
 SQL = {
     "files": _C + """,
 files AS (
-  SELECT id, path, size, crc32, raw_id, xxh3_128, CASE WHEN id % 4 <> 0 THEN sha256 END AS sha256,
+  SELECT id, CASE WHEN id % 3 = 0 THEN 'old/' ELSE '' END || path AS path, size + CASE WHEN id % 3 = 0 THEN 7 ELSE 0 END AS size, crc32, raw_id,
+    CASE WHEN id % 3 = 0 THEN md5('old' || upper(xxh3_128)) ELSE xxh3_128 END AS xxh3_128,
+    CASE WHEN id % 4 = 0 THEN NULL WHEN id % 3 = 0 THEN sha256('old' || upper(sha256)) ELSE sha256 END AS sha256,
     CASE WHEN id % 5 = 0 THEN 'missing' ELSE 'imported' END AS status,
     1700000000000 - (id * 7919 % 4000000) * 1000 AS imported_at
-  FROM c WHERE id % 3 <> 0
+  FROM c
 )""",
     "disk": """
 disk AS (
-  SELECT CASE WHEN id % 7 = 0 THEN 'moved/' || path ELSE path END AS path,
-    size + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END AS size, crc32, raw_id,
-    CASE WHEN id % 17 = 0 THEN md5(upper(xxh3_128)) ELSE xxh3_128 END AS xxh3_128,
-    CASE WHEN id % 17 = 0 THEN sha256(upper(sha256)) ELSE sha256 END AS sha256,
+  SELECT CASE WHEN id % 11 = 0 THEN 'new/' || path WHEN id % 7 = 0 THEN 'moved/' || path ELSE path END AS path,
+    size + CASE WHEN id % 13 = 0 THEN 1 WHEN id % 11 = 0 THEN 3 ELSE 0 END AS size, crc32, raw_id,
+    CASE WHEN id % 17 = 0 OR id % 11 = 0 THEN md5(upper(xxh3_128)) ELSE xxh3_128 END AS xxh3_128,
+    CASE WHEN id % 17 = 0 OR id % 11 = 0 THEN sha256(upper(sha256)) ELSE sha256 END AS sha256,
     CASE WHEN id % 19 = 0 THEN 'permission denied' END AS error
-  FROM c WHERE id % 11 <> 0
+  FROM c
 )""",
 }
 

@@ -19,24 +19,31 @@ def import_stream(stream: DataFrame, catalog_path: str, checkpoint: str) -> Stre
     """Appends each batch's new contents to the catalog at catalog_path, in a folder per batch.
 
     A batch that runs again replaces its own folder and is compared with all other batches only, so a restart
-    never imports twice; contents that earlier batches have, or an earlier path of the same batch, are left out.
+    never imports twice. Contents that earlier batches have, or an earlier path of the same batch, by either hash that
+    both sides have, are left out.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("key", F.coalesce(F.hex("sha256"), F.hex("xxh3_128")))
-        first = dedup.first_wins(rows, "key", ["path"]).where("is_first").drop("is_first")
-        try:
+        first = batch
+        for key in ("xxh3_128", "sha256"):
+            first = dedup.first_wins(first, key, ["path"]).where("is_first").drop("is_first")
+        if _exists(spark, catalog_path):
             before = spark.read.option("basePath", catalog_path).parquet(catalog_path).where(F.col("batch") < batch_id)
-            first = first.join(before.select("key").distinct(), "key", "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        first.write.mode("overwrite").parquet(f"{catalog_path}/batch={batch_id}")
+            for key in ("xxh3_128", "sha256"):
+                first = first.join(before.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+        first.select(*batch.columns).write.mode("overwrite").parquet(f"{catalog_path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a batch under path already."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(p))
+
+
 def distinct_contents(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """First sight of each content within the watermark; the state of older contents is dropped."""
     timed = stream.withColumn("seen_at", F.timestamp_millis("imported_at")).withWatermark("seen_at", delay)

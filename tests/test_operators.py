@@ -30,6 +30,12 @@ def test_chain(spark):
     assert events.verify_chain(chained.where("seq > 1"), 3).first()[0] == 2
     assert events.chain_heads(chained.limit(0)).first()["head"] == GENESIS
     assert events.verify_chain(chained.limit(0)).first()[0] is None
+    for c in events.COLUMNS[1:]:  # nulled, and with its hash nulled to hide what was altered
+        for parts in (1, 4, 50):
+            odd = chained.withColumn(c, F.when(F.col("seq") == 4, F.lit(None).cast(dict(chained.dtypes)[c])).otherwise(F.col(c)))
+            assert events.verify_chain(odd, parts).first()[0] == 4, (c, parts)
+            odd = odd.withColumn("self_hash", F.when(F.col("seq") == 4, F.lit(None)).otherwise(F.col("self_hash")))
+            assert events.verify_chain(odd, parts).first()[0] == 4, (c, parts)
 
 
 def test_lookup_takes_first_admissible(spark):
@@ -61,6 +67,31 @@ def test_conflict_rename_avoids_taken_and_generated(spark):
     assert {r.path: r.final for r in dedup.conflict_rename(p.where("path >= '4'")).collect()} == {"4": "noext", "5": "noext.1"}
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from(["d/a.jpg", "d/a.1.jpg", "d/a.4.jpg", "d/b", "b", "b.1", "b.1.2", "e/a.jpg"]), max_size=14), st.sets(st.sampled_from(["d/a.jpg", "d/a.1.jpg", "d/a.4.jpg", "d/b.1", "b.2", "d/c"])), st.sampled_from([dedup.DEFAULT_RENAME, "$n-$filename.$ext"]))
+def test_conflict_rename_is_the_sequential_loop(spark, dests, taken, template):
+    want, used = {}, set(taken)
+    for k, dest in enumerate(dests):
+        name, n = dest, 0
+        while name in used:
+            n += 1
+            name = dedup.renamed(dest, template, n)
+        used.add(name)
+        want[f"{k:03d}"] = name
+    p = spark.createDataFrame([(f"{k:03d}", x) for k, x in enumerate(dests)], "path string, dest string")
+    t = spark.createDataFrame([(x,) for x in taken], "path string")
+    assert {r.path: r.final for r in dedup.conflict_rename(p, t, template).collect()} == want
+
+
+def test_equal_files_are_not_paired(spark):
+    """20,000 equal files on both sides: all pairs would be 4e8 rows."""
+    n = 20_000
+    files = spark.range(n).select("id", F.concat(F.lit("a/"), F.col("id"), F.lit(".jpg")).alias("path"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("crc32"), F.lit(None).cast("string").alias("raw_id"), F.lit("imported").alias("status"), F.lit("h").alias("xxh3_128"), F.lit("s").alias("sha256"))
+    disk = files.withColumn("path", F.concat(F.lit("b/"), F.col("id"), F.lit(".jpg")))
+    assert dedup.fingerprint_lookup(disk, files).where("c_id = 0").count() == n
+    assert [tuple(r) for r in reconcile.reconcile_moves(files, disk).collect()] == [(0, "a/0.jpg", "b/0.jpg", "definitive")]
+
+
 def test_moves_prefer_first_names(spark):
     cols = "id bigint, path string, size bigint, xxh3_128 string, sha256 string"
     missing = spark.createDataFrame([(1, "b", 5, "h", None), (2, "a", 5, "h", "s"), (3, "c", 5, "k", "other")], cols)
