@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import time
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from ..sinks import dump as dumps
 from ..sinks.store import Archive, session_id, single_event
 from ..sinks.transfer import clone_copy, make_independent, transfer
 from ..sources.documents import Settings, clean_root, file_list, listed, manifest_items, manifests, settings
-from ..sources.file_tree import file_tree, with_hashes
+from ..sources.file_tree import file_tree, with_digests, with_fingerprint
 
 NOTHING = {"total": 0, "imported": 0, "duplicate": 0, "failed": 0, "all_cache_hit": False}
 
@@ -23,6 +25,14 @@ def _now() -> int:
     return int(time.time() * 1000)
 
 
+@contextmanager
+def _work(archive: Archive):
+    """The archive's lock, and no intermediate tables of an earlier command: it holds those of one at most."""
+    with archive.lock():
+        shutil.rmtree(archive.meta / "work", ignore_errors=True)
+        yield
+
+
 def _kept(df: DataFrame, archive: Archive, name: str) -> DataFrame:
     """df written below the archive and read again: what effects follow from must not be computed twice."""
     path = f"file://{archive.meta}/work/{name}-{session_id()}"
@@ -61,7 +71,7 @@ def scan(spark: SparkSession, source: str, archive: Archive | None = None, show_
     """Lines of the pipe protocol for a folder; without an archive every file is new."""
     source = clean_root(source)
     exts = extensions if extensions is not None else (_config(archive) if archive else Settings()).allowed_extensions
-    rows = with_hashes(_source(spark, source, exts, archive, None), source)
+    rows = with_fingerprint(_source(spark, source, exts, archive, None), source)
     return dedup.pipe_lines(_looked_up(archive, rows), show_dup)
 
 
@@ -82,8 +92,8 @@ def import_files(archive: Archive, source: str, force: bool = False, dry_run: bo
     Everything is classified and planned before anything is copied, so a duplicate never leaves a file.
     """
     spark, config, source = archive.spark, _config(archive), clean_root(source)
-    with archive.lock():
-        rows = with_hashes(_source(spark, source, config.allowed_extensions, archive, files_from), source, sha256=full_id or force)
+    with _work(archive):
+        rows = with_fingerprint(_source(spark, source, config.allowed_extensions, archive, files_from), source)
         seen = _kept(_looked_up(archive, rows), archive, "scan")
         counts = {r["status"]: r["n"] for r in seen.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
         total, known = sum(n for k, n in counts.items() if k != "failed"), counts.get("duplicate", 0) + counts.get("moved", 0)
@@ -94,6 +104,8 @@ def import_files(archive: Archive, source: str, force: bool = False, dry_run: bo
             return NOTHING | {"total": total, "duplicate": known, "all_cache_hit": True}
         if dry_run:
             return NOTHING | {"total": total, "duplicate": known}
+        # Whole contents are read only of what the fingerprints leave.
+        fresh = _kept(with_digests(fresh, source, sha256=full_id or force), archive, "hashed")
         session, now = session_id(), _now()
         video = values.quicktime_millis(F.col("video_s"))
         taken = F.timestamp_millis(F.coalesce(values.exif_millis(F.col("original")), values.exif_millis(F.col("modified")), video, F.col("mtime_ms")))
@@ -125,14 +137,15 @@ def import_files(archive: Archive, source: str, force: bool = False, dry_run: bo
 def add(archive: Archive, folder: str = "") -> dict:
     """Registers files that are in the archive already; nothing is copied, moved files are only reported."""
     spark, config = archive.spark, _config(archive)
-    with archive.lock():
+    with _work(archive):
         tree = file_tree(spark, str(archive.root), config.allowed_extensions)
         if folder:
             tree = tree.where(paths.is_inside("path", F.lit(folder.strip("/"))))
         tracked = archive.files().where("status <> 'missing'").select("path").distinct()
-        seen = _kept(_looked_up(archive, with_hashes(tree.join(tracked, "path", "left_anti"), str(archive.root))), archive, "add")
+        seen = _kept(_looked_up(archive, with_fingerprint(tree.join(tracked, "path", "left_anti"), str(archive.root))), archive, "add")
         counts = {r["status"]: r["n"] for r in seen.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-        batch = _hash_column(seen.where("status in ('new', 'recover')")).withColumn("error", F.col("hash_error")).withColumn("src_path", F.col("path"))
+        hashed = _kept(with_digests(seen.where("status in ('new', 'recover')"), str(archive.root)), archive, "hashed")
+        batch = _hash_column(hashed).withColumn("error", F.col("hash_error")).withColumn("src_path", F.col("path"))
         decided = dedup.strong_hash_decision(batch, _known_hashes(archive.files()), inventory(archive), add=True)
         decided = decided.withColumn("dest_path", F.col("path")).withColumn("mtime", F.col("mtime_ms")).withColumn("imported_at", F.lit(_now()).cast("long"))
         out = _kept(dedup.insert_outcome(decided, _known_hashes(archive.files())), archive, "added")
@@ -152,7 +165,7 @@ def update(archive: Archive, dry_run: bool = False) -> dict:
         n = missing.count()
         if not n or here.isEmpty():
             return {"missing": n, "moved": 0, "marked": 0}
-        disk = with_hashes(here, str(archive.root), sha256=True)
+        disk = with_digests(here, str(archive.root), sha256=True)
         moves = _kept(reconcile.reconcile_moves(missing, disk), archive, "moves")
         lost = reconcile.unmatched(missing, moves)
         found = moves.count()
@@ -170,7 +183,7 @@ def verify(archive: Archive, recent_seconds: int | None = None, path: str | None
         files = catalog.file_by_path(files, path)
     here = inventory(archive)
     same = here.join(files.select("path", "size").distinct(), ["path", "size"], "left_semi")
-    hashed = with_hashes(same, str(archive.root), sha256=True).select("path", "size", "xxh3_128", "sha256", F.coalesce("error", "hash_error").alias("error"))
+    hashed = with_digests(same, str(archive.root), sha256=True).select("path", "size", "xxh3_128", "sha256", F.coalesce("error", "hash_error").alias("error"))
     other = here.join(same.select("path"), "path", "left_anti").select("path", "size", F.lit(None).cast("binary").alias("xxh3_128"), F.lit(None).cast("binary").alias("sha256"), "error")
     return reconcile.verify(files, hashed.unionByName(other))
 
@@ -186,7 +199,7 @@ def recheck(archive: Archive, session: str | None = None, with_dest_only: bool =
 
     def side(root: str, name: str) -> DataFrame:
         tree = file_tree(archive.spark, root).join(items.select(F.col(name).alias("path")).distinct(), "path", "left_semi")
-        return with_hashes(tree, root, sha256=True).select("path", "xxh3_128", "sha256", F.coalesce("error", "hash_error").alias("error"))
+        return with_digests(tree, root, sha256=True).select("path", "xxh3_128", "sha256", F.coalesce("error", "hash_error").alias("error"))
 
     out = _kept(reconcile.recheck(items, side(head["source_root"], "src_path"), side(str(archive.root), "dest_path"), with_dest_only), archive, "recheck")
     archive.write_report(head["session_id"], out)
@@ -203,7 +216,7 @@ def clone(archive: Archive, target: str, first_day: str | None = None, last_day:
     done = _kept(clone_copy(plan, str(archive.root), target), archive, "cloned")
     action = F.when(F.col("copy_error").isNotNull(), "failed").otherwise(F.col("action"))
     counts = {r["a"]: r["n"] for r in done.groupBy(action.alias("a")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    there = with_hashes(file_tree(archive.spark, target).join(chosen.select("path"), "path", "left_semi"), target)
+    there = with_digests(file_tree(archive.spark, target).join(chosen.select("path"), "path", "left_semi"), target)
     return {k: counts.get(k, 0) for k in ("copied", "skipped", "failed")} | catalog.clone_verify(chosen, there).first().asDict()
 
 
@@ -211,7 +224,7 @@ def background_hash(archive: Archive, limit: int | None = None) -> int:
     """SHA-256 for files that have the fast hash only, with an event for each; how many got one."""
     with archive.lock():
         due = catalog.pending_sha256(archive.files().where("status = 'imported'"), limit)
-        hashed = with_hashes(due.select("id", "path", F.lit(None).cast("string").alias("error")), str(archive.root), sha256=True)
+        hashed = with_digests(due.select("id", "path", F.lit(None).cast("string").alias("error")), str(archive.root), sha256=True)
         new = _kept(hashed.where("sha256 is not null").select("id", "path", "sha256"), archive, "sha")
         files = archive.files()
         out = files.drop("sha256").join(new.select("id", F.col("sha256").alias("_new")), "id", "left").join(files.select("id", "sha256"), "id").withColumn("sha256", F.coalesce("sha256", "_new"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import shuffle_parts
+
 SCHEMA = "path string, size bigint, mtime_ms bigint, nlink int, error string"
 
 
@@ -80,63 +83,108 @@ def file_tree(spark: SparkSession, root: str, extensions: list[str] | None = Non
     return spark.read.format("file_tree").option("extensions", ",".join(extensions or [])).option("skip", ",".join(skip or [])).load(root)
 
 
-def with_hashes(files: DataFrame, root: str, sha256: bool = False) -> DataFrame:
-    """files(path, ...) with crc32, xxh3_128, sha256, raw_id, original, modified, make, model, video_s, hash_error,
-    read in pieces, never a whole file at once. A file that can't be read has an error and no hashes."""
-    from ..session import arrow_map, with_fields
+#: Bytes read of a file's start for its tags: of JPEG and the like, and of formats that hold them further in.
+HEAD, DEEP_HEAD, REGION = 128 << 10, 1 << 20, 65536
 
-    def run(batches):
-        import hashlib
-        import zlib
 
-        import pyarrow as pa
-        import xxhash
+def dealt(files: DataFrame) -> DataFrame:
+    """files over all tasks, however few folders they were listed by."""
+    return files.repartition(shuffle_parts(files.sparkSession), F.xxhash64("path"))
+
+
+def with_fingerprint(files: DataFrame, root: str) -> DataFrame:
+    """files(path, ...) with crc32, raw_id, original, modified, make, model, video_s, hash_error.
+
+    Only what these need is read: a file's start and end, a video's header; of formats without a region the whole
+    file, in pieces. A file that can't be read has an error and nothing else.
+    """
+
+    def one(rel: str, row: dict) -> None:
+        import zlib
 
         from ..functions.formats import BY_EXTENSION, RAW_EXTENSIONS
         from ..functions.media import exif_tags, mp4_seconds
 
-        span = 65536
+        ext = rel.rsplit("/", 1)[-1].rpartition(".")[2].lower()
+        how = BY_EXTENSION[ext][4] if ext in BY_EXTENSION else "full"
+        with open(os.path.join(root, rel), "rb") as f:
+            size = os.fstat(f.fileno()).st_size
+            head = f.read(DEEP_HEAD if ext in RAW_EXTENSIONS or ext in ("heic", "heif") else HEAD)
+            if how == "full":
+                crc = zlib.crc32(head)
+                while piece := f.read(4 << 20):
+                    crc = zlib.crc32(piece, crc)
+            else:
+                tail = b""
+                if how != "head":
+                    f.seek(max(size - REGION, 0))
+                    tail = f.read(REGION)
+                crc = zlib.crc32({"head": head[:REGION], "tail": tail, "head_tail": head[:REGION] + tail}[how])
+            if ext in ("mov", "mp4", "m4v"):
+                row["video_s"] = _mvhd(f, mp4_seconds)
+        row["crc32"] = crc
+        tags = exif_tags(head)
+        row.update({k: tags.get(k) for k in ("original", "modified", "make", "model")})
+        if ext in RAW_EXTENSIONS:
+            serial, image = (tags.get(k, "").strip().strip('"').strip("'") for k in ("serial", "image_id"))
+            row["raw_id"] = f"{serial}:{image}" if serial and image else None
+
+    kinds = {"crc32": "long", "raw_id": "string", "original": "string", "modified": "string", "make": "string", "model": "string", "video_s": "long", "hash_error": "string"}
+    return _read_each(dealt(files), kinds, one)
+
+
+def with_digests(files: DataFrame, root: str, sha256: bool = False) -> DataFrame:
+    """files(path, hash_error, ...) with xxh3_128 and, if asked for, sha256, of whole files read in pieces."""
+
+    def one(rel: str, row: dict) -> None:
+        import hashlib
+
+        import xxhash
+
+        x, s = xxhash.xxh3_128(), hashlib.sha256()
+        with open(os.path.join(root, rel), "rb") as f:
+            while piece := f.read(4 << 20):
+                x.update(piece)
+                if sha256:
+                    s.update(piece)
+        row["xxh3_128"] = x.digest()[::-1]
+        row["sha256"] = s.digest() if sha256 else None
+
+    return _read_each(dealt(files), {"xxh3_128": "binary", "sha256": "binary", "hash_error": "string"}, one)
+
+
+def with_hashes(files: DataFrame, root: str, sha256: bool = False) -> DataFrame:
+    """with_fingerprint() and with_digests() of all files."""
+    return with_digests(with_fingerprint(files, root), root, sha256)
+
+
+def _read_each(files: DataFrame, kinds: dict[str, str], one) -> DataFrame:
+    """files with what one(path, row) puts into row, a dict of kinds; a hash_error that files has already stays."""
+    from ..session import arrow_map, with_fields
+
+    held = [c for c in files.columns if c not in kinds]
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         for batch in batches:
             out: dict[str, list] = {k: [] for k in kinds}
-            for rel in batch.column("path").to_pylist():
+            before = batch.column("hash_error").to_pylist() if "hash_error" in batch.schema.names else [None] * len(batch)
+            for rel, error in zip(batch.column("path").to_pylist(), before, strict=True):
                 row = dict.fromkeys(kinds)
                 try:
-                    ext = rel.rsplit("/", 1)[-1].rpartition(".")[2].lower()
-                    how = BY_EXTENSION[ext][4] if ext in BY_EXTENSION else "full"
-                    x, s, crc, head, tail = xxhash.xxh3_128(), hashlib.sha256(), 0, b"", b""
-                    with open(os.path.join(root, rel), "rb") as f:
-                        while piece := f.read(4 << 20):
-                            x.update(piece)
-                            if sha256:
-                                s.update(piece)
-                            if how == "full":
-                                crc = zlib.crc32(piece, crc)
-                            if len(head) < 1 << 20:
-                                head += piece[: (1 << 20) - len(head)]
-                            tail = (tail + piece)[-span:]
-                        if ext in ("mov", "mp4", "m4v"):
-                            f.seek(0)
-                            row["video_s"] = _mvhd(f, mp4_seconds)
-                    start = head[:span]
-                    row["crc32"] = crc if how == "full" else zlib.crc32({"head": start, "tail": tail, "head_tail": start + tail}[how])
-                    row["xxh3_128"] = x.digest()[::-1]
-                    row["sha256"] = s.digest() if sha256 else None
-                    tags = exif_tags(head)
-                    row.update({k: tags.get(k) for k in ("original", "modified", "make", "model")})
-                    if ext in RAW_EXTENSIONS:
-                        serial, image = (tags.get(k, "").strip().strip('"').strip("'") for k in ("serial", "image_id"))
-                        row["raw_id"] = f"{serial}:{image}" if serial and image else None
+                    if error is None:
+                        one(rel, row)
+                    else:
+                        row["hash_error"] = error
                 except OSError as e:
-                    row["hash_error"] = f"xxh3_128 error: {e}"
+                    row = dict.fromkeys(kinds) | {"hash_error": f"xxh3_128 error: {e}"}
                 for k in kinds:
                     out[k].append(row[k])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(out[k], t) for k, t in kinds.items()]], names=[*batch.schema.names, *kinds])
-
-    import pyarrow as pa
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in held], *[pa.array(out[k], types[t]) for k, t in kinds.items()]], names=[*held, *kinds])
 
-    kinds = {"crc32": pa.int64(), "xxh3_128": pa.binary(), "sha256": pa.binary(), "raw_id": pa.string(), "original": pa.string(), "modified": pa.string(), "make": pa.string(), "model": pa.string(), "video_s": pa.int64(), "hash_error": pa.string()}
-    schema = with_fields(files.schema, **{k: {"int64": "long"}.get(str(t), str(t)) for k, t in kinds.items()})
-    return arrow_map(files, run, schema)
+    return arrow_map(files, run, with_fields(files.select(*held).schema, **kinds))
 
 
 def _mvhd(f, parse) -> int | None:

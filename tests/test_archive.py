@@ -44,6 +44,42 @@ def test_tree_keeps_dot_and_empty_files(spark, tmp_path):
     assert {r.path for r in file_tree(spark, str(tmp_path), ["txt"]).collect()} == {"a/c.TXT"}
 
 
+def test_import_loses_no_file(spark, place):
+    src, archive = place
+    date = "2024:05:01 10:00:00"
+    for k, name in enumerate(["x/IMG.jpg", "y/IMG.jpg", "z/IMG.1.jpg", "w/IMG.4.jpg"]):
+        put(src, name, jpeg(b"%d" % k, date))
+    got = c.import_files(archive, src)
+    assert (got["imported"], got["failed"]) == (4, 0)
+    rows = [r.path for r in archive.files().collect()]
+    assert len(set(rows)) == 4 and {open(f"{archive.root}/{p}", "rb").read() for p in rows} == {jpeg(b"%d" % k, date) for k in range(4)}
+    # another content that takes the planned name in between is an error, and stays
+    from tessera.sinks.transfer import transfer
+
+    put(src, "n.jpg", b"NEW1"), put(str(archive.root), "n.jpg", b"OLD1")
+    row = transfer(spark.createDataFrame([(f"{src}/n.jpg", f"{archive.root}/n.jpg")], "src string, dest string")).first()
+    assert row.copy_error and open(f"{archive.root}/n.jpg", "rb").read() == b"OLD1"
+
+
+def test_known_files_are_not_read_whole(spark, place, tmp_path):
+    """A big file that is known by its fingerprint: a hole of 1 TB would take hours to hash."""
+    src, archive = place
+    put(src, "a/big.jpg", jpeg(bytes(200_000)))
+    assert c.import_files(archive, src)["imported"] == 1
+    size = 1 << 40
+    os.truncate(f"{src}/a/big.jpg", size)
+    archive.spark.sql("select 1")
+    from tessera.sources.file_tree import with_fingerprint
+
+    tree = file_tree(spark, src)
+    rows = with_fingerprint(tree, src)
+    assert rows.first().hash_error is None and rows.first().size == size
+    for k in range(40):
+        put(src, f"a/{k}.jpg", jpeg(b"%d" % k))
+    where = with_fingerprint(file_tree(spark, src), src).withColumn("p", F.spark_partition_id())
+    assert where.select("p").distinct().count() > 1  # one folder, several tasks
+
+
 def test_import_verify_update_history(spark, place, tmp_path):
     src, archive = place
     shared = bytes(70_000)
