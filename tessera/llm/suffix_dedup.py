@@ -17,8 +17,8 @@ equal ones must share, and then each group's suffixes are sorted:
    bytes are verified byte by byte. The first of equals stays.
 
 Removed bytes are the union of what is covered. Nothing is capped: an anchor with many classes has its
-strings dealt out by their offset from it, and one with more than a task should hold has them grouped
-by their bytes in a distributed aggregation instead.
+strings dealt out by their offset from it and by the bytes that strings near that offset have in common, and one
+with more than a task should hold has them grouped by their bytes in a distributed aggregation instead.
 """
 
 from __future__ import annotations
@@ -336,8 +336,10 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             's', s, 'high', least(offset, s * {SLICE} + {SLICE - 1}), 'low', greatest(offset - more, s * {SLICE})))"""
         parts_of = F.when(F.col("level") == 0, F.expr("array(named_struct('s', -1, 'high', offset, 'low', offset - more))")).otherwise(F.expr(part))
         few = fetched.where("level < 2").withColumn("p", F.explode(parts_of))
+        # All strings of a slice hold the same length - SLICE + 1 bytes around the anchor, so only runs that agree there meet.
+        middle = F.when(F.col("level") == 1, F.expr(f"substring(bytes, offset - p.s * {SLICE} + 1, {length - SLICE + 1})"))
         few = few.select(
-            F.xxhash64("anchor", "p.s").alias("anchor"), "doc", F.expr("first + offset - p.high").alias("first"), F.expr("p.high").alias("offset"),
+            F.xxhash64("anchor", "p.s", middle).alias("anchor"), "doc", F.expr("first + offset - p.high").alias("first"), F.expr("p.high").alias("offset"),
             F.expr("p.high - p.low").alias("more"), F.expr(f"substring(bytes, offset - p.high + 1, p.high - p.low + {length})").alias("bytes"),
         )
         many = fetched.where("level = 2").withColumn("t", F.explode(F.expr("sequence(0, more)")))
