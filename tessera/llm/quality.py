@@ -17,8 +17,8 @@ from ..session import arrow_map
 from .common import byte_table, mix64, prefix_hashes, read_table, span_hashes, utf8_blocks
 from .langid import held_out
 
-#: Bound of the training sample (in expectation), and the model's sizes.
-TRAIN_ROWS, BUCKETS, DIMS, EPOCHS, RATE = 6_000, 1 << 17, 12, 6, 0.4
+#: Bounds of the training sample (in expectation), rows and bytes of text, and the model's sizes.
+TRAIN_ROWS, TRAIN_BYTES, BUCKETS, DIMS, EPOCHS, RATE = 3_000, 32 << 20, 1 << 17, 12, 6, 0.4
 GRAMS, LAGS = (3, 4, 5), 12
 _CODE = byte_table(23)
 _SPACE = np.zeros(256, bool)
@@ -76,15 +76,6 @@ def counted(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return docs
 
 
-def _counter(batches):
-    for batch in batches:
-        docs = counted(batch.column(2))
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(own) for own, _ in docs])]).astype(np.int32))
-        own = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *[o for o, _ in docs]])))
-        share = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.float32), *[w for _, w in docs]])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own, share], names=["id", "y", "own", "share"])
-
-
 def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> dict:
     """weights (a number a bucket) and bias, from counted() documents and labels 0 and 1, by log loss."""
     labels = np.asarray(labels, np.int64)
@@ -129,22 +120,26 @@ def _scorer(model):
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, label_col: str = "quality") -> dict:
-    """Trains on a bounded sample of the labelled rows: about train_rows, chosen by a hash of doc_id.
+def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, label_col: str = "quality") -> dict:
+    """Trains on a bounded sample of the labelled rows, chosen by a hash of doc_id: about train_rows rows, and fewer
+    where their whole texts have more than train_bytes bytes.
 
     Rows without a label, an id or a text are passed over; repeated rows count as often as they come. Without
     labelled rows of both classes the model scores everything alike.
     """
     marked = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    n = marked.count()
-    share = min(1.0, train_rows / max(n, 1))
-    picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    # about train_rows narrow rows: bounded by the parameter
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "y", "text")
-    # train_rows documents of at most BUCKETS numbers come to the driver, not their texts
-    rows = arrow_map(rows, _counter, "id string, y int, own array<int>, share array<float>").toArrow()
-    found = sorted(((i, y, tuple(o), w) for i, y, o, w in zip(*[rows.column(k).to_pylist() for k in ("id", "y", "own", "share")], strict=True)), key=lambda r: r[:3])
-    return train([(np.array(o, np.int32), np.array(w, np.float32)) for _, _, o, w in found], [y for _, y, _, _ in found])
+
+    def sample(share: float) -> DataFrame:
+        picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
+        # about train_rows narrow rows: bounded by the parameter
+        return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+
+    share = min(1.0, train_rows / max(marked.count(), 1))
+    size = sample(share).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > train_bytes:
+        share *= train_bytes / size
+    rows = sample(share).orderBy("doc_id", "text", "y").select("text", "y").toArrow()
+    return train(counted(rows.column("text")), rows.column("y").to_pylist())
 
 
 def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
