@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ from ..session import arrow_map
 from .common import read_table, scratch_path, shuffle_parts, written
 
 MAGIC, DIRECTORY_BITS = b"TDAC1\0\0\0", 512
-SHARD_TOKENS, CACHED_WORDS = 2 << 20, 150_000
+SHARD_TOKENS, CACHED_WORDS = 2 << 20, 400_000
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
@@ -156,7 +157,8 @@ class WordCachedEncoder:
             self.pieces_tok = Tokenizer.from_str(json.dumps(bare))
         self.marks = tuple(x["content"] for x in spec.get("added_tokens") or [])
         self.plain = re.compile("[\t-\r\x20-~À-įı-ſ]*").fullmatch
-        self.pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+").findall
+        # letters first, as most pieces are: alternatives that start with different characters may change places
+        self.pieces = re.compile("[a-zß-öø-ſ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\\sa-z0-9ß-öø-ſ]+").findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -244,12 +246,13 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, shard_tokens: int):
         try:
             for batch in batches:
                 doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+                sizes_of = pc.binary_length(texts).to_pylist()
                 places = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if batch.num_columns > 2 else None
                 at = 0
                 while at < len(doc_ids):
                     upto, size = at, 0
-                    while upto < len(doc_ids) and (size < 1 << 20 or upto == at):
-                        size += len(texts[upto].as_py() or "")
+                    while upto < len(doc_ids) and (size < 4 << 20 or upto == at):
+                        size += sizes_of[upto] or 0
                         upto += 1
                     for k, code in enumerate(enc.encode([x or "" for x in texts.slice(at, upto - at).to_pylist()]), at):
                         if places:
