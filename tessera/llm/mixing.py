@@ -69,15 +69,15 @@ def mix_sources(
     """
     rates = source_rates(docs.select("source"), weights, float(size), temperature)
     base = docs.drop("copy_no", "mix_key")
-    rates = rates.select(F.col("of").alias("_of"), F.col("cdf").alias("_cdf"))
+    rates = rates.select(F.col("of").alias("_mix_of"), F.col("cdf").alias("_mix_cdf"))
     few = rates.limit(max_broadcast_sources + 1).count() <= max_broadcast_sources
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = base.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("_of")))
-    drawn = drawn.withColumn("_u", uniform(F.lit(seed), ident))
-    drawn = drawn.withColumn("_copies", F.expr("size(filter(_cdf, c -> _u >= c))"))
-    copies = drawn.where("_copies > 0").withColumn("copy_no", F.explode(F.expr("sequence(1, _copies)")))
+    drawn = base.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("_mix_of")))
+    drawn = drawn.withColumn("_mix_u", uniform(F.lit(seed), ident))
+    drawn = drawn.withColumn("_mix_copies", F.expr("size(filter(_mix_cdf, c -> _mix_u >= c))"))
+    copies = drawn.where("_mix_copies > 0").withColumn("copy_no", F.explode(F.expr("sequence(1, _mix_copies)")))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), ident, F.col("copy_no")).cast("binary")))
-    keyed = keyed.drop("_of", "_cdf", "_u", "_copies")
+    keyed = keyed.drop("_mix_of", "_mix_cdf", "_mix_u", "_mix_copies")
     return keyed.repartitionByRange(shuffle_parts(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")
 
 

@@ -667,5 +667,27 @@ def test_pipeline_against_its_parts(spark):
         assert got.columns == docs.columns, name
     assert {r.doc_id for r in got.collect()} == kept
     ordered = sorted(out, key=lambda r: r.start)
-    assert [r.doc_id for r in ordered] == sorted(r.doc_id for r in out)
+    mixed = mixing.mix_sources(got).orderBy("mix_key").collect()
+    assert [r.doc_id for r in ordered] == [r.doc_id for r in mixed] != sorted(r.doc_id for r in out)
     assert all(a.start + a.n_tokens == b.start for a, b in zip(ordered, ordered[1:], strict=False))
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null cells, repeated ids, repeated rows, columns that clash, and no rows at all."""
+    import corpus_pipeline
+
+    docs = read_table(spark, SF, "documents")
+    words = docs.where("length(text) > 400").orderBy("doc_id").limit(2).collect()
+    a, b = words[0].text, words[1].text
+    odd = frame(spark, [(None, a, None, None, None), (-1, None, None, None, 0), (-2, "", "en", "x", 0), (-3, a, None, None, 1), (-3, b, "en", None, 1), (-4, b, "en", "x", 1), (-4, b, "en", "x", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clash = ["keep", "id", "h", "row", "node", "_of", "origin", "at"]
+    for name, rows in (("odd", docs.select(*odd.columns).unionAll(odd)), ("empty", odd.limit(0))):
+        rows = rows.select("*", *[F.lit("x").alias(c) for c in clash])
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        read_table(spark, SF, "benchmark").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").orderBy("start").collect()
+    assert got and {-1, -2}.isdisjoint(r.doc_id for r in got)  # no language
+    assert all(x.start + x.n_tokens == y.start for x, y in zip(got, got[1:], strict=False))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    stage = corpus_pipeline.near_dedup_stage(spark, spark.read.parquet(f"{tmp_path}/odd/documents.parquet"), SF)
+    assert stage.where("doc_id in (-3, -4)").count() == 2 and stage.where("doc_id is null").count() == 1  # -4: b; -3: a; the null id stays
