@@ -58,6 +58,21 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_HELD: dict[str, dict] = {}
+
+
+def hold(owner: str, cache: dict) -> None:
+    """Names a cache that an operator keeps in a worker between its tasks."""
+    _HELD[owner] = cache
+
+
+def release_others(owner: str) -> None:
+    """Empties what other operators keep in this worker: Spark uses a worker for the tasks of all of them."""
+    for name, cache in _HELD.items():
+        if name != owner and cache:
+            cache.clear()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import arrow_map
-from .common import read_table, word_blocks
+from .common import read_table, release_others, word_blocks
 
 WHOLE, THRESHOLD = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -174,6 +174,7 @@ _HITS = "item_id {kind}, score double, first_word bigint, end_word bigint"
 
 def _finder(shared, kind):
     def run(batches):
+        release_others("decontaminate")
         items, threshold = shared.value
         aligner = _Aligner(items, threshold)
         for batch in batches:
@@ -190,6 +191,7 @@ def _finder(shared, kind):
 
 def _cleaner(shared, at: int):
     def run(batches):
+        release_others("decontaminate")
         items, threshold = shared.value
         aligner = _Aligner(items, threshold)
         for batch in batches:

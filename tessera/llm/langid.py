@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import arrow_map
-from .common import read_table
+from .common import read_table, release_others
 
 #: Bounds of the model: training documents (in expectation), words and n-grams kept, each for a language.
 TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 3_000, 10_000, 15_000
@@ -165,6 +165,7 @@ class Scorer:
 
 def _predictor(model):
     def run(batches):
+        release_others("language_id")
         scorer = Scorer(model.value)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -200,6 +201,7 @@ def predict_language(docs: DataFrame, model: dict, id_col: str = "doc_id", text_
 
 def _keeper(model, at: int, min_score: float, min_known: float):
     def run(batches):
+        release_others("language_id")
         scorer = Scorer(model.value)
         for batch in batches:
             texts, n, keep, row = batch.column(at), len(batch), [], 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import arrow_map
-from .common import mix64, read_table, shingle_hashes, shuffle_parts, word_blocks, written
+from .common import mix64, read_table, release_others, shingle_hashes, shuffle_parts, word_blocks, written
 from .components import components
 
 SHINGLE, THRESHOLD, PICKS, SKETCHES, SHORT = 5, 0.8, 3, 40, 16
@@ -332,6 +332,7 @@ class Group:
 
 def _linker(threshold: float):
     def run(batches):
+        release_others("near_dedup")
         key, group = None, None
 
         def done():

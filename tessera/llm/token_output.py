@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import arrow_map
-from .common import read_table, scratch_path, shuffle_parts, written
+from .common import hold, read_table, release_others, scratch_path, shuffle_parts, written
 
 MAGIC, DIRECTORY_BITS = b"TDAC1\0\0\0", 512
 SHARD_TOKENS, CACHED_WORDS = 2 << 20, 400_000
@@ -139,7 +139,7 @@ class WordCachedEncoder:
     any other text goes to the library whole. Other kinds of tokenizer get whole texts always.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         import json
         import re
 
@@ -159,6 +159,7 @@ class WordCachedEncoder:
         self.plain = re.compile("[\t-\r\x20-~À-įı-ſ]*").fullmatch
         # letters first, as most pieces are: alternatives that start with different characters may change places
         self.pieces = re.compile("[a-zß-öø-ſ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\\sa-z0-9ß-öø-ſ]+").findall
+        self.cached_words = cached_words  # of a generation; two are held at most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -168,7 +169,7 @@ class WordCachedEncoder:
         for _, own in cut:
             words.update(own)
         unseen = words.difference(self.known)
-        if len(self.known) + len(unseen) > CACHED_WORDS:
+        if len(self.known) + len(unseen) > self.cached_words:
             self.older, self.known, unseen = self.known, {}, words
         again = {w: x for w in unseen if (x := self.older.get(w)) is not None}
         self.known.update(again)
@@ -201,25 +202,29 @@ class WordCachedEncoder:
 
 #: Fixed value: the split pattern of the tokenizer that the word cache knows how to follow.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_ENCODERS: dict[str, WordCachedEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordCachedEncoder] = {}
+hold("token_output", _ENCODERS)
 
 
-def encoder(path: str) -> WordCachedEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordCachedEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cached_words: int = CACHED_WORDS) -> WordCachedEncoder:
+    """The worker's encoder; one of another tokenizer or bound makes room for it."""
+    if (path, cached_words) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, cached_words] = WordCachedEncoder(path, cached_words)
+    return _ENCODERS[path, cached_words]
 
 
 MANIFEST = "origin string, at bigint, file string, n_docs bigint, n_tokens bigint"
 
 
-def _writer(folder: str, tokenizer_path: str, end_id: int, shard_tokens: int):
+def _writer(folder: str, tokenizer_path: str, end_id: int, shard_tokens: int, cached_words: int):
     """Rows: id, text, and for rows in stored order the file and row that they were read from."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part = encoder(tokenizer_path), f"{TaskContext.get().partitionId():08d}"
+        release_others("token_output")
+        enc, part = encoder(tokenizer_path, cached_words), f"{TaskContext.get().partitionId():08d}"
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         end, seq = np.array([end_id], "<u4").tobytes(), 0
@@ -275,13 +280,14 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, shard_tokens: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, folder: str | None = None, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", by_id: bool = True) -> tuple[DataFrame, str]:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, folder: str | None = None, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", by_id: bool = True, cached_words: int = CACHED_WORDS) -> tuple[DataFrame, str]:
     """Encodes docs and writes them as DAC shards under folder; the manifest, a row a shard.
 
     Returns the manifest and the folder. The manifest's columns: origin, at, file, n_docs, n_tokens, first_token (of all documents).
     With by_id, shards hold documents in ascending id order; null ids come first, equal ids in the
     order of their texts. Without it, documents keep the order in which docs is stored (the rows of its files in turn, files
     by name), and texts aren't shuffled; docs that isn't a plain table of files is written as one first.
+    cached_words bounds the words whose ids a worker keeps (about 300 bytes each, in two generations): memory for time, with the same ids.
     A null text counts as empty and gives the end id alone. Repeated rows are encoded each. An empty table
     gives an empty manifest. Columns other than id and text are not read.
     """
@@ -296,7 +302,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, fol
             ordered = docs.select(*columns, *places)
         except AnalysisException:
             ordered = written(docs.select(*columns), "stored").select("id", "text", *places)
-    manifest = written(arrow_map(ordered, _writer(folder, tokenizer_path, end_id, shard_tokens), MANIFEST), "manifest")
+    manifest = written(arrow_map(ordered, _writer(folder, tokenizer_path, end_id, shard_tokens, cached_words), MANIFEST), "manifest")
     # As many rows as partitions or files; within one of them, as many as shards. Longer names have higher numbers.
     origins = manifest.groupBy("origin").agg(F.sum("n_tokens").alias("t"))
     before = origins.select("origin", (F.sum("t").over(Window.orderBy(F.length("origin"), "origin")) - F.col("t")).alias("before"))
