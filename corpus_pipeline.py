@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, langid, mixing, near_dedup, token_output
 from tessera.llm.common import read_table, written
 
+#: Words whose ids a worker keeps while it writes tokens; the ids are the same whatever it is.
+CACHED_WORDS = 120_000
+
 #: SQL can't express the language model, the alignments or the tokenizer; tests hold run() against brute force.
 ORACLE_SQL = None
 
@@ -51,8 +54,9 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token ids as DAC shards and reads them back: doc_id, start, n_tokens, ids_crc32.
 
     Documents keep the order in which docs is stored, which is that of mixing. A null text is the end id alone.
+    Workers keep the ids of fewer words than alone: the stages before this one have grown the executors' memory already.
     """
-    manifest, folder = token_output.write_tokens(docs, token_output.tokenizer_file(), by_id=False)
+    manifest, folder = token_output.write_tokens(docs, token_output.tokenizer_file(), by_id=False, cached_words=CACHED_WORDS)
     return token_output.read_tokens(manifest, folder)
 
 
