@@ -75,7 +75,16 @@ def is_raw_partner(ext: Column) -> Column:
     return format_name(ext).isin(RAW_PARTNER)
 
 
-def format_dimension(spark: SparkSession, only: str | None = None) -> DataFrame:
-    """extension, format, category, mime, canonical, region: a row an extension; only: one category."""
-    rows = [(e, r[0], r[2], r[3], r[1], r[4]) for e, r in BY_EXTENSION.items() if only in (None, r[2])]
+def is_supported(ext: Column, only: str | None = None) -> Column:
+    """Whether an extension, in any case, is of a known format; only: of one category."""
+    return F.coalesce(F.lower(ext).isin([e for e, row in BY_EXTENSION.items() if only in (None, row[2])]), F.lit(False))
+
+
+def format_dimension(spark: SparkSession, only: str | None = None, more: list[tuple] | None = None) -> DataFrame:
+    """extension, format, category, mime, canonical, region: a row an extension; only: one category.
+
+    more: formats as in FORMATS that are added, in place of those whose extensions they name.
+    """
+    known = BY_EXTENSION | {ext: row for row in more or [] for ext in (row[1], *row[5])}
+    rows = [(e, r[0], r[2], r[3], r[1], r[4]) for e, r in known.items() if only in (None, r[2])]
     return spark.createDataFrame(rows, "extension string, format string, category string, mime string, canonical string, region string")

@@ -21,6 +21,22 @@ def clean_root(path: Column | str, keep_root: bool = False) -> Column:
     return F.when(out == "", F.lit("/")).otherwise(out) if keep_root else out
 
 
+def lexical(path: Column | str, base: str = "/") -> Column:
+    """An absolute path without `.` and with each `..` taken back one component; links aren't followed.
+
+    A relative path starts at base. A `..` with nothing before it stays.
+    """
+    p = _c(path)
+    whole = F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), p))
+    parts = F.filter(F.split(whole, "/"), lambda x: ~x.isin("", "."))
+
+    def step(kept: Column, x: Column) -> Column:
+        back = (x == "..") & (F.size(kept) > 0) & (F.coalesce(F.get(kept, F.size(kept) - 1), F.lit("..")) != "..")
+        return F.when(back, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, x))
+
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
 def file_name(path: Column | str) -> Column:
     return F.regexp_extract(_c(path), r"([^/]*)$", 1)
 
@@ -70,6 +86,12 @@ def exif_text(value: Column | str) -> Column:
     return F.trim(F.regexp_replace(_c(value), "^\\x00+|\\x00+$", ""))
 
 
+def raw_text(serial: Column | str, image: Column | str) -> Column:
+    """serial:image with what is missing left empty; null if both are."""
+    s, i = _c(serial), _c(image)
+    return F.when(s.isNotNull() | i.isNotNull(), F.concat(F.coalesce(s, F.lit("")), F.lit(":"), F.coalesce(i, F.lit(""))))
+
+
 def raw_fingerprint(serial: Column | str, image: Column | str) -> Column:
     """serial:image if both are there after outer spaces and quotes are gone, otherwise null."""
 

@@ -33,12 +33,15 @@ def quicktime_millis(seconds: Column) -> Column:
     return F.when(seconds > offset, (seconds - offset) * 1000)
 
 
-def format_bytes(n: Column) -> Column:
-    """B as they are, then KB, MB, GB, TB with two decimals."""
+def format_bytes(n: Column, decimals: int = 2, binary: bool = False) -> Column:
+    """B as they are, then KB, MB, GB, TB (binary: KiB and so on) with decimals; statistics show two, listings one.
+
+    What lies halfway goes to the even digit.
+    """
     n = n.cast("double")
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024.0**k, F.concat(F.format_string("%.2f", n / F.lit(1024.0**k)), F.lit(f" {unit}"))).otherwise(out)
+    for k, unit in enumerate("KMGT", 1):
+        out = F.when(n >= 1024.0**k, F.concat(F.format_string(f"%.{decimals}f", F.bround(n / F.lit(1024.0**k), decimals)), F.lit(f" {unit}iB" if binary else f" {unit}B"))).otherwise(out)
     return out
 
 
@@ -47,6 +50,31 @@ def format_count(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
+def left_over(a: Column, b: Column) -> Column:
+    """a - b, not below 0."""
+    return F.greatest(a - b, F.lit(0))
+
+
+def difference(a: Column, b: Column) -> Column:
+    """How far two numbers are apart."""
+    return F.abs(a - b)
+
+
+def percent(done: Column, total: Column) -> Column:
+    """Whole percent of total, rounded down; 0 of nothing."""
+    return F.when(total > 0, F.floor(done / total * 100)).otherwise(F.lit(0)).cast("int")
+
+
+def bytes_per_second(n: Column, seconds: Column) -> Column:
+    """0 before any time has passed."""
+    return F.when(seconds > 0, n / seconds).otherwise(F.lit(0.0))
+
+
+def range_crc(content: Column, start: int, length: int) -> Column:
+    """CRC-32 of the bytes of a range; of those that are there where content ends before it."""
+    return F.crc32(F.substr(content, F.lit(start + 1), F.lit(length)))
+
+
 def fingerprint(content: Column, ext: Column) -> Column:
     """CRC-32 of the format's region. A file shorter than the region gives head and tail twice."""
     head = F.substring(content, 1, REGION_BYTES)

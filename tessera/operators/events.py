@@ -169,6 +169,16 @@ def newest_by_dest(manifest_items: DataFrame) -> DataFrame:
     return manifest_items.where("dest_path is not null").groupBy("dest_path").agg(pick.alias("x")).select("dest_path", "x.session_id", "x.src_path", "x.status")
 
 
+def find_by_src(manifest_items: DataFrame, src_path: str) -> DataFrame:
+    """The items, of any session, that came from a path; an item without a status counts as added."""
+    return manifest_items.where(F.col("src_path") == src_path).withColumn("status", F.coalesce("status", F.lit("added")))
+
+
+def source_paths(manifest_items: DataFrame, status: str | None = None) -> DataFrame:
+    """src_path: each once, of the items of one status (all by default)."""
+    return items(manifest_items, status).select("src_path").distinct()
+
+
 def import_payload(row: dict[str, str]) -> "F.Column":
     """The payload of `batch.imported`, keys in alphabetical order."""
     return F.to_json(F.struct(*[F.col(v).alias(k) for k, v in sorted(row.items())]))

@@ -570,6 +570,42 @@ def format_bytes(spark, d):
     return a.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), values.format_bytes(F.col("o_orderkey") * F.col("o_orderkey")).alias("size"))
 
 
+@query(sql=r"""SELECT o_orderkey AS id,
+  CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0) ELSE printf('%.1f GB', b / 1073741824.0) END AS short,
+  CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0) ELSE printf('%.1f GiB', b / 1073741824.0) END AS binary
+  FROM (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * o_orderkey AS b FROM orders)""")
+def format_bytes_forms(spark, d):
+    b = F.col("o_orderkey") * F.col("o_orderkey")
+    return a.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), values.format_bytes(b, 1).alias("short"), values.format_bytes(b, 1, True).alias("binary"))
+
+
+@query(sql="""SELECT l_orderkey AS id, l_linenumber AS line, greatest(l_suppkey - l_partkey, 0) AS left_over, abs(l_suppkey - l_partkey) AS difference,
+  CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE CAST(floor(l_linenumber / CAST(l_suppkey % 3 + 7 AS DOUBLE) * 100) AS INTEGER) END AS percent,
+  CASE WHEN l_linenumber > 1 THEN l_partkey / CAST(l_linenumber - 1 AS DOUBLE) ELSE 0 END AS speed FROM lineitem""")
+def progress_numbers(spark, d):
+    s, p, n = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_linenumber")
+    total = F.when(s % 3 == 0, F.lit(0)).otherwise(s % 3 + 7)
+    return a.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), n.alias("line"), values.left_over(s, p).alias("left_over"), values.difference(s, p).alias("difference"),
+        values.percent(n, total).alias("percent"), values.bytes_per_second(p, n - 1).alias("speed"),
+    )
+
+
+@query(sql="""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '/a/c' WHEN 1 THEN '/../x' WHEN 2 THEN '/home/' || p_partkey ELSE '/' END AS path FROM part""")
+def path_lexical(spark, d):
+    k = F.col("p_partkey")
+    p = F.when(k % 4 == 0, "/a/./b//../c/").when(k % 4 == 1, "/../x/y/..").when(k % 4 == 2, F.concat(F.lit("sub/../"), k)).otherwise("/a/b/../../")
+    return a.table(spark, d, "part").select(k.alias("id"), paths.lexical(p, "/home").alias("path"))
+
+
+@query(sql="""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 AND p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN ':S' || p_partkey
+  WHEN p_partkey % 5 = 0 THEN 'C' || p_partkey || ':' ELSE 'C' || p_partkey || ':S' || p_partkey END AS text FROM part""")
+def raw_text(spark, d):
+    k = F.col("p_partkey")
+    serial, image = F.when(k % 4 != 0, F.concat(F.lit("C"), k)), F.when(k % 5 != 0, F.concat(F.lit("S"), k))
+    return a.table(spark, d, "part").select(k.alias("id"), paths.raw_text(serial, image).alias("text"))
+
+
 @query(sql="SELECT o_orderkey AS id, format('{:,}', CAST(o_orderkey AS BIGINT) * 977) AS n FROM orders")
 def format_count(spark, d):
     return a.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), values.format_count(F.col("o_orderkey") * 977).alias("n"))
@@ -714,7 +750,12 @@ def manifest_json(spark, d):
 
 @query("items", sql="SELECT src_path, session_id, coalesce(status, 'added') AS status FROM items WHERE src_path = 'card/IMG_7.jpg'")
 def manifest_find_by_src(spark, d):
-    return a.manifest_items(spark, d).where(F.col("src_path") == "card/IMG_7.jpg").select("src_path", "session_id", F.coalesce("status", F.lit("added")).alias("status"))
+    return events.find_by_src(a.manifest_items(spark, d), "card/IMG_7.jpg").select("src_path", "session_id", "status")
+
+
+@query("items", sql="SELECT DISTINCT src_path FROM items WHERE status = 'failed'")
+def manifest_source_paths(spark, d):
+    return events.source_paths(a.manifest_items(spark, d), "failed")
 
 
 @query("files", "disk", sql="""SELECT w.path, d.size, CASE WHEN d.path IS NULL THEN 'no such file' ELSE d.error END AS error FROM (SELECT path FROM files) w LEFT JOIN disk d ON d.path = w.path""")

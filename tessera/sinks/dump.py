@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,8 @@ def dump(spark: SparkSession, tables: dict[str, DataFrame], path: str, form: str
             n = seen.get["n"]
             mark = "--" if form == "sql" else "#"
             head = f"{mark} Table: {name} ({n} rows)" if n or form != "sql" else f"-- Table: {name} (empty)"
+            if form == "json":  # what the rows belong to; they are lines in parts, so that no task holds them all
+                head = json.dumps({"name": name, "columns": df.columns, "row_count": n})
             rows = [head] + ([",".join(df.columns)] if form == "csv" else [])
             spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}.header")
         except Exception as e:  # noqa: BLE001  one table's failure must not end the dump

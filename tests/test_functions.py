@@ -101,3 +101,27 @@ def test_formats(spark):
     assert formats.format_dimension(spark, "raw").count() == 7
     assert one(spark, formats.mime_type(F.lit("m4v"))) == "video/mp4"
     assert one(spark, formats.format_name(F.lit("xyz"))) == "Unknown(xyz)"
+
+
+@pytest.mark.parametrize(("path", "want"), [("/a/../../b", "/../b"), ("x/./y/../z", "/base/x/z"), ("", "/base"), ("/", "/"), (None, None), ("../..", "/.."), ("/é//ü/", "/é/ü")])
+def test_lexical(spark, path, want):
+    assert one(spark, paths.lexical(F.lit(path).cast("string"), "/base")) == want
+
+
+def test_numbers_and_ranges(spark):
+    assert one(spark, values.percent(F.lit(1), F.lit(3))) == 33
+    assert one(spark, values.percent(F.lit(1), F.lit(0))) == 0
+    assert one(spark, values.left_over(F.lit(2), F.lit(5))) == 0
+    assert one(spark, values.bytes_per_second(F.lit(10), F.lit(0))) == 0
+    data = bytes(range(200))
+    for start, length in ((0, 10), (150, 100), (200, 5), (500, 5)):
+        assert one(spark, values.range_crc(F.lit(data), start, length)) == zlib.crc32(data[start : start + length])
+    assert one(spark, values.format_bytes(F.lit(1 << 50), 1, True)) == "1024.0 TiB"
+    assert one(spark, paths.exif_text(F.lit("Apple\0\0"))) == "Apple"
+
+
+def test_formats_may_be_added(spark):
+    more = [("Orf", "orf", "raw", "image/x-olympus-orf", "head", [])]
+    assert formats.format_dimension(spark, "raw", more).count() == 8
+    assert one(spark, formats.is_supported(F.lit("JPG"))) and not one(spark, formats.is_supported(F.lit("jpg"), "raw"))
+    assert not one(spark, formats.is_supported(F.lit(None).cast("string")))
