@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their DuckDB SQL where there is any."""
 
-from . import chat, decontaminate, exact_dedup, langid, mixing, near_dedup, pii, quality, suffix_dedup, token_output
+from . import chat, decontaminate, exact_dedup, langid, mixing, near_dedup, pii, quality, spelling, suffix_dedup, token_output, toxicity, whitening
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLES = {
     "op5_mix_sources": mixing.ORACLE,
