@@ -74,6 +74,51 @@ def recent_imports(files: DataFrame, now_ms: int, days=(1, 7, 30)) -> DataFrame:
     return files.agg(*[F.coalesce(F.count_if(F.col("imported_at") > now_ms - d * DAY_MS), F.lit(0)).alias(f"last_{d}_days") for d in days])
 
 
+TOTALS = "extension string, status string, strong boolean, fast boolean, day bigint, n bigint, size bigint"
+
+
+def totals(files: DataFrame, sign: int = 1) -> DataFrame:
+    """Rows of TOTALS: counts and sizes of files by all that the statistics ask for; sign -1 takes them back."""
+    keys = [paths.extension_after_first_dot("path").alias("extension"), F.col("status"), F.col("sha256").isNotNull().alias("strong"), F.col("xxh3_128").isNotNull().alias("fast"), F.floor(F.col("imported_at") / DAY_MS).alias("day")]
+    return files.select(*keys, "size").groupBy("extension", "status", "strong", "fast", "day").agg((F.lit(sign) * F.count(F.lit(1))).alias("n"), (F.lit(sign) * F.coalesce(F.sum("size"), F.lit(0))).cast("long").alias("size"))
+
+
+def stats_of_totals(view: DataFrame) -> DataFrame:
+    """vault_stats(), from totals."""
+
+    def count_if(cond, what="n"):
+        return F.coalesce(F.sum(F.when(cond, F.col(what))), F.lit(0)).cast("long")
+
+    return view.agg(
+        count_if(F.lit(True)).alias("total_files"),
+        count_if(F.lit(True), "size").alias("total_size"),
+        *[count_if(F.col("status") == k).alias(k) for k in ("imported", "duplicate", "missing")],
+        count_if(F.col("strong")).alias("with_sha256"),
+        count_if(~F.col("strong") & F.col("fast")).alias("pending_sha256"),
+    )
+
+
+def extensions_of_totals(view: DataFrame, limit: int | None = 10) -> DataFrame:
+    """extension_stats(), from totals."""
+    out = view.where("extension is not null").groupBy("extension").agg(F.sum("n").alias("n"), F.sum("size").cast("long").alias("total_size")).where("n > 0")
+    out = out.orderBy(F.desc("total_size"), "extension")
+    return out if limit is None else out.limit(limit)
+
+
+def recent_of_totals(view: DataFrame, files: DataFrame, now_ms: int, days=(1, 7, 30)) -> DataFrame:
+    """recent_imports(): whole days from totals, of files only those imported on a day that a bound cuts."""
+    parts = []
+    for d in days:
+        after = now_ms - d * DAY_MS
+        edge = (after // DAY_MS + 1) * DAY_MS
+        cut = files.where((F.col("imported_at") > after) & (F.col("imported_at") < edge)).select(F.lit(d).alias("d"), F.lit(1).cast("long").alias("n"))
+        parts += [view.where(F.col("day") * DAY_MS >= edge).select(F.lit(d).alias("d"), "n"), cut]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionAll(p)
+    return rows.agg(*[F.coalesce(F.sum(F.when(F.col("d") == d, F.col("n"))), F.lit(0)).alias(f"last_{d}_days") for d in days])
+
+
 def status_report(files: DataFrame, now_ms: int, top: int = 10) -> DataFrame:
     """Statistics, recent imports and the largest extensions as one row."""
     exts = extension_stats(files, top)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import paths
 from ..session import arrow_map, shuffle_parts, with_fields
+from .numbering import matched, numbered
 
 NEW_LABELS = ("new", "recover")
 
@@ -105,49 +105,54 @@ def insert_outcome(rows: DataFrame, files: DataFrame, force: bool = False) -> Da
     """rows(dest_path, algo, hash, reason) with outcome, recovers_id and manifest_dest.
 
     A path that the catalog tracks already (and isn't missing) is skipped, before anything else; an error is
-    failed; another reason is a duplicate; what is left is added, into the missing row with its identity
-    if there is one.
+    failed; another reason is a duplicate; what is left is added. Of the added rows of one content, the k-th by destination goes
+    into the k-th missing row (by id) that has it; a row that finds none is a new one.
     """
     tracked = files.where("status <> 'missing'").select(F.col("path").alias("dest_path"), F.lit(True).alias("_tracked")).distinct()
-    lost = files.where("status = 'missing' and hash is not null").groupBy("algo", "hash").agg(F.min("id").alias("_lost"))
-    out = rows.join(tracked, "dest_path", "left").join(lost, ["algo", "hash"], "left")
+    out = rows.join(tracked, "dest_path", "left")
     skipped = F.lit(False) if force else F.coalesce(F.col("_tracked"), F.lit(False))
     failed = F.coalesce(F.col("reason").rlike("^(hash|xxh3_128|sha256) error"), F.lit(False))
     outcome = F.when(skipped, "skipped").when(failed, "failed").when(F.col("reason").isNotNull(), "duplicate").otherwise("added")
     out = out.withColumn("outcome", outcome)
-    return out.select(
-        *rows.columns,
-        "outcome",
-        F.when(F.col("outcome") == "added", F.col("_lost")).alias("recovers_id"),
-        F.when(F.col("outcome").isin("added", "skipped"), F.col("dest_path")).alias("manifest_dest"),
-    )
+    found = recoveries(out.where("outcome = 'added'"), files)
+    out = out.join(found.select("dest_path", "recovers_id"), "dest_path", "left")
+    return out.select(*rows.columns, "outcome", "recovers_id", F.when(F.col("outcome").isin("added", "skipped"), F.col("dest_path")).alias("manifest_dest"))
 
 
-def apply_outcomes(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """The catalog after an import: recovered rows take their new path, status and times and keep their
-    size and hashes; added rows follow, numbered on from the largest id in the order of path.
+def recoveries(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """dest_path and recovers_id: which of rows(dest_path, algo, hash) stands for which missing row of files.
 
-    rows are those of insert_outcome(); columns of files that they don't have are null for added rows.
+    A missing row that has both hashes is found by either; it is recovered once, by SHA-256 first.
     """
-    kinds = dict(files.dtypes)
-    taken = [c for c in ("mtime", "imported_at") if c in kinds and c in rows.columns]
-    added = rows.where("outcome = 'added'")
-    back = added.where("recovers_id is not null").groupBy(F.col("recovers_id").alias("id")).agg(F.min(F.struct("dest_path", *taken)).alias("_b"))
-    kept, found = files.join(back, "id", "left"), F.col("_b").isNotNull()
-    changed = {"path": F.col("_b.dest_path"), "status": F.lit("imported")} | {c: F.col(f"_b.{c}") for c in taken}
-    kept = kept.select(*[F.when(found, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in files.columns])
+    lost = files.where("status = 'missing' and hash is not null").select("algo", "hash", F.col("id").alias("recovers_id"))
+    pairs = matched(rows.select("algo", "hash", "dest_path"), lost, ["algo", "hash"], ["dest_path"], ["recovers_id"])
+    return pairs.groupBy("recovers_id").agg(F.min(F.struct("algo", "dest_path")).alias("b")).select(F.col("b.dest_path").alias("dest_path"), "recovers_id")
+
+
+def recovered_rows(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of files that rows (of insert_outcome()) recover, as they are then: with their new path, status and times;
+    sizes and hashes stay."""
+    taken = [c for c in ("mtime", "imported_at") if c in files.columns and c in rows.columns]
+    back = rows.where("outcome = 'added' and recovers_id is not null").select(F.col("recovers_id").alias("id"), F.struct("dest_path", *taken).alias("_b"))
+    new = {"path": F.col("_b.dest_path"), "status": F.lit("imported")} | {c: F.col(f"_b.{c}") for c in taken}
+    return files.where("status = 'missing'").join(back, "id").select(*[new.get(c, F.col(c)).alias(c) for c in files.columns])
+
+
+def new_rows(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (of insert_outcome()) that are added and recover nothing, with the columns of files but for the id; what they don't
+    have is null."""
+    cells, have = {"path": F.col("dest_path"), "status": F.lit("imported")}, {*rows.columns}
+    fresh = rows.where("outcome = 'added' and recovers_id is null")
+    return fresh.select(*[cells.get(c, F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in files.dtypes if c != "id"])
+
+
+def apply_outcomes(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """The catalog after an import, whole: recovered rows as recovered_rows() has them, new ones numbered on from the largest id in
+    the order of path. Archives keep their catalogs by sinks.store, which writes what changes only."""
+    back = recovered_rows(files, rows)
     top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    fresh = added.where("recovers_id is null")
-    # Ids in the order of path without one task for all: paths are numbered within their first ten
-    # characters (a day's folder), after the count of those in folders before it.
-    ranged = fresh.withColumn("_day", F.substring("dest_path", 1, 10))
-    own = F.row_number().over(Window.partitionBy("_day").orderBy("dest_path"))
-    sizes = ranged.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_day", (F.sum("_n").over(Window.orderBy("_day")) - F.col("_n")).alias("_before"))
-    numbered = ranged.withColumn("_own", own).join(before, "_day").withColumn("id", F.col("_own") + F.col("_before") + F.lit(top))
-    cells = {"path": F.col("dest_path"), "status": F.lit("imported")}
-    have = {*numbered.columns}
-    return kept.unionByName(numbered.select(*[cells.get(c, F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in files.columns]))
+    fresh = numbered(new_rows(files, rows), [], ["path"], "id").withColumn("id", F.col("id") + F.lit(top))
+    return files.join(back.select("id"), "id", "left_anti").select(*files.columns).unionByName(back).unionByName(fresh.select(*files.columns))
 
 
 def outcome_summary(rows: DataFrame) -> DataFrame:

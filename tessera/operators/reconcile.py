@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import kept
+from .numbering import matched
+
 VERIFY = ("ok", "missing", "io_error", "size_mismatch", "hash_mismatch", "hash_not_available")
 RECHECK = ("ok", "source_modified", "vault_corrupted", "both_diverged", "source_deleted", "vault_deleted", "error")
 
@@ -17,22 +20,38 @@ def missing_files(files: DataFrame, disk: DataFrame) -> DataFrame:
 def reconcile_moves(missing: DataFrame, disk: DataFrame) -> DataFrame:
     """id, old_path, new_path, confidence: a missing file's content found at another path.
 
-    Contents agree by fast hash and size, and by SHA-256 where the catalog has it (definitive; otherwise
-    fast). A disk file answers the first missing path by name; of several disk files for one row, the first by
-    name counts.
+    Contents agree by fast hash and size, and by SHA-256 where both sides have it (definitive, and matched first; otherwise
+    fast). Of each content, the k-th missing path (ties: id) is found at the k-th path on disk, so that each file and each row
+    is matched once at most.
     """
-    key, m = ["xxh3_128", "size"], F.struct(F.col("path").alias("old_path"), "id")
-    left = disk.select(F.col("path").alias("new_path"), *key, F.col("sha256").alias("_sha"))
-    right = missing.where("xxh3_128 is not null").select(*key, F.col("sha256").alias("_sha"), m.alias("_m"), F.col("sha256").isNotNull().alias("_has"))
-    # The first missing path of each content, and of each content with its SHA-256: no pair of equal files is listed.
-    first = F.struct("_m", "_has")
-    shared = right.groupBy(*key).agg(F.min(first).alias("_any"), F.min(F.when(F.col("_sha").isNull(), first)).alias("_bare"))
-    exact = right.where("_sha is not null").groupBy(*key, "_sha").agg(F.min(first).alias("_own"))
-    found = left.join(shared, key).join(exact, [*key, "_sha"], "left")
-    found = found.withColumn("m", F.when(F.col("_sha").isNull(), F.col("_any")).otherwise(F.least("_bare", "_own"))).where("m is not null")
-    sure = F.when(F.col("m._has") & F.col("_sha").isNotNull(), "definitive").otherwise("fast")
-    best = found.groupBy(F.col("m._m.id").alias("id"), F.col("m._m.old_path").alias("old_path")).agg(F.min(F.struct("new_path", sure.alias("confidence"))).alias("b"))
-    return best.select("id", "old_path", "b.new_path", "b.confidence")
+    key = ["xxh3_128", "size"]
+    lost = missing.select(*key, F.col("sha256").alias("m_sha"), F.col("path").alias("old_path"), "id")
+    there = disk.select(*key, F.col("sha256").alias("d_sha"), F.col("path").alias("new_path"))
+    out, before = None, ["old_path", "id"]
+    for kind in ("definitive", "bare", "unread"):
+        if out is not None:
+            lost, there = lost.join(out.select("id"), "id", "left_anti"), there.join(out.select("new_path"), "new_path", "left_anti")
+        if kind == "definitive":
+            pairs = matched(lost.withColumn("sha", F.col("m_sha")).drop("m_sha"), there.withColumn("sha", F.col("d_sha")).drop("d_sha"), [*key, "sha"], before, ["new_path"])
+        elif kind == "bare":  # the catalog has no SHA-256
+            pairs = matched(lost.where("m_sha is null").drop("m_sha"), there.drop("d_sha"), key, before, ["new_path"])
+        else:  # the disk's could not be read
+            pairs = matched(lost.where("m_sha is not null").drop("m_sha"), there.where("d_sha is null").drop("d_sha"), key, before, ["new_path"])
+        found = pairs.select("id", "old_path", "new_path", F.lit("definitive" if kind == "definitive" else "fast").alias("confidence"))
+        out = kept(found if out is None else out.unionByName(found), "moves")
+    return out
+
+
+def moved_rows(files: DataFrame, moves: DataFrame, lost: DataFrame) -> DataFrame:
+    """The rows of files that an update changes, as they are then: moved ones with their new path, lost ones as `missing`."""
+    moved = files.join(moves.select("id", "new_path"), "id").withColumn("path", F.col("new_path")).select(*files.columns)
+    return moved.unionByName(files.join(lost.select("id"), "id", "left_semi").withColumn("status", F.lit("missing")).select(*files.columns))
+
+
+def untracked_candidates(disk: DataFrame, files: DataFrame, missing: DataFrame) -> DataFrame:
+    """The rows of disk(path, size) whose contents may be a missing file's: no row tracks the path, and some missing row has the size."""
+    tracked = files.where("status <> 'missing'").select("path").distinct()
+    return disk.join(tracked, "path", "left_anti").join(missing.select("size").distinct(), "size", "left_semi")
 
 
 def unmatched(missing: DataFrame, moves: DataFrame) -> DataFrame:

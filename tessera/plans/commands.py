@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import time
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,25 +26,42 @@ def _now() -> int:
     return int(time.time() * 1000)
 
 
-@contextmanager
-def _work(archive: Archive):
-    """The archive's lock, and no intermediate tables of an earlier command: it holds those of one at most."""
-    with archive.lock():
-        shutil.rmtree(archive.meta / "work", ignore_errors=True)
-        yield
+class _Work:
+    """A command's own folder below the archive, for what effects follow from: it must not be computed twice."""
+
+    def __init__(self, archive: Archive):
+        self.spark, self.folder = archive.spark, archive.meta.resolve() / "work" / session_id()
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """df written and read again."""
+        path = f"file://{self.folder}/{name}-{session_id()}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
-def _kept(df: DataFrame, archive: Archive, name: str) -> DataFrame:
-    """df written below the archive and read again: what effects follow from must not be computed twice."""
-    path = f"file://{archive.meta}/work/{name}-{session_id()}"
-    df.write.parquet(path)
-    return archive.spark.read.schema(df.schema).parquet(path)
+@contextmanager
+def _work(archive: Archive, lock: bool = True):
+    """A work folder for one command, removed at its end; with the archive's lock for those that change it.
+
+    A command returns numbers or what it has written for good, never a frame over this folder.
+    """
+    work = _Work(archive)
+    with archive.lock() if lock else nullcontext():
+        try:
+            yield work
+        finally:
+            shutil.rmtree(work.folder, ignore_errors=True)
 
 
 def _config(archive: Archive) -> Settings:
     return settings(str(archive.meta / "settings.toml"))
 
 
+def _manifests(archive: Archive) -> DataFrame:
+    """The manifests that commits name, newest first."""
+    return manifests(archive.spark, archive.manifests())
+
+
 def inventory(archive: Archive) -> DataFrame:
     """What is on disk in the archive: path and size; contents aren't read."""
     return file_tree(archive.spark, str(archive.root))
@@ -92,9 +110,10 @@ def import_files(archive: Archive, source: str, force: bool = False, dry_run: bo
     Everything is classified and planned before anything is copied, so a duplicate never leaves a file.
     """
     spark, config, source = archive.spark, _config(archive), clean_root(source)
-    with _work(archive):
+    with _work(archive) as work:
+        change = archive.begin()
         rows = with_fingerprint(_source(spark, source, config.allowed_extensions, archive, files_from), source)
-        seen = _kept(_looked_up(archive, rows), archive, "scan")
+        seen = work.kept(_looked_up(archive, rows), "scan")
         counts = {r["status"]: r["n"] for r in seen.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
         total, known = sum(n for k, n in counts.items() if k != "failed"), counts.get("duplicate", 0) + counts.get("moved", 0)
         if not total:
@@ -105,7 +124,7 @@ def import_files(archive: Archive, source: str, force: bool = False, dry_run: bo
         if dry_run:
             return NOTHING | {"total": total, "duplicate": known}
         # Whole contents are read only of what the fingerprints leave.
-        fresh = _kept(with_digests(fresh, source, sha256=full_id or force), archive, "hashed")
+        fresh = work.kept(with_digests(fresh, source, sha256=full_id or force), "hashed")
         session, now = session_id(), _now()
         video = values.quicktime_millis(F.col("video_s"))
         taken = F.timestamp_millis(F.coalesce(values.exif_millis(F.col("original")), values.exif_millis(F.col("modified")), video, F.col("mtime_ms")))
@@ -116,61 +135,65 @@ def import_files(archive: Archive, source: str, force: bool = False, dry_run: bo
         planned = dedup.conflict_rename(good.select("path", "dest"), inventory(archive).select("path"), config.rename_template)
         decided = decided.join(planned.select("path", F.col("final").alias("dest_path")), "path", "left")
         decided = decided.withColumn("mtime", F.col("mtime_ms")).withColumn("imported_at", F.lit(now).cast("long"))
-        plan = _kept(decided, archive, "plan")
+        plan = work.kept(decided, "plan")
         moved = plan.where("dest_path is not null").select(F.concat(F.lit(f"{source}/"), F.col("path")).alias("src"), F.concat(F.lit(f"{archive.root}/"), F.col("dest_path")).alias("dest"), "path")
-        copied = _kept(transfer(moved, config.sync_strategy), archive, "copied").select("path", "copy_error")
+        copied = work.kept(transfer(moved, config.sync_strategy), "copied").select("path", "copy_error")
         plan = plan.join(copied, "path", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("copy_error").isNotNull(), F.concat(F.lit("hash error: copy: "), F.col("copy_error")))))
-        out = _kept(dedup.insert_outcome(plan, _known_hashes(archive.files()), force), archive, "outcome")
+        out = work.kept(dedup.insert_outcome(plan, _known_hashes(archive.files()), force), "outcome")
         n = dedup.outcome_summary(out).first().asDict()
-        archive.upsert(out)
-        columns = ["src_path", "dest_path", "size", "mtime_ms", "crc32c", "xxh3_128", "sha256", "imported_at", "status", "error"]
+        archive.take_outcomes(change, out)
         shown = out.select("src_path", F.col("manifest_dest").alias("dest_path"), "size", "mtime_ms", F.col("crc32").alias("crc32c"), values.hex_lower(F.col("xxh3_128")).alias("xxh3_128"), values.hex_lower(F.col("sha256")).alias("sha256"), "imported_at", F.col("outcome").alias("status"), F.col("reason").alias("error"))
         summary = {k: n[k] for k in ("total", "added", "duplicate", "failed", "skipped")}
-        # one manifest is one document, written by the driver as its rows arrive
-        items = [{k: r[k] for k in columns} for r in shown.orderBy("src_path").toLocalIterator()]
-        manifest = archive.write_manifest({"session_id": session, "session_type": "import", "source_root": source, "imported_at": now, "summary": summary}, items)
+        manifest = change.manifest({"session_id": session, "session_type": "import", "source_root": source, "imported_at": now, "summary": summary}, shown)
         payload = {"session_id": session, "session_type": "import", "source": source, "total_files": n["total"], "added": n["added"], "duplicate": n["duplicate"], "failed": n["failed"], "skipped": n["skipped"], "manifest": manifest}
-        archive.append_events(single_event(spark, "batch.imported", "batch", 0, payload, now))
+        change.append(single_event(spark, "batch.imported", "batch", 0, payload, now))
+        change.publish()
         return {"total": total, "imported": n["added"], "duplicate": n["duplicate"] + known * (not force), "failed": n["failed"], "all_cache_hit": False, "session_id": session}
 
 
 def add(archive: Archive, folder: str = "") -> dict:
     """Registers files that are in the archive already; nothing is copied, moved files are only reported."""
     spark, config = archive.spark, _config(archive)
-    with _work(archive):
+    with _work(archive) as work:
+        change = archive.begin()
         tree = file_tree(spark, str(archive.root), config.allowed_extensions)
         if folder:
             tree = tree.where(paths.is_inside("path", F.lit(folder.strip("/"))))
         tracked = archive.files().where("status <> 'missing'").select("path").distinct()
-        seen = _kept(_looked_up(archive, with_fingerprint(tree.join(tracked, "path", "left_anti"), str(archive.root))), archive, "add")
+        seen = work.kept(_looked_up(archive, with_fingerprint(tree.join(tracked, "path", "left_anti"), str(archive.root))), "add")
         counts = {r["status"]: r["n"] for r in seen.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-        hashed = _kept(with_digests(seen.where("status in ('new', 'recover')"), str(archive.root)), archive, "hashed")
+        hashed = work.kept(with_digests(seen.where("status in ('new', 'recover')"), str(archive.root)), "hashed")
         batch = _hash_column(hashed).withColumn("error", F.col("hash_error")).withColumn("src_path", F.col("path"))
         decided = dedup.strong_hash_decision(batch, _known_hashes(archive.files()), inventory(archive), add=True)
         decided = decided.withColumn("dest_path", F.col("path")).withColumn("mtime", F.col("mtime_ms")).withColumn("imported_at", F.lit(_now()).cast("long"))
-        out = _kept(dedup.insert_outcome(decided, _known_hashes(archive.files())), archive, "added")
+        out = work.kept(dedup.insert_outcome(decided, _known_hashes(archive.files())), "added")
         n = dedup.outcome_summary(out).first().asDict()
-        archive.upsert(out)
+        archive.take_outcomes(change, out)
         session = session_id()
         payload = {k: n[k] for k in ("added", "duplicate", "failed", "skipped")} | {"session_id": session, "session_type": "add", "source": str(archive.root), "total_files": n["total"], "manifest": ""}
-        archive.append_events(single_event(spark, "batch.imported", "batch", 0, payload))
+        change.append(single_event(spark, "batch.imported", "batch", 0, payload))
+        change.publish()
         return {"total": sum(counts.values()), "added": n["added"], "duplicate": n["duplicate"] + counts.get("duplicate", 0), "moved": counts.get("moved", 0), "failed": n["failed"] + counts.get("failed", 0)}
 
 
 def update(archive: Archive, dry_run: bool = False) -> dict:
-    """Follows moved files and marks lost ones. With nothing on disk at all, nothing is marked."""
-    with archive.lock():
-        here = inventory(archive)
-        missing = _kept(reconcile.missing_files(archive.files(), here), archive, "missing")
+    """Follows moved files and marks lost ones. With nothing on disk at all, nothing is marked.
+
+    Of the disk, only files are read that no row tracks and whose size a missing file has.
+    """
+    with _work(archive) as work:
+        change, files, here = archive.begin(), archive.files(), inventory(archive)
+        missing = work.kept(reconcile.missing_files(files, here), "missing")
         n = missing.count()
         if not n or here.isEmpty():
             return {"missing": n, "moved": 0, "marked": 0}
-        disk = with_digests(here, str(archive.root), sha256=True)
-        moves = _kept(reconcile.reconcile_moves(missing, disk), archive, "moves")
+        disk = work.kept(with_digests(reconcile.untracked_candidates(here, files, missing), str(archive.root), sha256=True), "hashed")
+        moves = work.kept(reconcile.reconcile_moves(missing, disk), "moves")
         lost = reconcile.unmatched(missing, moves)
         found = moves.count()
         if not dry_run:
-            archive.write_files(_kept(reconcile.apply_moves(archive.files(), moves, lost), archive, "updated"))
+            change.update(reconcile.moved_rows(files, moves, lost))
+            change.publish()
         return {"missing": n, "moved": found, "marked": 0 if dry_run else n - found}
 
 
@@ -189,8 +212,8 @@ def verify(archive: Archive, recent_seconds: int | None = None, path: str | None
 
 
 def recheck(archive: Archive, session: str | None = None, with_dest_only: bool = True) -> DataFrame:
-    """A session's manifest (the latest by default) against its source and the archive; also written as a report."""
-    found = manifests(archive.spark, f"file://{archive.meta}/manifests")
+    """A session's manifest (the latest by default) against its source and the archive; what is written as a report, which stays."""
+    found = _manifests(archive)
     found = found.where(F.col("session_id") == session) if session else found.limit(1)
     head = found.select("session_id", "source_root").first()
     if head is None:
@@ -201,42 +224,54 @@ def recheck(archive: Archive, session: str | None = None, with_dest_only: bool =
         tree = file_tree(archive.spark, root).join(items.select(F.col(name).alias("path")).distinct(), "path", "left_semi")
         return with_digests(tree, root, sha256=True).select("path", "xxh3_128", "sha256", F.coalesce("error", "hash_error").alias("error"))
 
-    out = _kept(reconcile.recheck(items, side(head["source_root"], "src_path"), side(str(archive.root), "dest_path"), with_dest_only), archive, "recheck")
-    archive.write_report(head["session_id"], out)
-    return out
+    out = reconcile.recheck(items, side(head["source_root"], "src_path"), side(str(archive.root), "dest_path"), with_dest_only)
+    report = archive.write_report(head["session_id"], out)
+    return archive.spark.read.schema(out.schema).json(report)
 
 
 def clone(archive: Archive, target: str, first_day: str | None = None, last_day: str | None = None, camera: str | None = None) -> dict:
     """Copies a selection to another folder, never over a file there, and verifies what then is at the target."""
-    if Path(target).resolve().is_relative_to(archive.root.resolve()):
+    if Path(os.path.abspath(target)).is_relative_to(os.path.abspath(archive.root)):  # lexical: links are not followed
         raise ValueError("the target lies in the archive")
     Path(target).mkdir(parents=True, exist_ok=True)
-    chosen = catalog.clone_select(archive.files(), first_day, last_day, camera)
-    plan = _kept(catalog.clone_plan(chosen, file_tree(archive.spark, target)), archive, "clone")
-    done = _kept(clone_copy(plan, str(archive.root), target), archive, "cloned")
-    action = F.when(F.col("copy_error").isNotNull(), "failed").otherwise(F.col("action"))
-    counts = {r["a"]: r["n"] for r in done.groupBy(action.alias("a")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    there = with_digests(file_tree(archive.spark, target).join(chosen.select("path"), "path", "left_semi"), target)
-    return {k: counts.get(k, 0) for k in ("copied", "skipped", "failed")} | catalog.clone_verify(chosen, there).first().asDict()
+    with _work(archive, lock=False) as work:
+        chosen = catalog.clone_select(archive.files(), first_day, last_day, camera)
+        plan = work.kept(catalog.clone_plan(chosen, file_tree(archive.spark, target)), "clone")
+        done = work.kept(clone_copy(plan, str(archive.root), target), "cloned")
+        action = F.when(F.col("copy_error").isNotNull(), "failed").otherwise(F.col("action"))
+        counts = {r["a"]: r["n"] for r in done.groupBy(action.alias("a")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        there = with_digests(file_tree(archive.spark, target).join(chosen.select("path"), "path", "left_semi"), target)
+        return {k: counts.get(k, 0) for k in ("copied", "skipped", "failed")} | catalog.clone_verify(chosen, there).first().asDict()
 
 
 def background_hash(archive: Archive, limit: int | None = None) -> int:
     """SHA-256 for files that have the fast hash only, with an event for each; how many got one."""
-    with archive.lock():
-        due = catalog.pending_sha256(archive.files().where("status = 'imported'"), limit)
+    with _work(archive) as work:
+        change, files = archive.begin(), archive.files()
+        due = catalog.pending_sha256(files.where("status = 'imported'"), limit)
         hashed = with_digests(due.select("id", "path", F.lit(None).cast("string").alias("error")), str(archive.root), sha256=True)
-        new = _kept(hashed.where("sha256 is not null").select("id", "path", "sha256"), archive, "sha")
-        files = archive.files()
-        out = files.drop("sha256").join(new.select("id", F.col("sha256").alias("_new")), "id", "left").join(files.select("id", "sha256"), "id").withColumn("sha256", F.coalesce("sha256", "_new"))
-        archive.append_events(new.select(F.lit(_now()).cast("long").alias("occurred_at"), F.lit("file.sha256_resolved").alias("event_type"), F.lit("file").alias("entity_type"), F.col("id").alias("entity_id"), events.sha256_payload().alias("payload")))
-        archive.write_files(_kept(out.select(*files.columns), archive, "hashed"))
+        new = work.kept(hashed.where("sha256 is not null").select("id", "path", "sha256"), "sha")
+        change.update(files.drop("sha256").join(new.select("id", "sha256"), "id"))
+        change.append(new.select(F.lit(_now()).cast("long").alias("occurred_at"), F.lit("file.sha256_resolved").alias("event_type"), F.lit("file").alias("entity_type"), F.col("id").alias("entity_id"), events.sha256_payload().alias("payload")))
+        change.publish()
         return new.count()
 
 
+def merge_segments(archive: Archive) -> int:
+    """Maintenance: buckets of many small segments are written as one each, and what no commit names is deleted; how many buckets."""
+    with archive.lock():
+        change = archive.begin()
+        n = change.merge()
+        change.publish()
+        archive.store.log.sweep()
+        return n
+
+
 def upgrade_links(archive: Archive) -> int:
     """Files of the archive that share their data through hard links get copies of their own."""
     linked = file_tree(archive.spark, str(archive.root)).where("nlink > 1").select("path", "nlink")
-    return _kept(make_independent(linked, str(archive.root)), archive, "links").where("how = 'copied'").count()
+    with _work(archive, lock=False) as work:
+        return work.kept(make_independent(linked, str(archive.root)), "links").where("how = 'copied'").count()
 
 
 def status(archive: Archive, as_json: bool = False):
@@ -249,7 +284,7 @@ def history_sessions(archive: Archive, limit: int = 50, offset: int = 0, source:
 
 
 def history_items(archive: Archive, session: str | None = None, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    rows = manifest_items(manifests(archive.spark, f"file://{archive.meta}/manifests"))
+    rows = manifest_items(_manifests(archive))
     if session:
         rows = rows.where(F.col("session_id") == session)
     return events.page(events.items(rows, status), ["session_id", "src_path"], limit, offset)

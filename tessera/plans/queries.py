@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, paths, values
 from ..operators import binding, catalog, dedup, events, reconcile
+from ..scratch import kept, scratch_path
 from ..sinks import dump, reports
+from ..sinks.store import EVENTS, Store
 from ..sources import adapters as a
 from ..sources.adapters import NOW_MS, with_relations
+from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -328,11 +331,14 @@ def _outcome(spark, d) -> DataFrame:
     return dedup.insert_outcome(rows.withColumn("dest_path", F.substr("path", F.lit(6))), _known(spark, d))
 
 
+#: Of one content's added rows, the k-th by destination goes into the k-th missing row by id.
 _OUTCOME = _DECISION + """,
-o AS (SELECT x.path, substr(x.path, 6) AS dest_path, reason, t.path IS NOT NULL AS tracked, lost.id AS lost_id
-  FROM decided x LEFT JOIN (SELECT DISTINCT path FROM files WHERE status <> 'missing') t ON t.path = substr(x.path, 6)
-  LEFT JOIN (SELECT xxh3_128 AS hash, min(id) AS id FROM files WHERE status = 'missing' GROUP BY 1) lost USING (hash)),
-outcome AS (SELECT path, dest_path, lost_id, CASE WHEN tracked THEN 'skipped' WHEN regexp_matches(reason, '^(hash|xxh3_128|sha256) error') THEN 'failed' WHEN reason IS NOT NULL THEN 'duplicate' ELSE 'added' END AS outcome FROM o)"""
+o AS (SELECT x.path, substr(x.path, 6) AS dest_path, hash, reason, t.path IS NOT NULL AS tracked
+  FROM decided x LEFT JOIN (SELECT DISTINCT path FROM files WHERE status <> 'missing') t ON t.path = substr(x.path, 6)),
+oc AS (SELECT path, dest_path, hash, CASE WHEN tracked THEN 'skipped' WHEN regexp_matches(reason, '^(hash|xxh3_128|sha256) error') THEN 'failed' WHEN reason IS NOT NULL THEN 'duplicate' ELSE 'added' END AS outcome FROM o),
+ok AS (SELECT *, row_number() OVER (PARTITION BY hash, outcome ORDER BY dest_path) AS k FROM oc),
+lost AS (SELECT xxh3_128 AS hash, id, row_number() OVER (PARTITION BY xxh3_128 ORDER BY id) AS k FROM files WHERE status = 'missing'),
+outcome AS (SELECT ok.path, dest_path, lost.id AS lost_id, outcome FROM ok LEFT JOIN lost ON ok.hash = lost.hash AND ok.k = lost.k AND outcome = 'added')"""
 
 
 @query()
@@ -374,20 +380,24 @@ def path_tracked_skip(spark, d):
     return a.disk(spark, d).join(tracked, "path", "left").select("path", F.coalesce("t", F.lit(False)).alias("tracked"))
 
 
-@query("files", "disk", sql="SELECT d.path, min(f.id) AS recovers_id FROM disk d JOIN files f ON f.xxh3_128 = d.xxh3_128 AND f.status = 'missing' GROUP BY d.path")
+@query("files", "disk", sql="""SELECT d.path, f.id AS recovers_id FROM (SELECT path, xxh3_128, row_number() OVER (PARTITION BY xxh3_128 ORDER BY path) AS k FROM disk) d
+  JOIN (SELECT id, xxh3_128, row_number() OVER (PARTITION BY xxh3_128 ORDER BY id) AS k FROM files WHERE status = 'missing') f ON f.xxh3_128 = d.xxh3_128 AND f.k = d.k""")
 def recover_missing(spark, d):
-    lost = a.files(spark, d).where("status = 'missing'").groupBy("xxh3_128").agg(F.min("id").alias("recovers_id"))
-    return a.disk(spark, d).join(lost, "xxh3_128").select("path", "recovers_id")
+    """Which files on disk stand for which missing rows, where contents repeat on both sides."""
+    rows = a.disk(spark, d).select(F.lit("xxh3_128").alias("algo"), F.col("xxh3_128").alias("hash"), F.col("path").alias("dest_path"))
+    return dedup.recoveries(rows, _known(spark, d)).select(F.col("dest_path").alias("path"), "recovers_id")
 
 
 # --- reconcile, verify, recheck ------------------------------------------------------------------
 
 _MISSING = "m AS (SELECT * FROM files WHERE status = 'imported' AND path NOT IN (SELECT path FROM disk))"
 _MOVES = _MISSING + """,
-p AS (SELECT d.path AS new_path, m.path AS old_path, m.id, CASE WHEN m.sha256 IS NOT NULL AND d.sha256 IS NOT NULL THEN 'definitive' ELSE 'fast' END AS confidence,
-    row_number() OVER (PARTITION BY d.path ORDER BY m.path, m.id) AS r
-  FROM disk d JOIN m ON m.xxh3_128 = d.xxh3_128 AND m.size = d.size AND (m.sha256 IS NULL OR m.sha256 = d.sha256)),
-moves AS (SELECT id, old_path, new_path, confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY new_path) AS q FROM p WHERE r = 1) WHERE q = 1)"""
+m1 AS (SELECT *, row_number() OVER (PARTITION BY xxh3_128, size, sha256 ORDER BY path, id) AS k FROM m WHERE sha256 IS NOT NULL),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY xxh3_128, size, sha256 ORDER BY path) AS k FROM disk WHERE sha256 IS NOT NULL),
+p1 AS (SELECT m1.id, m1.path AS old_path, d1.path AS new_path, 'definitive' AS confidence FROM m1 JOIN d1 USING (xxh3_128, size, sha256, k)),
+m2 AS (SELECT *, row_number() OVER (PARTITION BY xxh3_128, size ORDER BY path, id) AS k FROM m WHERE sha256 IS NULL),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY xxh3_128, size ORDER BY path) AS k FROM disk WHERE path NOT IN (SELECT new_path FROM p1)),
+moves AS (SELECT * FROM p1 UNION ALL SELECT m2.id, m2.path, d2.path, 'fast' FROM m2 JOIN d2 USING (xxh3_128, size, k))"""
 
 
 def _missing(spark, d):
@@ -817,10 +827,97 @@ def catalog_after_import(spark, d):
 
 
 ORACLES["catalog_after_import"] = _sql("files", "disk", ctes=_OUTCOME, body=f"""SELECT f.id, coalesce(b.dest_path, f.path) AS path, CASE WHEN b.dest_path IS NULL THEN f.status ELSE 'imported' END AS status, CASE WHEN b.dest_path IS NULL THEN f.imported_at ELSE {NOW_MS} END AS imported_at
-  FROM files f LEFT JOIN (SELECT lost_id, min(dest_path) AS dest_path FROM outcome WHERE outcome = 'added' AND lost_id IS NOT NULL GROUP BY 1) b ON b.lost_id = f.id
+  FROM files f LEFT JOIN (SELECT lost_id, dest_path FROM outcome WHERE lost_id IS NOT NULL) b ON b.lost_id = f.id
   UNION ALL SELECT (SELECT max(id) FROM files) + row_number() OVER (ORDER BY dest_path), dest_path, 'imported', {NOW_MS} FROM outcome WHERE outcome = 'added' AND lost_id IS NULL""")
 
 
+# --- the commit log ------------------------------------------------------------------------------
+
+
+def _store(spark) -> Store:
+    return Store(spark, scratch_path(spark, "store"))
+
+
+def _committed(store: Store, **changes: DataFrame) -> None:
+    """One commit of what is given: update, insert, append."""
+    change = store.begin()
+    for name in ("update", "insert", "append"):
+        if name in changes:
+            getattr(change, name)(changes[name])
+    change.publish()
+
+
+@query()
+def catalog_by_commits(spark, d):
+    """catalog_after_import() through the store: the catalog is committed, then the import's recovered and new rows; ids are the store's."""
+    store, files = _store(spark), a.files(spark, d)
+    _committed(store, insert=files.drop("id"))
+    now = store.files()
+    known = now.withColumn("algo", F.lit("xxh3_128")).withColumn("hash", F.col("xxh3_128"))
+    rows = dedup.strong_hash_decision(_batch(spark, d), known, a.disk(spark, d)).withColumn("dest_path", F.substr("path", F.lit(6)))
+    rows = rows.withColumn("xxh3_128", F.col("hash")).withColumn("imported_at", F.lit(NOW_MS).cast("long"))
+    out = kept(dedup.insert_outcome(rows, known), "outcome")
+    _committed(store, update=dedup.recovered_rows(now, out), insert=dedup.new_rows(now, out))
+    return store.files().select("id", "path", "status", "imported_at", values.hex_lower(F.col("xxh3_128")).alias("content"))
+
+
+ORACLES["catalog_by_commits"] = _sql("files", "disk", ctes="f2 AS (SELECT * EXCLUDE (id), row_number() OVER (ORDER BY path) AS id FROM files),\n" + _OUTCOME.replace("FROM files", "FROM f2"), body=f"""SELECT f.id, coalesce(b.dest_path, f.path) AS path, CASE WHEN b.dest_path IS NULL THEN f.status ELSE 'imported' END AS status, CASE WHEN b.dest_path IS NULL THEN f.imported_at ELSE {NOW_MS} END AS imported_at, f.xxh3_128 AS content
+  FROM f2 f LEFT JOIN (SELECT lost_id, dest_path FROM outcome WHERE lost_id IS NOT NULL) b ON b.lost_id = f.id
+  UNION ALL SELECT (SELECT max(id) FROM f2) + row_number() OVER (ORDER BY dest_path), dest_path, 'imported', {NOW_MS}, hash FROM outcome JOIN oc USING (path, dest_path, outcome) WHERE outcome = 'added' AND lost_id IS NULL""")
+
+
+def _grown(spark, d) -> Store:
+    """A store that gets the catalog in three imports, with paths, status and SHA-256 as they were, and then three updates to what they are."""
+    store, files, k = _store(spark), a.files(spark, d), F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long")
+    before = files.withColumn("path", F.regexp_replace("path", "^old/", "")).withColumn("status", F.lit("imported")).withColumn("sha256", F.lit(None).cast("binary"))
+    for part in range(3):
+        _committed(store, insert=before.where(F.col("id") % 3 == part).drop("id"))
+    final = files.select(F.col("id").alias("doc"), *[F.col(c).alias(f"new_{c}") for c in ("path", "status", "sha256")])
+    for column in ("path", "status", "sha256"):
+        now = store.files().withColumn("doc", k).join(final, "doc")
+        changed = now.where(~F.col(column).eqNullSafe(F.col(f"new_{column}"))).withColumn(column, F.col(f"new_{column}"))
+        _committed(store, update=changed.drop("doc", "new_path", "new_status", "new_sha256"))
+    return store
+
+
+@query("files", sql=f"""SELECT count(*) AS total_files, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size, count(*) FILTER (status = 'imported') AS imported,
+  count(*) FILTER (status = 'duplicate') AS duplicate, count(*) FILTER (status = 'missing') AS missing, count(sha256) AS with_sha256,
+  count(*) FILTER (sha256 IS NULL AND xxh3_128 IS NOT NULL) AS pending_sha256,
+  count(*) FILTER (imported_at > {NOW_MS - 86400000}) AS last_1_days, count(*) FILTER (imported_at > {NOW_MS - 7 * 86400000}) AS last_7_days, count(*) FILTER (imported_at > {NOW_MS - 30 * 86400000}) AS last_30_days FROM files""")
+def stats_kept_up(spark, d):
+    """Statistics and recent imports from totals that six commits have added to and taken from."""
+    store = _grown(spark, d)
+    return catalog.stats_of_totals(store.totals()).crossJoin(catalog.recent_of_totals(store.totals(), store.files(), NOW_MS))  # a row each
+
+
+@query("files", sql="SELECT lower(substr(path, instr(path, '.') + 1)) AS extension, count(*) AS n, CAST(sum(size) AS BIGINT) AS total_size FROM files WHERE instr(path, '.') > 0 GROUP BY 1")
+def extensions_kept_up(spark, d):
+    return catalog.extensions_of_totals(_grown(spark, d).totals(), None)
+
+
+@query("events_log", sql="SELECT row_number() OVER (ORDER BY seq % 3, occurred_at, event_type, entity_id, payload) AS seq, occurred_at, event_type, entity_id, payload, CAST(NULL AS BIGINT) AS first_bad FROM events_log")
+def events_fed(spark, d):
+    """The events as a stream delivers them: appended in three commits, with the stream stopped after each and started again."""
+    store, log = _store(spark), a.events(spark, d)
+    target, checkpoint = scratch_path(spark, "fed"), scratch_path(spark, "checkpoint")
+    for part in range(3):
+        _committed(store, append=log.where(F.col("seq") % 3 == part).drop("seq"))
+        ingest.event_feed(spark, store.log.root).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
+    fed = spark.read.schema(EVENTS).parquet(target)
+    return fed.select("seq", "occurred_at", "event_type", "entity_id", "payload").crossJoin(events.verify_chain(fed))  # a row
+
+
+@query("files", sql="SELECT path, size, imported_at FROM (SELECT *, row_number() OVER (PARTITION BY xxh3_128 ORDER BY id % 3, path) AS r FROM files) WHERE r = 1")
+def first_sights(spark, d):
+    """Contents that a stream of three inventories sees for the first time, by keyed state, restarted after each."""
+    folder, target, checkpoint = (scratch_path(spark, n) for n in ("inventories", "sights", "checkpoint"))
+    rows = a.files(spark, d)
+    for part in range(3):
+        rows.where(F.col("id") % 3 == part).select(*[c.split()[0] for c in ingest.INVENTORY.split(", ")]).coalesce(1).write.mode("append").parquet(folder)
+        ingest.import_first_sights(ingest.inventory_stream(spark, folder), target, checkpoint).awaitTermination()
+    return spark.read.schema(ingest.INVENTORY).parquet(target).select("path", "size", "imported_at")
+
+
 @query("session_events", sql="SELECT seq FROM session_events WHERE lower(payload) LIKE '%\"manifest\":\"m/1%'")
 def events_payload_like(spark, d):
     return events.filter_events(a.session_events(spark, d), payload_like='%"manifest":"M/1%').select("seq")

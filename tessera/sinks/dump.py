@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .document import Fragments, join_document
+
 
 def _blob(name: str) -> Column:
     return F.concat(F.lit("<BLOB:"), F.octet_length(name), F.lit(">"))
@@ -49,26 +51,32 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 
 def dump(spark: SparkSession, tables: dict[str, DataFrame], path: str, form: str = "csv", limit: int | None = None) -> list[str]:
-    """Writes each table under path/<name> as text, and the warnings about those that failed back.
+    """Writes the tables as text, and gives back the warnings about those that failed.
 
-    Rows go out as they are partitioned; header.txt has the table's name, row count and columns.
+    CSV and SQL: each table's rows under path/<name> as they are partitioned; <name>.header has the table's name, row count and
+    columns. JSON: path/dump.json, one document with an object for each table: name, columns, rows and row_count.
     """
-    warnings = []
+    warnings, whole = [], []
     for name, df in tables.items():
         try:
             part = df if limit is None else df.limit(limit)
             lines = {"csv": csv_rows, "json": json_rows, "sql": lambda x, n=name: sql_rows(x, n)}[form](part)
             seen = Observation()  # rows are counted as they are written: a row may have several lines
-            lines.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(f"{path}/{name}")
+            counted = lines.observe(seen, F.count(F.lit(1)).alias("n"))
+            if form == "json":
+                rows = Fragments(counted.withColumnRenamed("line", "value"), f"{path}/dump.json")
+                whole += [("," if whole else "") + json.dumps({"name": name, "columns": df.columns})[:-1] + ', "rows": [', rows, f'], "row_count": {seen.get["n"]}}}']
+                continue
+            counted.write.mode("overwrite").text(f"{path}/{name}")
             n = seen.get["n"]
             mark = "--" if form == "sql" else "#"
             head = f"{mark} Table: {name} ({n} rows)" if n or form != "sql" else f"-- Table: {name} (empty)"
-            if form == "json":  # what the rows belong to; they are lines in parts, so that no task holds them all
-                head = json.dumps({"name": name, "columns": df.columns, "row_count": n})
             rows = [head] + ([",".join(df.columns)] if form == "csv" else [])
             spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}.header")
         except Exception as e:  # noqa: BLE001  one table's failure must not end the dump
             warnings.append(f"{name}: {e}")
+    if form == "json":
+        join_document(spark, f"{path}/dump.json", ["[", *whole, "]"])
     return warnings
 
 

@@ -1,7 +1,8 @@
-"""The archive on disk: layout, lock, catalog versions, event log, manifests and reports.
+"""The archive on disk: layout, lock, and its catalog, event log, totals and manifests over one commit log.
 
-A catalog version is a Parquet directory; the file CURRENT names the one that holds. Writing makes a new
-version and then renames the pointer, so readers see the old or the new one, never a part.
+The catalog lies in buckets by content. New rows are appended to the segments of their buckets; a changed row has its bucket
+rewritten, and no other. Events are appended. All that a command writes is one commit (see commits): catalog, events,
+totals and manifest hold together or not at all.
 """
 
 from __future__ import annotations
@@ -9,24 +10,148 @@ from __future__ import annotations
 import contextlib
 import fcntl
 import json
-import os
 import time
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.values import GENESIS, event_hash
-from ..operators import dedup
+from ..operators import catalog, dedup
 from ..operators import events as ev
+from ..operators.numbering import numbered
+from ..scratch import kept
+from .commits import CommitLog, Conflict
+from .document import Fragments, join_document
 
 FILES = (
     "id bigint, path string, size bigint, mtime bigint, crc32 bigint, raw_id string, xxh3_128 binary, sha256 binary, status string, imported_at bigint, "
     "group_id bigint, role string, exif_fp string, duplicate_of bigint"
 )
+FILE_COLUMNS = [c.split()[0] for c in FILES.split(", ")]
 EVENTS = "seq bigint, occurred_at bigint, event_type string, entity_type string, entity_id bigint, payload string, prev_hash string, self_hash string"
 META, DEFAULT_SETTINGS = ".tessera", '[global]\nsync_strategy = "reflink,hardlink"\n\n[import]\npath_template = "$year/$mon-$day/$device/$filename"\nrename_template = "$filename.$n.$ext"\n'
+#: Buckets of a new catalog (for large archives about one a million rows), and the segments of a bucket at which it is merged.
+BUCKETS, MERGE_AT = 8, 12
+
+
+class Store:
+    """Tables files, events, totals and manifests over the commit log below root."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.log, self._buckets = spark, CommitLog(spark, root), buckets
+
+    def state(self) -> dict:
+        return self.log.state()
+
+    def buckets(self, state: dict) -> int:
+        """How many buckets the catalog has: what its first commit said."""
+        return state["values"].get("buckets", self._buckets)
+
+    def bucket(self, state: dict):
+        """A row's bucket: by its content, and by its id where it has no hash; neither changes."""
+        return F.pmod(F.xxhash64(F.coalesce("xxh3_128", F.col("id").cast("string").cast("binary"))), F.lit(self.buckets(state))).cast("int")
+
+    def files(self, state: dict | None = None, buckets: set[int] | None = None) -> DataFrame:
+        return self.log.read(state or self.state(), "files", FILES, lambda s: buckets is None or s["bucket"] in buckets)
+
+    def events(self, state: dict | None = None, after: int = 0) -> DataFrame:
+        """The log, or its events with a seq over after: segments that end before it are not read."""
+        out = self.log.read(state or self.state(), "events", EVENTS, lambda s: s["last"] > after)
+        return out.where(F.col("seq") > after) if after else out
+
+    def totals(self, state: dict | None = None) -> DataFrame:
+        """Counts and sizes as the commits have added and taken them back (see catalog.totals)."""
+        keys = ["extension", "status", "strong", "fast", "day"]
+        return self.log.read(state or self.state(), "totals", catalog.TOTALS).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+
+    def begin(self) -> "Transaction":
+        return Transaction(self)
+
+
+class Transaction:
+    """Changes on top of one state of a store. insert(), update(), append() and manifest() write segments, each
+    once at most; publish() makes them hold, or raises Conflict if another commit came first."""
+
+    def __init__(self, store: Store):
+        self.store, self.log, self.base = store, store.log, store.state()
+        self.add: list[dict] = []
+        self.remove: list[str] = []
+        self.values: dict = {} if "buckets" in self.base["values"] else {"buckets": store.buckets(self.base)}
+
+    def _write_files(self, rows: DataFrame) -> list[dict]:
+        parts = rows.select(*FILE_COLUMNS).withColumn("bucket", self.store.bucket(self.base)).hint("rebalance", "bucket")
+        return self.log.write_segments(parts, "files", "bucket")
+
+    def _count(self, changes: DataFrame) -> None:
+        self.add += self.log.write_segments(changes.coalesce(1), "totals")  # a few rows: as many as kinds of files
+
+    def insert(self, rows: DataFrame) -> None:
+        """New rows of the catalog; ids are given on from the last, in the order of path. No old row is written."""
+        top = self.base["values"].get("next_id", 0)
+        whole = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in FILES.split(", ")) if c != "id"])
+        new = self._write_files(numbered(whole, [], ["path"], "id").withColumn("id", F.col("id") + F.lit(top)))
+        if not new:
+            return
+        there = self.log.read({"segments": new}, "files", FILES)
+        self.values["next_id"] = there.agg(F.max("id")).first()[0]
+        self._count(catalog.totals(there))
+        self.add += new
+
+    def update(self, rows: DataFrame) -> None:
+        """Rows of the catalog as they are from now on, found by id; their content hash is as before. Their buckets are rewritten."""
+        rows = kept(rows.select(*FILE_COLUMNS), "changed")
+        touched = {r["b"] for r in rows.select(self.store.bucket(self.base).alias("b")).distinct().collect()}  # bucket numbers
+        if not touched:
+            return
+        before = self.store.files(self.base, touched)
+        self._count(catalog.totals(rows).unionAll(catalog.totals(before.join(rows.select("id"), "id", "left_semi"), -1)))
+        self.add += self._write_files(before.join(rows.select("id"), "id", "left_anti").select(*FILE_COLUMNS).unionByName(rows))
+        self.remove += [s["path"] for s in self.base["segments"] if s["table"] == "files" and s["bucket"] in touched]
+
+    def append(self, rows: DataFrame) -> None:
+        """Events(occurred_at, event_type, entity_type, entity_id, payload), in that order, chained to the head. The log isn't read."""
+        last, head = self.base["values"].get("next_seq", 0), self.base["values"].get("head", GENESIS)
+        order = Window.orderBy("occurred_at", "event_type", "entity_id", "payload")  # a chain is one stream by nature
+        lines = rows.withColumn("seq", (F.row_number().over(order) + F.lit(last)).cast("bigint")).select("seq", "occurred_at", "event_type", "entity_type", "entity_id", "payload")
+        new = self.log.write_segments(ev.build_chain(lines, head=head), "events")
+        end = self.log.read({"segments": new}, "events", EVENTS).agg(F.max("seq").alias("seq"), F.max_by("self_hash", "seq").alias("head")).first()
+        if end["seq"] is not None:
+            self.add += [s | {"first": last + 1, "last": end["seq"]} for s in new]
+            self.values |= {"next_seq": end["seq"], "head": end["head"]}
+
+    def manifest(self, session: dict, items: DataFrame) -> str:
+        """A session's manifest: one JSON document of its fields and items, in the order of src_path; null fields are left out."""
+        name = f"manifests/import-{session['session_id']}.json"
+        head = {k: v for k, v in session.items() if k != "summary"} | {"hash_algorithm": "xxh3_128"}
+        tail = {"summary": session["summary"]} if "summary" in session else {}
+        path = f"{self.log.root}/{name}"
+        rows = Fragments(items.repartitionByRange("src_path").sortWithinPartitions("src_path").select(F.to_json(F.struct(*items.columns)).alias("value")), path)
+        join_document(self.store.spark, path, [json.dumps(head)[:-1] + ', "files": [', rows, "]" + (", " + json.dumps(tail)[1:] if tail else "}")])
+        self.add.append({"table": "manifests", "path": name, "session": session["session_id"], "at": session.get("imported_at")})
+        return name
+
+    def merge(self, most: int = MERGE_AT) -> int:
+        """Rewrites buckets of more than most segments as one each; how many. In a transaction of its own."""
+        held: dict[int, list[str]] = {}
+        for s in self.base["segments"]:
+            if s["table"] == "files":
+                held.setdefault(s["bucket"], []).append(s["path"])
+        crowded = {b for b, own in held.items() if len(own) > most}
+        small = [s["path"] for s in self.base["segments"] if s["table"] == "totals"]
+        if crowded:
+            self.add += self._write_files(self.store.files(self.base, crowded))
+            self.remove += [p for b in crowded for p in held[b]]
+        if len(small) > most:
+            self._count(self.store.totals(self.base).where("n <> 0 or size <> 0"))
+            self.remove += small
+        return len(crowded)
+
+    def publish(self) -> dict:
+        """The state that holds then. Without changes, nothing is published."""
+        return self.log.publish(self.base, self.add, self.remove, self.values) if self.add or self.remove else self.base
 
 
 class Archive:
@@ -34,15 +159,18 @@ class Archive:
         self.spark, self.root, self.meta = spark, Path(root), Path(root) / META
         if not self.meta.is_dir():
             raise FileNotFoundError(f"no archive at {root}")
+        self.store = Store(spark, f"file://{self.meta.resolve()}")
 
     @classmethod
-    def init(cls, spark: SparkSession, root: str) -> "Archive":
+    def init(cls, spark: SparkSession, root: str, buckets: int = BUCKETS) -> "Archive":
         meta = Path(root) / META
         if meta.exists():
             raise FileExistsError(f"{root} is an archive already")
         (meta / "manifests").mkdir(parents=True)
         (meta / "settings.toml").write_text(DEFAULT_SETTINGS)
-        return cls(spark, root)
+        out = cls(spark, root)
+        out.store.log.publish(out.store.state(), [], [], {"buckets": buckets})
+        return out
 
     @classmethod
     def find(cls, spark: SparkSession, start: str) -> "Archive":
@@ -60,61 +188,34 @@ class Archive:
             fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
             yield
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        pointer = self.meta / f"{name}.CURRENT"
-        if not pointer.exists():
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"file://{self.meta / pointer.read_text()}")
-
-    def _swap(self, name: str, df: DataFrame) -> None:
-        version = f"{name}-{uuid.uuid4().hex}"
-        df.write.parquet(f"file://{self.meta / version}")
-        temp = self.meta / f"{name}.NEXT"
-        temp.write_text(version)
-        os.replace(temp, self.meta / f"{name}.CURRENT")
-
     def files(self) -> DataFrame:
-        return self._read("files", FILES)
+        return self.store.files()
 
     def events(self) -> DataFrame:
-        return self._read("events", EVENTS)
+        return self.store.events()
 
-    def write_files(self, df: DataFrame) -> None:
-        self._swap("files", df.select(*[c.split()[0] for c in FILES.split(", ")]))
+    def begin(self) -> Transaction:
+        return self.store.begin()
 
     def append_events(self, rows: DataFrame) -> None:
-        """Appends rows(occurred_at, event_type, entity_type, entity_id, payload) in that order, chained to the head.
-
-        One writer at a time (see lock); the rows of one append are numbered and linked in one stream.
-        """
-        now = self.events()
-        last = now.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("seq"), F.coalesce(F.max_by("self_hash", "seq"), F.lit(GENESIS)).alias("head")).first()
-        from pyspark.sql.window import Window
-
-        order = Window.orderBy("occurred_at", "event_type", "entity_id", "payload")
-        numbered = rows.withColumn("seq", F.row_number().over(order) + F.lit(last["seq"]))
-        numbered = numbered.select(F.col("seq").cast("bigint").alias("seq"), "occurred_at", "event_type", "entity_type", "entity_id", "payload")
-        self._swap("events", now.unionByName(ev.build_chain(numbered, head=last["head"])))
-
-    def upsert(self, rows: DataFrame) -> None:
-        """Outcomes of operators.dedup.insert_outcome() into the catalog: updates of recovered rows, then inserts.
-
-        A recovered row gets its path, status and times; its size and hashes stay.
-        """
-        self.write_files(dedup.apply_outcomes(self.files(), rows))
-
-    def write_manifest(self, session: dict, items: list[dict]) -> str:
-        """One JSON document a session; null fields are left out."""
-        body = {**session, "hash_algorithm": "xxh3_128", "files": [{k: v for k, v in i.items() if v is not None} for i in items]}
-        path = self.meta / "manifests" / f"import-{session['session_id']}.json"
-        temp = path.with_suffix(".tmp")
-        temp.write_text(json.dumps(body, indent=2))
-        os.replace(temp, path)
-        return str(path)
+        """Appends events as a commit of their own."""
+        change = self.begin()
+        change.append(rows)
+        change.publish()
+
+    def take_outcomes(self, change: Transaction, rows: DataFrame) -> None:
+        """Outcomes of operators.dedup.insert_outcome() into the catalog: updates of recovered rows, then inserts."""
+        files = self.store.files(change.base)
+        change.update(dedup.recovered_rows(files, rows))
+        change.insert(dedup.new_rows(files, rows))
+
+    def manifests(self) -> list[str]:
+        """The paths of the manifests that commits name."""
+        return [f"{self.store.log.root}/{s['path']}" for s in self.store.state()["segments"] if s["table"] == "manifests"]
 
     def write_report(self, session_id: str, rows: DataFrame) -> str:
         """A recheck's rows as JSON lines, one file a task."""
-        path = f"file://{self.meta / f'recheck-{session_id}-{int(time.time() * 1000)}'}"
+        path = f"file://{self.meta / f'recheck-{session_id}-{int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}'}"
         rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
         return path
 
@@ -129,4 +230,4 @@ def single_event(spark: SparkSession, event_type: str, entity_type: str, entity_
     return spark.createDataFrame([row], "occurred_at bigint, event_type string, entity_type string, entity_id bigint, payload string")
 
 
-__all__ = ["Archive", "event_hash", "session_id", "single_event"]
+__all__ = ["Archive", "Conflict", "Store", "event_hash", "session_id", "single_event"]

@@ -19,10 +19,12 @@ MANIFEST = (
 )
 
 
-def manifests(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a manifest, newest first; files that aren't valid JSON are passed over."""
+def manifests(spark: SparkSession, found: str | list[str]) -> DataFrame:
+    """One row a manifest of a folder or of some files, newest first; files that aren't valid JSON are passed over."""
     schema = MANIFEST + ", _corrupt_record string"
-    raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(schema).json(folder)
+    if not found:
+        return spark.createDataFrame([], MANIFEST)
+    raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(schema).json(found)
     return raw.where("_corrupt_record is null and session_id is not null").drop("_corrupt_record").orderBy(F.desc("imported_at"), F.desc("session_id"))
 
 
@@ -89,8 +91,8 @@ def clean_root(path: str) -> str:
 
 
 def parse_time(text: str | None) -> int | None:
-    """RFC 3339 or a day, as UTC milliseconds; what isn't either filters nothing."""
-    from datetime import UTC, datetime
+    """RFC 3339 or a day, as UTC milliseconds; without a zone it is local time, a day its midnight. What isn't either filters nothing."""
+    from datetime import datetime
 
     try:
         t = datetime.fromisoformat(text) if text else None
@@ -98,4 +100,4 @@ def parse_time(text: str | None) -> int | None:
         return None
     if t is None:
         return None
-    return int((t if t.tzinfo else t.replace(tzinfo=UTC)).timestamp() * 1000)
+    return int(t.timestamp() * 1000)

@@ -1,8 +1,9 @@
-"""A directory tree as a table: a Python data source, a partition a top-level folder."""
+"""A directory tree as a table: a Python data source that splits the tree into as many subtrees as there are tasks."""
 
 from __future__ import annotations
 
 import os
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +50,23 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"].removeprefix("file://")
         self.extensions = frozenset(x.strip().lower() for x in options.get("extensions", "").split(",") if x.strip())
+        self.tasks = int(options.get("tasks", "32"))
         self.skip = frozenset([".tessera", *(x for x in options.get("skip", "").split(",") if x)])
 
     def partitions(self):
         if not os.path.isdir(self.root):
             raise FileNotFoundError(self.root)
-        subs = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and e.name not in self.skip)
-        return [_Part("", False), *[_Part(s, True) for s in subs]]
+        # Folders are opened from the top, breadth first, until there are as many subtrees as tasks or no more folders: what
+        # was opened lists its own files only, what is left is walked as a whole.
+        opened, waiting = [], deque([""])
+        while waiting and len(waiting) < self.tasks:
+            here = waiting.popleft()
+            opened.append(_Part(here, False))
+            try:
+                waiting.extend(rel for e in sorted(os.scandir(os.path.join(self.root, here)), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and not {e.name, rel := f"{here}/{e.name}" if here else e.name} & self.skip)
+            except OSError:  # its own partition says so
+                continue
+        return opened + [_Part(sub, True) for sub in waiting]
 
     def read(self, partition):
         yield from walk(self.root, partition.sub, self.extensions, self.skip, partition.recurse)
@@ -80,7 +91,7 @@ def file_tree(spark: SparkSession, root: str, extensions: list[str] | None = Non
 
     ship(spark)
     spark.dataSource.register(FileTree)
-    return spark.read.format("file_tree").option("extensions", ",".join(extensions or [])).option("skip", ",".join(skip or [])).load(root)
+    return spark.read.format("file_tree").option("extensions", ",".join(extensions or [])).option("skip", ",".join(skip or [])).option("tasks", 4 * spark.sparkContext.defaultParallelism).load(root)
 
 
 #: Bytes read of a file's start for its tags: of JPEG and the like, and of formats that hold them further in.
