@@ -390,17 +390,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     Texts are UTF-8 bytes, null is empty. A byte is removed if a string of length bytes that covers it also starts
     earlier: in a row with a smaller id, or before it in the same. Strings are judged on the input and
-    never cross rows. Rows that repeat an id are one document, and must agree in their texts; a row with
-    a null id is left whole and covers nothing. An empty table gives an empty result; other columns
-    aren't read.
+    never cross rows. Rows that repeat an id and its text are one document. Where rows repeat an id with other texts, those
+    with the smallest hash of their text are the document; the others, like rows with a null id, are left whole and cover
+    nothing. An empty table gives an empty result; other columns aren't read.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranges = covered_ranges(rows, length, id_col="doc", text_col="text", **settings)
+    rows = _one_text_an_id(rows)
+    ranges = covered_ranges(rows.select("doc", "text"), length, id_col="doc", text_col="text", **settings)
     ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("first", "more")).alias("spans"))
-    joined = rows.join(ranges, "doc", "left").select("doc", "text", "spans")
+    joined = rows.join(ranges, "doc", "left").select(F.col("id").alias("doc"), "text", "spans")
     schema = "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
     return arrow_map(joined, _remover(length, with_text), schema).withColumnRenamed("doc", id_col)
 
 
+def _one_text_an_id(rows: DataFrame) -> DataFrame:
+    """rows(doc, text) with id, as doc was; doc is null where another text is the id's document."""
+    hashed = rows.select("doc", F.xxhash64("text").alias("h")).where("doc is not null")
+    split = hashed.groupBy("doc").agg(F.min("h").alias("_least"), F.max("h").alias("_most")).where("_least <> _most").select(F.col("doc").alias("_doc"), "_least")
+    split = written(split, "split")
+    named = rows.withColumn("id", F.col("doc"))
+    if split.isEmpty():
+        return named
+    other = F.col("_least") != F.xxhash64("text")
+    found = named.join(split, F.col("doc") == F.col("_doc"), "left")
+    return found.select(F.when(other, F.lit(None)).otherwise(F.col("doc")).cast("bigint").alias("doc"), "text", "id")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
