@@ -8,8 +8,9 @@ alignment, and the words between neighbouring anchors are aligned exactly. The s
 equal words in the longer text. Classes are the connected components of pairs that reach the threshold.
 
 A pair whose labelled shingles have Jaccard similarity J shares no sketch with probability about
-(1 - J**PICKS)**SKETCHES. One word in twenty replaced leaves J = 0.63 and a miss of 1e-5, one in ten J = 0.42 and
-0.05. Texts of fewer than SHORT shingles are candidates by every single shingle as well.
+(1 - J**PICKS)**SKETCHES. One word in ten replaced leaves J = 0.42 and a miss of 6e-5, one in eight J = 0.34 and 0.005, one in
+six J = 0.25 and 0.13, one in five J = 0.20 and 0.38. Texts of fewer than SHORT shingles are candidates by every single shingle as
+well.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from ..session import arrow_map
 from .common import mix64, read_table, release_others, shingle_hashes, shuffle_parts, word_blocks, written
 from .components import components
 
-SHINGLE, THRESHOLD, PICKS, SKETCHES, SHORT = 5, 0.8, 3, 40, 16
+SHINGLE, THRESHOLD, PICKS, SKETCHES, SHORT = 5, 0.8, 3, 128, 16
 #: Words of a group that one task holds; a larger group is dealt out as pairs of parts.
 PART_WORDS = 2_000_000
-_SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 64, dtype=np.uint64)
+#: Odd factors: hashes times one of them, modulo 2**64, are in another order. One a sketch, so at most so many sketches.
+_ODDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = np.uint64((1 << 64) - 1)
 
 
@@ -67,7 +69,7 @@ def order_sketches(labelled: np.ndarray, bounds: np.ndarray, sketches: int = SKE
     mask = np.uint64((1 << bits) - 1)
     index = np.arange(len(labelled), dtype=np.uint64)
     for j in range(sketches):
-        packed = (mix64(labelled ^ _SEEDS[j]) & ~mask) | index
+        packed = (labelled * _ODDS[j] & ~mask) | index
         spots = []
         for p in range(picks):
             low = np.minimum.reduceat(packed, starts)
@@ -75,7 +77,7 @@ def order_sketches(labelled: np.ndarray, bounds: np.ndarray, sketches: int = SKE
             spots.append(spot)
             packed[spot[spot >= 0]] = _LAST
         spots = np.sort(np.stack(spots), axis=0)
-        value = np.full(len(some), _SEEDS[j])
+        value = np.full(len(some), _ODDS[j])
         for spot in spots:
             value = np.where(spot >= 0, mix64(value * np.uint64(0x9E3779B97F4A7C15) + labelled[spot]), value)
         out[:, j] = value
@@ -268,6 +270,9 @@ class Group:
         sizes = np.array([len(t.words) for t in texts], np.int64)
         comp, members, degree = np.arange(n), {}, np.zeros(n, np.int64)
         buckets: dict[int, list] = {}  # key -> [texts so far, how many, the one with most links]
+        keys, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.keys]), return_counts=True)
+        keys = keys[times > 1]  # what one text alone has makes no candidates
+        shared = [k[np.isin(k, keys, assume_unique=True)] for k in self.keys]
 
         def test(x: int, y: int) -> bool:
             if not similarity(texts[y], texts[x], self.threshold):
@@ -289,7 +294,7 @@ class Group:
             return y[part[y] != part[x]] if across else y
 
         for x in range(n):
-            own = [buckets.setdefault(v, [np.empty(2, np.int64), 0, -1]) for v in self.keys[order[x]].tolist()]
+            own = [buckets.setdefault(v, [np.empty(2, np.int64), 0, -1]) for v in shared[order[x]].tolist()]
             hubs = sorted({b[2] for b in own if b[1]}, key=lambda y: -degree[y])
             tested = []
             for y in hubs:
