@@ -290,10 +290,20 @@ def history_items(archive: Archive, session: str | None = None, status: str | No
     return events.page(events.items(rows, status), ["session_id", "src_path"], limit, offset)
 
 
+def brought_by(archive: Archive, dests: list[str]) -> DataFrame:
+    """dest_path, session_id, src_path, status: the newest import that wrote each of some destinations. Only their part of the index is read."""
+    return events.newest_by_dest(archive.store.items(dests=dests))
+
+
 def verify_chain(archive: Archive) -> DataFrame:
     return events.verify_chain(archive.events())
 
 
+def tables(archive: Archive) -> list[str]:
+    """The tables that an archive dumps."""
+    return ["events", "files"]
+
+
 def dump_tables(archive: Archive, path: str, form: str = "csv", tables: list[str] | None = None, limit: int | None = None) -> list[str]:
     have = {"files": archive.files(), "events": archive.events()}
     unknown = [t for t in tables or [] if t not in have]

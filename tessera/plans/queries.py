@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import formats, paths, values
+from ..functions import formats, media, paths, values
 from ..operators import binding, catalog, dedup, events, reconcile
 from ..scratch import kept, scratch_path
-from ..sinks import dump, reports
-from ..sinks.store import EVENTS, Store
+from ..sinks import dump, reports, transfer
+from ..sinks.store import EVENTS, Archive, Store
 from ..sources import adapters as a
 from ..sources.adapters import NOW_MS, with_relations
 from ..streaming import ingest
+from . import commands
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -777,9 +779,9 @@ def listed_files(spark, d):
     return listed(wanted, a.disk(spark, d).select("path", "size", "error")).select("path", "size", "error")
 
 
-@query(sql="SELECT * FROM (VALUES ('head', 8), ('tail', 1), ('head_tail', 10)) t(region, n)")
+@query("media", sql="SELECT CASE WHEN ext IN ('jpg', 'heic') THEN 'head' WHEN ext = 'png' THEN 'tail' WHEN ext IN ('mov', 'dng', 'cr2') THEN 'head_tail' ELSE 'full' END AS region, count(*) AS n, CAST(sum(size) AS BIGINT) AS total_size FROM media GROUP BY 1")
 def format_regions(spark, d):
-    return formats.format_dimension(spark).groupBy("region").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return a.media(spark, d).groupBy(formats.region(paths.extension("path")).alias("region")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total_size"))
 
 
 @query("files", "disk", sql="""SELECT f.id, f.path FROM files f WHERE f.status = 'imported' AND CASE WHEN f.sha256 IS NOT NULL THEN f.sha256 NOT IN (SELECT sha256 FROM disk) ELSE f.xxh3_128 NOT IN (SELECT xxh3_128 FROM disk) END""")
@@ -831,6 +833,94 @@ ORACLES["catalog_after_import"] = _sql("files", "disk", ctes=_OUTCOME, body=f"""
   UNION ALL SELECT (SELECT max(id) FROM files) + row_number() OVER (ORDER BY dest_path), dest_path, 'imported', {NOW_MS} FROM outcome WHERE outcome = 'added' AND lost_id IS NULL""")
 
 
+# --- media headers and files ---------------------------------------------------------------------
+
+
+def _hex(n: int, width: int = 8) -> str:
+    return f"{n:0{width}X}"
+
+
+def _text_hex(c) -> F.Column:
+    return F.concat(F.hex(F.col(c).cast("binary")), F.lit("00"))
+
+
+def _tiff_hex(tags: list[tuple[int, str]]):
+    """Hex digits of a big-endian TIFF structure with the texts of some columns, of 4 bytes or more each, as tags."""
+    entries, at = F.lit(""), F.lit(8 + 2 + 12 * len(tags) + 4)
+    for tag, c in tags:
+        size = F.octet_length(c) + 1
+        entries = F.concat(entries, F.lit(_hex(tag, 4) + "0002"), F.lpad(F.hex(size.cast("long")), 8, "0"), F.lpad(F.hex(at.cast("long")), 8, "0"))
+        at = at + size
+    return F.concat(F.lit("4D4D002A00000008" + _hex(len(tags), 4)), entries, F.lit("00000000"), *[_text_hex(c) for _, c in tags])
+
+
+@query(sql=r"""SELECT o_orderkey AS id, CASE WHEN k IN (0, 1, 2) THEN c_mktsegment END AS make, CASE WHEN k IN (0, 1, 2) THEN c_name END AS model,
+  CASE WHEN k IN (0, 1, 2) THEN strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') END AS original, CASE WHEN k = 3 THEN c_mktsegment || ':' || c_name END AS raw_id
+  FROM (SELECT *, o_orderkey % 6 AS k FROM orders JOIN customer ON o_custkey = c_custkey)""")
+def media_tags(spark, d):
+    """Tags read from bytes that hold them: JPEG with APP1 (after another segment, for some), RAW with serial and image id, a cut JPEG, null."""
+    k = F.col("o_orderkey") % 6
+    rows = _orders(spark, d).withColumn("at", F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))
+    tiff, raw = _tiff_hex([(0x010F, "c_mktsegment"), (0x0110, "c_name"), (0x9003, "at")]), _tiff_hex([(0xA420, "c_name"), (0xA431, "c_mktsegment")])
+    app1 = F.concat(F.lit("457869660000"), tiff)
+    app1 = F.concat(F.lit("FFE1"), F.lpad(F.hex((F.length(app1) / 2 + 2).cast("long")), 4, "0"), app1, F.lit("FFDA0002"))
+    other = F.lit("FFE0" + _hex(6, 4) + "4A464946")
+    content = F.when(k == 0, F.concat(F.lit("FFD8"), app1)).when(k <= 2, F.concat(F.lit("FFD8"), other, app1)).when(k == 3, raw).when(k == 4, F.lit("FFD8FFE1"))
+    tags = rows.select(F.col("o_orderkey").alias("id"), media.exif(F.unhex(content)).alias("t"))
+    return tags.select("id", "t.make", "t.model", "t.original", paths.raw_text("t.serial", "t.image_id").alias("raw_id"))
+
+
+@query(sql="SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(epoch_us(o_orderdate) // 1000 AS BIGINT) END AS created_ms FROM orders")
+def video_dates(spark, d):
+    """Creation times read from MP4 boxes of both versions, with sizes of 32 and 64 bits; some files have no movie box."""
+    k = F.col("o_orderkey")
+    seconds = (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + 2_082_844_800).cast("long")
+    old = F.concat(F.lit(_hex(8 + 16) + "6D766864" + "00000000"), F.lpad(F.hex(seconds), 8, "0"), F.lit("00" * 8))
+    new = F.concat(F.lit(_hex(8 + 20) + "6D766864" + "01000000"), F.lpad(F.hex(seconds), 16, "0"), F.lit("00" * 8))
+    short = F.concat(F.lit(_hex(8 + 24) + "6D6F6F76"), old)
+    long = F.concat(F.lit(_hex(1) + "6D6F6F76" + _hex(16 + 28, 16)), new)
+    movie = F.when(k % 7 == 0, F.lit("")).when(k % 2 == 0, short).otherwise(long)
+    content = F.unhex(F.concat(F.lit(_hex(12) + "66747970" + "69736F6D"), movie))
+    return a.table(spark, d, "orders").select(k.alias("id"), values.quicktime_millis(media.mp4_created(content)).alias("created_ms"))
+
+
+def _imported(spark, d):
+    """An archive that has taken in every document, written as a file before."""
+    source, root = (scratch_path(spark, n).removeprefix("file://") for n in ("card", "archive"))
+    c = a.table(spark, d, "documents")
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("jpg", "mov", "dng", "heic")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    name = F.concat(F.lit("doc_"), F.col("doc_id"), F.lit("."), ext)
+    rows = c.select(F.concat_ws("/", "source", "lang", name).alias("path"), F.col("text").cast("binary").alias("content"), (F.lit(NOW_MS) - F.col("doc_id") * 3_600_000).alias("mtime_ms"))
+    kept(transfer.write_contents(rows, source), "written")
+    os.makedirs(root)
+    archive = Archive.init(spark, root)
+    commands.import_files(archive, source)
+    return archive
+
+
+_IMPORTED = f"""card AS (SELECT doc_id AS id, source || '/' || lang || '/doc_' || doc_id || '.' || (['jpg', 'mov', 'dng', 'heic'])[doc_id % 4 + 1] AS path, coalesce(text, '') AS text, {NOW_MS} - doc_id * 3600000 AS ms FROM documents),
+archived AS (SELECT id, strftime(make_timestamp(ms * 1000), '%Y/%m-%d') || '/Unknown/' || regexp_extract(path, '[^/]*$') AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size
+  FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY path) AS r FROM card) WHERE r = 1)"""
+
+
+@query(sql=f"WITH {_IMPORTED} SELECT path, size, 'imported' AS status, 'ok' AS result FROM archived")
+def import_documents(spark, d):
+    """Every document as a file, imported into an archive: its catalog, and what verifying it says."""
+    archive = _imported(spark, d)
+    return archive.files().select("id", "path", "size", "status").join(commands.verify(archive).select("id", "result"), "id").drop("id")
+
+
+@query(sql=f"WITH {_IMPORTED} SELECT CASE WHEN id % 11 <> 0 AND id % 7 = 0 THEN 'moved/' ELSE '' END || path AS path, CASE WHEN id % 11 = 0 THEN 'missing' ELSE 'imported' END AS status FROM archived")
+def update_documents(spark, d):
+    """That archive after files were moved and removed, and an update."""
+    archive = _imported(spark, d)
+    doc = F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long")
+    lost = archive.files().select("path", doc.alias("doc")).where("doc % 7 = 0 or doc % 11 = 0")
+    kept(transfer.move_or_remove(lost.select("path", F.when(F.col("doc") % 11 != 0, F.concat(F.lit("moved/"), F.col("path"))).alias("new_path")), str(archive.root)), "moved")
+    commands.update(archive)
+    return archive.files().select("path", "status")
+
+
 # --- the commit log ------------------------------------------------------------------------------
 
 
@@ -907,6 +997,20 @@ def events_fed(spark, d):
     return fed.select("seq", "occurred_at", "event_type", "entity_id", "payload").crossJoin(events.verify_chain(fed))  # a row
 
 
+@query()
+def manifest_index(spark, d):
+    """manifest_newest_by_dest() from the index of items by destination that three commits have filled."""
+    store, items = _store(spark), a.manifest_items(spark, d)
+    for part in range(3):
+        change = store.begin()
+        change.index(items.where(F.substr("session_id", F.lit(2)).cast("long") % 3 == part))
+        change.publish()
+    return events.newest_by_dest(store.items())
+
+
+ORACLES["manifest_index"] = ORACLES["manifest_newest_by_dest"]
+
+
 @query("files", sql="SELECT path, size, imported_at FROM (SELECT *, row_number() OVER (PARTITION BY xxh3_128 ORDER BY id % 3, path) AS r FROM files) WHERE r = 1")
 def first_sights(spark, d):
     """Contents that a stream of three inventories sees for the first time, by keyed state, restarted after each."""
@@ -926,6 +1030,79 @@ def events_payload_like(spark, d):
 # --- reports as JSON lines -----------------------------------------------------------------------
 
 
+@query()
+def copy_json_lines(spark, d):
+    copied = _outcome(spark, d).join(a.disk(spark, d).select(F.concat(F.lit("card/"), F.col("path")).alias("path"), "size"), "path")
+    failed = F.when(F.col("outcome") == "failed", F.col("reason"))
+    return reports.copy_lines(copied.where("outcome in ('added', 'failed')").select(F.col("path").alias("src"), F.col("dest_path").alias("dest"), "size", failed.alias("copy_error")))
+
+
+ORACLES["copy_json_lines"] = _sql("files", "disk", ctes=_OUTCOME + """,
+cp AS (SELECT o.path AS src, o.dest_path AS dest, d.size AS size, CASE WHEN outcome = 'failed' THEN x.reason END AS e FROM outcome o JOIN decided x USING (path) JOIN disk d ON 'card/' || d.path = o.path WHERE outcome IN ('added', 'failed'))""", body="""SELECT '{"event":"copy_started"}' AS line
+  UNION ALL SELECT '{"event":"copy_item_started","src":"' || src || '","dest":"' || dest || '","size":' || size || '}' FROM cp
+  UNION ALL SELECT '{"event":"copy_item_progress","src":"' || src || '","bytes_copied":' || CASE WHEN e IS NULL THEN size ELSE 0 END || ',"bytes_total":' || size || ',"percent":' || CASE WHEN e IS NULL AND size > 0 THEN 100 ELSE 0 END || '}' FROM cp
+  UNION ALL SELECT '{"event":"copy_item_finished","src":"' || src || '","dest":"' || dest || '","status":"' || CASE WHEN e IS NULL THEN 'ok"' ELSE 'failed","error":"' || e || '"' END || '}' FROM cp
+  UNION ALL SELECT '{"event":"copy_finished"}'""")
+
+
+@query()
+def insert_json_lines(spark, d):
+    """Hashing and inserting of a batch."""
+    rows = a.disk(spark, d).select("path", "size", "error")
+    return reports.hash_lines(rows).unionAll(reports.insert_lines(dedup.outcome_summary(_outcome(spark, d)), None))
+
+
+ORACLES["insert_json_lines"] = _sql("files", "disk", ctes=_OUTCOME, body="""SELECT unnest(['{"event":"hash_started"}', '{"event":"hash_finished"}', '{"event":"insert_started"}', '{"event":"insert_finished"}']) AS line
+  UNION ALL SELECT '{"event":"hash_item_started","path":"' || path || '","size":' || size || '}' FROM disk
+  UNION ALL SELECT '{"event":"hash_item_finished","path":"' || path || '","error":' || coalesce('"' || error || '"', 'null') || '}' FROM disk
+  UNION ALL SELECT '{"event":"insert_progress","completed":' || count(*) || ',"total":' || count(*) || '}' FROM outcome
+  UNION ALL SELECT '{"event":"import_summary","total":' || count(*) || ',"imported":' || count(*) FILTER (outcome = 'added') || ',"duplicate":' || count(*) FILTER (outcome = 'duplicate') || ',"failed":' || count(*) FILTER (outcome = 'failed') || ',"manifest_path":null}' FROM outcome""")
+
+
+@query()
+def recheck_json_lines(spark, d):
+    rows = _recheck(spark, d)
+    return reports.recheck_lines(rows, reconcile.recheck_summary(rows), "S1", "/card", "/r.json")
+
+
+ORACLES["recheck_json_lines"] = _sql("files", "disk", ctes=_RECHECK, body="""SELECT '{"event":"recheck_started","total":' || count(*) || ',"session_id":"S1","source":"/card"}' AS line FROM rc
+  UNION ALL SELECT '{"event":"recheck_item_started","src_path":"' || src_path || '","vault_path":"' || dest_path || '"}' FROM rc
+  UNION ALL SELECT '{"event":"recheck_item_finished","src_path":"' || src_path || '","vault_path":"' || dest_path || '","status":"' || result || '"}' FROM rc
+  UNION ALL SELECT '{"event":"recheck_finished"}'
+  UNION ALL SELECT '{"event":"recheck_summary",' || """ + " || ',' || ".join(f"""'"{k}":' || count(*) FILTER (result = '{k}')""" for k in reconcile.RECHECK if k != "error") + """ || ',"errors":' || count(*) FILTER (result = 'error') || ',"sha256_verified":' || count(*) FILTER (used_sha256) || ',"report_path":"/r.json"}' FROM rc""")
+
+
+@query()
+def add_json_lines(spark, d):
+    return reports.add_lines(_classified(spark, d), dedup.outcome_summary(_outcome(spark, d)), "/vault")
+
+
+ORACLES["add_json_lines"] = _sql("files", "disk", ctes=_LOOKUP + ",\n" + _OUTCOME + f""",
+st AS (SELECT path, c_path, {_STATUS} AS s FROM found)""", body="""SELECT '{"event":"add_preflight","new":' || count(*) FILTER (s IN ('new', 'recover')) || ',"duplicate":' || count(*) FILTER (s = 'duplicate') || ',"moved":' || count(*) FILTER (s = 'moved') || '}' AS line FROM st
+  UNION ALL SELECT '{"event":"' || CASE WHEN (SELECT count(*) FROM st WHERE s IN ('new', 'recover')) = 0 THEN 'add_only_moved' ELSE 'add_moved_hint' END || '","vault_root":"/vault","moved_files":[{"current":"' || path || '","previous":"' || c_path || '"}]}' FROM st WHERE s = 'moved'
+  UNION ALL SELECT '{"event":"add_summary","total":' || count(*) || ',"added":' || count(*) FILTER (outcome = 'added') || ',"duplicate":' || count(*) FILTER (outcome = 'duplicate') || ',"failed":' || count(*) FILTER (outcome = 'failed') || '}' FROM outcome
+  UNION ALL SELECT '{"event":"add_finished"}'""")
+
+
+@query()
+def update_json_lines(spark, d):
+    """An update's report, applied and as a dry run."""
+    m = _missing(spark, d)
+    moves = reconcile.reconcile_moves(m, a.disk(spark, d))
+    n = a.disk(spark, d).agg(F.count(F.lit(1)).alias("scanned")).crossJoin(m.agg(F.count(F.lit(1)).alias("missing"))).crossJoin(moves.agg(F.count(F.lit(1)).alias("matched")))  # counts: a row each
+    n = n.withColumn("unmatched", F.col("missing") - F.col("matched"))
+    return reports.update_lines(n.withColumn("updated", F.col("matched"))).unionAll(reports.update_lines(n.withColumn("updated", F.lit(0)), dry_run=True))
+
+
+ORACLES["update_json_lines"] = _sql("files", "disk", ctes=_MOVES + """,
+n AS (SELECT (SELECT count(*) FROM disk) AS sc, (SELECT count(*) FROM m) AS mi, (SELECT count(*) FROM moves) AS ma)""", body="""SELECT '{"event":"update_apply_started","total":' || mi || '}' AS line FROM n
+  UNION ALL SELECT '{"event":"update_apply_progress","completed":' || mi || ',"total":' || mi || '}' FROM n
+  UNION ALL SELECT '{"event":"update_apply_started","total":' || ma || '}' FROM n
+  UNION ALL SELECT '{"event":"update_dry_run_missing","count":' || (mi - ma) || '}' FROM n WHERE mi > ma
+  UNION ALL SELECT unnest(['{"event":"update_apply_finished"}', '{"event":"update_apply_finished"}'])
+  UNION ALL SELECT '{"event":"update_apply_summary","scanned":' || sc || ',"missing":' || mi || ',"matched":' || ma || ',"unmatched":' || (mi - ma) || ',"updated":' || u || '}' FROM n, (SELECT unnest([0, 1]) AS k) q, LATERAL (SELECT CASE WHEN k = 0 THEN 0 ELSE ma END AS u) v""")
+
+
 @query()
 def scan_json_lines(spark, d):
     c = _classified(spark, d).withColumn("mtime_ms", F.lit(NOW_MS))

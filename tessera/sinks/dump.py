@@ -79,6 +79,3 @@ def dump(spark: SparkSession, tables: dict[str, DataFrame], path: str, form: str
         join_document(spark, f"{path}/dump.json", ["[", *whole, "]"])
     return warnings
 
-
-def list_tables(spark: SparkSession) -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables())

@@ -12,6 +12,7 @@ import fcntl
 import json
 import time
 import uuid
+import zlib
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,7 @@ FILES = (
 )
 FILE_COLUMNS = [c.split()[0] for c in FILES.split(", ")]
 EVENTS = "seq bigint, occurred_at bigint, event_type string, entity_type string, entity_id bigint, payload string, prev_hash string, self_hash string"
+ITEMS = "dest_path string, session_id string, imported_at bigint, src_path string, status string"
 META, DEFAULT_SETTINGS = ".tessera", '[global]\nsync_strategy = "reflink,hardlink"\n\n[import]\npath_template = "$year/$mon-$day/$device/$filename"\nrename_template = "$filename.$n.$ext"\n'
 #: Buckets of a new catalog (for large archives about one a million rows), and the segments of a bucket at which it is merged.
 BUCKETS, MERGE_AT = 8, 12
@@ -67,13 +69,20 @@ class Store:
         keys = ["extension", "status", "strong", "fast", "day"]
         return self.log.read(state or self.state(), "totals", catalog.TOTALS).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
 
+    def items(self, state: dict | None = None, dests: list[str] | None = None) -> DataFrame:
+        """The index of manifest items with a destination: of all, or of some destinations, whose buckets alone are read."""
+        state = state or self.state()
+        wanted = None if dests is None else {zlib.crc32(p.encode()) % self.buckets(state) for p in dests}
+        out = self.log.read(state, "items", ITEMS, lambda s: wanted is None or s["bucket"] in wanted)
+        return out if dests is None else out.where(F.col("dest_path").isin(dests))
+
     def begin(self) -> "Transaction":
         return Transaction(self)
 
 
 class Transaction:
     """Changes on top of one state of a store. insert(), update(), append() and manifest() write segments, each
-    once at most; publish() makes them hold, or raises Conflict if another commit came first."""
+    once at most (index() goes with manifest()); publish() makes them hold, or raises Conflict if another commit came first."""
 
     def __init__(self, store: Store):
         self.store, self.log, self.base = store, store.log, store.state()
@@ -131,8 +140,16 @@ class Transaction:
         rows = Fragments(items.repartitionByRange("src_path").sortWithinPartitions("src_path").select(F.to_json(F.struct(*items.columns)).alias("value")), path)
         join_document(self.store.spark, path, [json.dumps(head)[:-1] + ', "files": [', rows, "]" + (", " + json.dumps(tail)[1:] if tail else "}")])
         self.add.append({"table": "manifests", "path": name, "session": session["session_id"], "at": session.get("imported_at")})
+        have = {*items.columns}
+        self.index(items.select("src_path", "dest_path", (F.col("status") if "status" in have else F.lit("added")).alias("status"), F.lit(session["session_id"]).alias("session_id"), F.lit(session.get("imported_at")).cast("long").alias("imported_at")))
         return name
 
+    def index(self, items: DataFrame) -> None:
+        """Adds manifest items(session_id, imported_at, src_path, dest_path, status) to the index, in the buckets of their destinations."""
+        rows = items.where("dest_path is not null").select(*[c.split()[0] for c in ITEMS.split(", ")])
+        bucket = F.crc32(F.col("dest_path").cast("binary")) % self.store.buckets(self.base)
+        self.add += self.log.write_segments(rows.withColumn("bucket", bucket.cast("int")).hint("rebalance", "bucket"), "items", "bucket")
+
     def merge(self, most: int = MERGE_AT) -> int:
         """Rewrites buckets of more than most segments as one each; how many. In a transaction of its own."""
         held: dict[int, list[str]] = {}

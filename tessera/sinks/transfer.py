@@ -96,3 +96,37 @@ def make_independent(rows: DataFrame, root: str) -> DataFrame:
         return "copied"
 
     return arrow_map(rows, _run(action), with_fields(rows.schema, how="string", copy_error="string"))
+
+
+def write_contents(rows: DataFrame, root: str) -> DataFrame:
+    """rows(path, content, mtime_ms) as files below root, with how and copy_error; a task that runs again writes the same files again."""
+
+    def action(row):
+        dest = os.path.join(root, row["path"])
+        os.makedirs(os.path.dirname(dest), exist_ok=True)
+        with open(f"{dest}.part", "wb") as f:
+            f.write(row["content"] or b"")
+        os.utime(f"{dest}.part", ns=(row["mtime_ms"] * 1_000_000,) * 2)
+        os.replace(f"{dest}.part", dest)
+        return "written"
+
+    return arrow_map(rows, _run(action), with_fields(rows.schema, how="string", copy_error="string")).drop("content")
+
+
+def move_or_remove(rows: DataFrame, root: str) -> DataFrame:
+    """rows(path, new_path): files below root that are renamed, or removed where new_path is null, with how and copy_error. A file that isn't
+    there any more has been dealt with already."""
+
+    def action(row):
+        path = os.path.join(root, row["path"])
+        if not os.path.exists(path):
+            return "gone"
+        if row["new_path"] is None:
+            os.unlink(path)
+            return "removed"
+        dest = os.path.join(root, row["new_path"])
+        os.makedirs(os.path.dirname(dest), exist_ok=True)
+        os.rename(path, dest)
+        return "moved"
+
+    return arrow_map(rows, _run(action), with_fields(rows.schema, how="string", copy_error="string"))

@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 from test_archive import jpeg, put
 
+from tessera import scratch
 from tessera.operators import catalog, reconcile
 from tessera.plans import commands as c
 from tessera.sinks.commits import CommitLog, Conflict
 from tessera.sinks.store import EVENTS, Archive, Store, single_event
-from tessera.sources.documents import manifests
+from tessera.sources.documents import manifests, parse_time
 from tessera.sources.file_tree import FileTree, _Reader, file_tree
 from tessera.streaming import ingest
 
@@ -229,6 +230,18 @@ def test_copies_of_a_lost_content(spark, place, tmp_path):
     assert {r.result for r in c.verify(archive).collect()} == {"ok"}
 
 
+def test_destinations_are_looked_up_in_their_buckets(spark, place):
+    src, archive = place
+    for k in range(4):
+        put(src, f"{k}.jpg", jpeg(b"%d" % k))
+    session = c.import_files(archive, src)["session_id"]
+    paths = sorted(r.path for r in archive.files().collect())
+    got = c.brought_by(archive, [paths[2], "nowhere.jpg"]).collect()
+    assert [(r.dest_path, r.session_id, r.src_path, r.status) for r in got] == [(paths[2], session, paths[2].rsplit("/", 1)[1], "added")]
+    whole, part = archive.store.items(), archive.store.items(dests=[paths[2]])
+    assert whole.count() == 4 and len(whole.inputFiles()) == 2 and len(part.inputFiles()) == 1
+
+
 def test_reports_outlive_later_commands(spark, place):
     src, archive = place
     put(src, "a.jpg", jpeg(b"1"))
@@ -267,7 +280,7 @@ def test_manifest_and_dump_are_documents(spark, place, tmp_path):
     doc = json.loads(open(path.removeprefix("file://")).read())
     assert doc["session_id"] == got["session_id"] and doc["summary"]["total"] == 9 and [f["src_path"] for f in doc["files"]] == [f"{k}.jpg" for k in range(9)]
     assert manifests(spark, archive.manifests()).first().summary.added == 5
-    assert c.dump_tables(archive, f"file://{tmp_path}/dump", "json") == []
+    assert c.tables(archive) == ["events", "files"] and c.dump_tables(archive, f"file://{tmp_path}/dump", "json") == []
     tables = json.loads((tmp_path / "dump" / "dump.json").read_text())
     assert [(t["name"], t["row_count"], len(t["rows"])) for t in tables] == [("files", 5, 5), ("events", 1, 1)]
     assert tables[0]["columns"] == archive.files().columns == list(tables[0]["rows"][0]) and tables[0]["rows"][0]["xxh3_128"] == "<BLOB:16>"
@@ -296,3 +309,29 @@ def test_one_folder_of_many_is_split(spark, tmp_path):
     assert tree.count() == 99 and tree.select(F.spark_partition_id().alias("p")).distinct().count() > 16
     deep = _Reader({"path": str(tmp_path / "DCIM" / "001"), "tasks": "16"}).partitions()
     assert [(p.sub, p.recurse) for p in deep] == [("", False), ("sub", False)]
+
+
+def test_days_without_a_zone_are_local(monkeypatch):
+    import time
+
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    try:
+        assert parse_time("2024-05-01") == 1_714_489_200_000 and parse_time("2024-05-01T00:00:00+00:00") == 1_714_521_600_000
+        assert parse_time("no day") is None and parse_time(None) is None
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = spark.sparkContext.getConf  # noqa: N815  names of the interface
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Session())
+    assert scratch.shared_dir(spark).startswith("file:///")
