@@ -269,7 +269,7 @@ class Group:
         texts, part = [self.texts[k] for k in order], np.array(self.parts, np.int64)[order]
         sizes = np.array([len(t.words) for t in texts], np.int64)
         comp, members, degree = np.arange(n), {}, np.zeros(n, np.int64)
-        buckets: dict[int, list] = {}  # key -> [texts so far, how many, the one with most links]
+        buckets: dict[int, list] = {}  # key -> [texts so far, how many, the one with most links, whether all are of its component]
         keys, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.keys]), return_counts=True)
         keys = keys[times > 1]  # what one text alone has makes no candidates
         shared = [k[np.isin(k, keys, assume_unique=True)] for k in self.keys]
@@ -294,14 +294,15 @@ class Group:
             return y[part[y] != part[x]] if across else y
 
         for x in range(n):
-            own = [buckets.setdefault(v, [np.empty(2, np.int64), 0, -1]) for v in shared[order[x]].tolist()]
+            own = [buckets.setdefault(v, [np.empty(2, np.int64), 0, -1, True]) for v in shared[order[x]].tolist()]
             hubs = sorted({b[2] for b in own if b[1]}, key=lambda y: -degree[y])
             tested = []
             for y in hubs:
                 if len(open_(x, np.array([y]))):
                     tested.append(y)
                     test(x, y)
-            rest = [r for b in own if b[1] and len(r := open_(x, b[0][: b[1]]))]
+            # a bucket of one component, x's own, has nothing left to compare
+            rest = [r for b in own if b[1] and not (b[3] and comp[b[2]] == comp[x]) and len(r := open_(x, b[0][: b[1]]))]
             if rest:
                 rest = np.setdiff1d(np.concatenate(rest), tested)
                 rest = self._plausible(texts, sizes, x, rest)
@@ -315,6 +316,7 @@ class Group:
                     b[0] = np.concatenate([b[0], np.empty(len(b[0]), np.int64)])
                 b[0][b[1]] = x
                 b[1] += 1
+                b[3] = b[3] and (b[2] < 0 or comp[b[2]] == comp[x])
                 if b[2] < 0 or degree[x] > degree[b[2]]:
                     b[2] = x
         if stars:
