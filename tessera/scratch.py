@@ -43,11 +43,28 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def mark() -> int:
+    """How many scratch folders there are, for release()."""
+    return len(_WRITTEN)
+
+
+def release(since: int, keep: str | None = None) -> None:
+    """Deletes the scratch folders named since a mark(), but for the one that path keep lies in: what was made of them is written."""
+    gone = [x for x in _WRITTEN[since:] if keep is None or not keep.startswith(f"{x[1]}/")]
+    for x in gone:
+        _delete(*x)
+        _WRITTEN.remove(x)
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _WRITTEN:
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone; the folder is scratch
             return
