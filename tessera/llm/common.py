@@ -2,44 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import hashlib
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: list[str] = []
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
+from ..scratch import scratch_path
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's reader alone (the path may be in any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        # the full name, so that every reader takes a path without a scheme for the same store
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
-        full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-        return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="tessera-shared-"))
-    return f"file://{_OWN_DIR[0]}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
-    _WRITTEN.append((spark, path.rsplit("/", 1)[0]))
-    return path
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df cut from its lineage: written as a table in the shared folder and read again.
 
@@ -77,17 +53,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may be gone; the folder is scratch
-            return
-
-
 def utf8_blocks(arr: pa.Array | pa.ChunkedArray, max_bytes: int = 2 << 20):
     """Rows of a string or binary column as blocks of about max_bytes: (first row, bytes, offsets).
 
