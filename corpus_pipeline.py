@@ -7,10 +7,10 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.llm import decontaminate, langid, mixing, near_dedup, token_output
-from tessera.llm.common import read_table, written
+from tessera.llm.common import free_shuffles, read_table
 
 #: Words whose ids a worker keeps while it writes tokens; the ids are the same whatever it is.
 CACHED_WORDS = 120_000
@@ -70,10 +70,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again; empty tables give an empty result."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again, and its input dropped then; empty tables give an empty result."""
+    docs, before = read_table(spark, sf_dir, "documents"), scratch.mark()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs.select(*[F.col(c) for c in docs.columns]), f"stage-{k}-{name}")
+            free_shuffles(spark)
+            path = scratch.scratch_path(spark, f"stage-{k}-{name}")
+            docs.write.option("compression", "zstd").parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
+            scratch.release(before, keep=path)  # this stage's input and what it wrote on its way
     return docs
