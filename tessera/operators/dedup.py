@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import paths, values
 from ..session import arrow_map, shuffle_parts, with_fields
 from .numbering import matched, numbered
 
@@ -69,6 +69,35 @@ def first_wins(rows: DataFrame, key: Column | str, order: list[str]) -> DataFram
     return joined.select(*rows.columns, (F.col("_m").isNull() | (F.col("_o") == F.col("_m"))).alias("is_first"))
 
 
+def survivors(rows: DataFrame, key: str) -> DataFrame:
+    """rows with survivor: the first path of those with one key; rows with a null key are left out."""
+    least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("path").alias("survivor"))
+    return rows.join(least, key)
+
+
+def known_hashes(files: DataFrame) -> DataFrame:
+    """A row a file and hash that it has, as algo and hash: an incoming hash is compared with its own kind."""
+    kinds = F.array(F.struct(F.lit("sha256").alias("algo"), F.col("sha256").alias("hash")), F.struct(F.lit("xxh3_128").alias("algo"), F.col("xxh3_128").alias("hash")))
+    return files.withColumn("h", F.explode(kinds)).select("*", "h.algo", "h.hash").drop("h").where("hash is not null")
+
+
+def with_identity(rows: DataFrame) -> DataFrame:
+    """rows with algo and hash: SHA-256 where there is one, else the fast hash."""
+    i = values.identity(F.col("sha256"), F.col("xxh3_128"))
+    return rows.withColumn("algo", i["algo"]).withColumn("hash", i["hash"])
+
+
+def missing_contents(files: DataFrame, other: DataFrame) -> DataFrame:
+    """Imported rows of files whose content (by its own kind of hash) other doesn't have."""
+    have = known_hashes(other).select("algo", "hash").distinct()
+    return with_identity(files.where("status = 'imported'")).join(have, ["algo", "hash"], "left_anti").drop("algo", "hash")
+
+
+def status_counts(classified: DataFrame, column: str = "status") -> DataFrame:
+    """How many rows each status (or action) has."""
+    return classified.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
 def batch_summary(rows: DataFrame, key: str) -> DataFrame:
     """How many rows carry a key that an earlier row has too: groups with more than one row."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path")).where("n > 1")

@@ -42,6 +42,12 @@ def reconcile_moves(missing: DataFrame, disk: DataFrame) -> DataFrame:
     return out
 
 
+def update_summary(missing: DataFrame, moves: DataFrame) -> DataFrame:
+    """missing, matched and marked, as one row."""
+    both = missing.select("id").join(moves.select("id", F.lit(1).alias("moved")), "id", "left")
+    return both.agg(F.count(F.lit(1)).alias("missing"), F.count("moved").alias("matched"), (F.count(F.lit(1)) - F.count("moved")).alias("marked"))
+
+
 def moved_rows(files: DataFrame, moves: DataFrame, lost: DataFrame) -> DataFrame:
     """The rows of files that an update changes, as they are then: moved ones with their new path, lost ones as `missing`."""
     moved = files.join(moves.select("id", "new_path"), "id").withColumn("path", F.col("new_path")).select(*files.columns)

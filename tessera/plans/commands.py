@@ -93,17 +93,6 @@ def scan(spark: SparkSession, source: str, archive: Archive | None = None, show_
     return dedup.pipe_lines(_looked_up(archive, rows), show_dup)
 
 
-def _hash_column(rows: DataFrame) -> DataFrame:
-    i = values.identity(F.col("sha256"), F.col("xxh3_128"))
-    return rows.withColumn("algo", i["algo"]).withColumn("hash", i["hash"])
-
-
-def _known_hashes(files: DataFrame) -> DataFrame:
-    """A row a file and hash that it has: an incoming hash is compared with its own kind."""
-    kinds = F.array(F.struct(F.lit("sha256").alias("algo"), F.col("sha256").alias("hash")), F.struct(F.lit("xxh3_128").alias("algo"), F.col("xxh3_128").alias("hash")))
-    return files.withColumn("h", F.explode(kinds)).select("*", "h.algo", "h.hash").drop("h").where("hash is not null")
-
-
 def import_files(archive: Archive, source: str, force: bool = False, dry_run: bool = False, full_id: bool = False, files_from: str | None = None) -> dict:
     """Takes a folder's new files into the archive; the summary.
 
@@ -128,8 +117,8 @@ def import_files(archive: Archive, source: str, force: bool = False, dry_run: bo
         session, now = session_id(), _now()
         video = values.quicktime_millis(F.col("video_s"))
         taken = F.timestamp_millis(F.coalesce(values.exif_millis(F.col("original")), values.exif_millis(F.col("modified")), video, F.col("mtime_ms")))
-        batch = _hash_column(fresh).withColumn("src_path", F.col("path")).withColumn("error", F.col("hash_error"))
-        decided = batch.withColumn("reason", F.col("hash_error")) if force else dedup.strong_hash_decision(batch, _known_hashes(archive.files()), inventory(archive))
+        batch = dedup.with_identity(fresh).withColumn("src_path", F.col("path")).withColumn("error", F.col("hash_error"))
+        decided = batch.withColumn("reason", F.col("hash_error")) if force else dedup.strong_hash_decision(batch, dedup.known_hashes(archive.files()), inventory(archive))
         good = decided.where("reason is null")
         good = good.withColumn("dest", paths.destination("path", taken, paths.device_name(paths.exif_text("make"), paths.exif_text("model")), config.path_template))
         planned = dedup.conflict_rename(good.select("path", "dest"), inventory(archive).select("path"), config.rename_template)
@@ -139,7 +128,7 @@ def import_files(archive: Archive, source: str, force: bool = False, dry_run: bo
         moved = plan.where("dest_path is not null").select(F.concat(F.lit(f"{source}/"), F.col("path")).alias("src"), F.concat(F.lit(f"{archive.root}/"), F.col("dest_path")).alias("dest"), "path")
         copied = work.kept(transfer(moved, config.sync_strategy), "copied").select("path", "copy_error")
         plan = plan.join(copied, "path", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("copy_error").isNotNull(), F.concat(F.lit("hash error: copy: "), F.col("copy_error")))))
-        out = work.kept(dedup.insert_outcome(plan, _known_hashes(archive.files()), force), "outcome")
+        out = work.kept(dedup.insert_outcome(plan, dedup.known_hashes(archive.files()), force), "outcome")
         n = dedup.outcome_summary(out).first().asDict()
         archive.take_outcomes(change, out)
         shown = out.select("src_path", F.col("manifest_dest").alias("dest_path"), "size", "mtime_ms", F.col("crc32").alias("crc32c"), values.hex_lower(F.col("xxh3_128")).alias("xxh3_128"), values.hex_lower(F.col("sha256")).alias("sha256"), "imported_at", F.col("outcome").alias("status"), F.col("reason").alias("error"))
@@ -163,10 +152,10 @@ def add(archive: Archive, folder: str = "") -> dict:
         seen = work.kept(_looked_up(archive, with_fingerprint(tree.join(tracked, "path", "left_anti"), str(archive.root))), "add")
         counts = {r["status"]: r["n"] for r in seen.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
         hashed = work.kept(with_digests(seen.where("status in ('new', 'recover')"), str(archive.root)), "hashed")
-        batch = _hash_column(hashed).withColumn("error", F.col("hash_error")).withColumn("src_path", F.col("path"))
-        decided = dedup.strong_hash_decision(batch, _known_hashes(archive.files()), inventory(archive), add=True)
+        batch = dedup.with_identity(hashed).withColumn("error", F.col("hash_error")).withColumn("src_path", F.col("path"))
+        decided = dedup.strong_hash_decision(batch, dedup.known_hashes(archive.files()), inventory(archive), add=True)
         decided = decided.withColumn("dest_path", F.col("path")).withColumn("mtime", F.col("mtime_ms")).withColumn("imported_at", F.lit(_now()).cast("long"))
-        out = work.kept(dedup.insert_outcome(decided, _known_hashes(archive.files())), "added")
+        out = work.kept(dedup.insert_outcome(decided, dedup.known_hashes(archive.files())), "added")
         n = dedup.outcome_summary(out).first().asDict()
         archive.take_outcomes(change, out)
         session = session_id()
@@ -184,17 +173,16 @@ def update(archive: Archive, dry_run: bool = False) -> dict:
     with _work(archive) as work:
         change, files, here = archive.begin(), archive.files(), inventory(archive)
         missing = work.kept(reconcile.missing_files(files, here), "missing")
-        n = missing.count()
-        if not n or here.isEmpty():
-            return {"missing": n, "moved": 0, "marked": 0}
+        if missing.isEmpty() or here.isEmpty():
+            return {"missing": missing.count(), "moved": 0, "marked": 0}
         disk = work.kept(with_digests(reconcile.untracked_candidates(here, files, missing), str(archive.root), sha256=True), "hashed")
         moves = work.kept(reconcile.reconcile_moves(missing, disk), "moves")
         lost = reconcile.unmatched(missing, moves)
-        found = moves.count()
+        n = reconcile.update_summary(missing, moves).first()
         if not dry_run:
             change.update(reconcile.moved_rows(files, moves, lost))
             change.publish()
-        return {"missing": n, "moved": found, "marked": 0 if dry_run else n - found}
+        return {"missing": n["missing"], "moved": n["matched"], "marked": 0 if dry_run else n["marked"]}
 
 
 def verify(archive: Archive, recent_seconds: int | None = None, path: str | None = None) -> DataFrame:
@@ -313,5 +301,4 @@ def dump_tables(archive: Archive, path: str, form: str = "csv", tables: list[str
 
 def sync(source: Archive, target: Archive) -> DataFrame:
     """Imported files of source whose content target doesn't have."""
-    have = _known_hashes(target.files()).select("algo", "hash").distinct()
-    return _hash_column(catalog.imported_only(source.files())).join(have, ["algo", "hash"], "left_anti").drop("algo", "hash")
+    return dedup.missing_contents(source.files(), target.files())

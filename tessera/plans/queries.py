@@ -14,6 +14,7 @@ from ..scratch import kept, scratch_path
 from ..sinks import dump, reports, transfer
 from ..sinks.store import EVENTS, Archive, Store
 from ..sources import adapters as a
+from ..sources import documents
 from ..sources.adapters import NOW_MS, with_relations
 from ..streaming import ingest
 from . import commands
@@ -378,8 +379,9 @@ def chain_tamper_columns(spark, d):
 
 @query("files", "disk", sql="SELECT d.path, EXISTS (SELECT 1 FROM files f WHERE f.path = d.path AND f.status <> 'missing') AS tracked FROM disk d")
 def path_tracked_skip(spark, d):
-    tracked = a.files(spark, d).where("status <> 'missing'").select("path", F.lit(True).alias("t")).distinct()
-    return a.disk(spark, d).join(tracked, "path", "left").select("path", F.coalesce("t", F.lit(False)).alias("tracked"))
+    none = F.lit(None).cast("string")
+    rows = a.disk(spark, d).select("path", F.col("path").alias("dest_path"), none.alias("algo"), F.lit(None).cast("binary").alias("hash"), none.alias("reason"))
+    return dedup.insert_outcome(rows, _known(spark, d)).select("path", (F.col("outcome") == "skipped").alias("tracked"))
 
 
 @query("files", "disk", sql="""SELECT d.path, f.id AS recovers_id FROM (SELECT path, xxh3_128, row_number() OVER (PARTITION BY xxh3_128 ORDER BY path) AS k FROM disk) d
@@ -701,9 +703,7 @@ def xxh3_hashes(spark, d):
 
 @query("files", sql="SELECT sha256 AS hash, first_value(path) OVER (PARTITION BY sha256 ORDER BY path) AS survivor, path FROM files WHERE sha256 IS NOT NULL")
 def sha256_survivors(spark, d):
-    f = a.files(spark, d).where("sha256 is not null")
-    least = f.groupBy("sha256").agg(F.min("path").alias("survivor"))
-    return f.join(least, "sha256").select(values.hex_lower(F.col("sha256")).alias("hash"), "survivor", "path")
+    return dedup.survivors(a.files(spark, d), "sha256").select(values.hex_lower(F.col("sha256")).alias("hash"), "survivor", "path")
 
 
 # --- times, identifiers, templates ---------------------------------------------------------------
@@ -751,13 +751,14 @@ def sha256_payload_json(spark, d):
     return a.files(spark, d).where("sha256 is not null").select("id", events.sha256_payload().alias("payload"))
 
 
-@query("items", sql="""SELECT session_id, src_path, '{"src_path":"' || src_path || '"' || CASE WHEN dest_path IS NULL THEN '' ELSE ',"dest_path":"' || dest_path || '"' END || ',"size":' || size || CASE WHEN status IS NULL THEN '' ELSE ',"status":"' || status || '"' END || '}' AS record,
-  coalesce(status, 'added') AS status FROM items""")
+@query("items", sql="""SELECT session_id, src_path, '{"src_path":"' || src_path || '"' || CASE WHEN dest_path IS NULL THEN '' ELSE ',"dest_path":"' || dest_path || '"' END || ',"size":' || size || ',"mtime_ms":' || mtime_ms
+  || ',"imported_at":' || imported_at || CASE WHEN status IS NULL THEN '' ELSE ',"status":"' || status || '"' END || '}' AS record, coalesce(dest_path, '') AS dest, mtime_ms, coalesce(status, 'added') AS status FROM items""")
 def manifest_json(spark, d):
+    """A manifest's entries, written and read back."""
     i = a.manifest_items(spark, d)
-    record = F.to_json(F.struct("src_path", "dest_path", "size", "status"))
-    back = F.from_json(record, "src_path string, dest_path string, size bigint, status string")
-    return i.select("session_id", "src_path", record.alias("record"), F.coalesce(back["status"], F.lit("added")).alias("status"))
+    rows = i.select("session_id", "src_path", documents.item_records(i).alias("record"))
+    back = documents.read_record(F.col("record"))
+    return rows.select("session_id", "src_path", "record", F.coalesce(back["dest_path"], F.lit("")).alias("dest"), back["mtime_ms"].alias("mtime_ms"), back["status"].alias("status"))
 
 
 @query("items", sql="SELECT src_path, session_id, coalesce(status, 'added') AS status FROM items WHERE src_path = 'card/IMG_7.jpg'")
@@ -772,11 +773,9 @@ def manifest_source_paths(spark, d):
 
 @query("files", "disk", sql="""SELECT w.path, d.size, CASE WHEN d.path IS NULL THEN 'no such file' ELSE d.error END AS error FROM (SELECT path FROM files) w LEFT JOIN disk d ON d.path = w.path""")
 def listed_files(spark, d):
-    from ..sources.documents import listed
-
     lines = a.files(spark, d).select(F.concat(F.lit("new:"), paths.pipe_escape("path")).alias("value"))
     wanted = lines.where("value like 'new:%'").select(paths.pipe_unescape(F.substr("value", F.lit(5))).alias("path"))
-    return listed(wanted, a.disk(spark, d).select("path", "size", "error")).select("path", "size", "error")
+    return documents.listed(wanted, a.disk(spark, d).select("path", "size", "error")).select("path", "size", "error")
 
 
 @query("media", sql="SELECT CASE WHEN ext IN ('jpg', 'heic') THEN 'head' WHEN ext = 'png' THEN 'tail' WHEN ext IN ('mov', 'dng', 'cr2') THEN 'head_tail' ELSE 'full' END AS region, count(*) AS n, CAST(sum(size) AS BIGINT) AS total_size FROM media GROUP BY 1")
@@ -786,20 +785,14 @@ def format_regions(spark, d):
 
 @query("files", "disk", sql="""SELECT f.id, f.path FROM files f WHERE f.status = 'imported' AND CASE WHEN f.sha256 IS NOT NULL THEN f.sha256 NOT IN (SELECT sha256 FROM disk) ELSE f.xxh3_128 NOT IN (SELECT xxh3_128 FROM disk) END""")
 def sync_missing(spark, d):
-    from .commands import _known_hashes
-
-    have = _known_hashes(a.disk(spark, d).select("path", "sha256", "xxh3_128")).select("algo", "hash").distinct()
-    mine = catalog.imported_only(a.files(spark, d))
-    i = values.identity(F.col("sha256"), F.col("xxh3_128"))
-    return mine.withColumn("algo", i["algo"]).withColumn("hash", i["hash"]).join(have, ["algo", "hash"], "left_anti").select("id", "path")
+    return dedup.missing_contents(a.files(spark, d), a.disk(spark, d).select("path", "sha256", "xxh3_128")).select("id", "path")
 
 
 @query()
 def update_summary(spark, d):
     m = _missing(spark, d)
     moves = reconcile.reconcile_moves(m, a.disk(spark, d))
-    both = m.select("id").join(moves.select("id", F.lit(1).alias("moved")), "id", "left")
-    return both.agg(F.count(F.lit(1)).alias("missing"), F.count("moved").alias("matched"), (F.count(F.lit(1)) - F.count("moved")).alias("marked"))
+    return reconcile.update_summary(m, moves)
 
 
 ORACLES["update_summary"] = _sql("files", "disk", ctes=_MOVES, body="SELECT count(*) AS missing, (SELECT count(*) FROM moves) AS matched, count(*) - (SELECT count(*) FROM moves) AS marked FROM m")
@@ -807,7 +800,7 @@ ORACLES["update_summary"] = _sql("files", "disk", ctes=_MOVES, body="SELECT coun
 
 @query()
 def scan_summary(spark, d):
-    return _classified(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return dedup.status_counts(_classified(spark, d))
 
 
 ORACLES["scan_summary"] = _sql("files", "disk", ctes=_LOOKUP, body=f"SELECT {_STATUS} AS status, count(*) AS n FROM found GROUP BY 1")
@@ -816,7 +809,7 @@ ORACLES["scan_summary"] = _sql("files", "disk", ctes=_LOOKUP, body=f"SELECT {_ST
 @query()
 def clone_summary(spark, d):
     plan = catalog.clone_plan(catalog.clone_select(a.files(spark, d)), a.disk(spark, d))
-    return plan.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    return dedup.status_counts(plan, "action")
 
 
 ORACLES["clone_summary"] = with_relations("files", "disk", body="SELECT CASE WHEN d.path IS NULL THEN 'copied' WHEN d.size = f.size THEN 'skipped' ELSE 'failed' END AS action, count(*) AS n FROM files f LEFT JOIN disk d ON d.path = f.path WHERE f.status = 'imported' GROUP BY 1")

@@ -24,6 +24,7 @@ from ..operators import catalog, dedup
 from ..operators import events as ev
 from ..operators.numbering import numbered
 from ..scratch import kept
+from ..sources.documents import item_records
 from .commits import CommitLog, Conflict
 from .document import Fragments, join_document
 
@@ -137,7 +138,7 @@ class Transaction:
         head = {k: v for k, v in session.items() if k != "summary"} | {"hash_algorithm": "xxh3_128"}
         tail = {"summary": session["summary"]} if "summary" in session else {}
         path = f"{self.log.root}/{name}"
-        rows = Fragments(items.repartitionByRange("src_path").sortWithinPartitions("src_path").select(F.to_json(F.struct(*items.columns)).alias("value")), path)
+        rows = Fragments(items.repartitionByRange("src_path").sortWithinPartitions("src_path").select(item_records(items).alias("value")), path)
         join_document(self.store.spark, path, [json.dumps(head)[:-1] + ', "files": [', rows, "]" + (", " + json.dumps(tail)[1:] if tail else "}")])
         self.add.append({"table": "manifests", "path": name, "session": session["session_id"], "at": session.get("imported_at")})
         have = {*items.columns}

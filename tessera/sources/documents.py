@@ -34,6 +34,20 @@ def manifest_items(found: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.coalesce("status", F.lit("added")))
 
 
+ITEM = [c.split(": ")[0] for c in re.search(r"files array<struct<(.*?)>>", MANIFEST)[1].split(", ")]
+
+
+def item_records(items: DataFrame):
+    """A manifest's entry for a row of items, as JSON: its fields in the manifest's order, without those that are null."""
+    return F.to_json(F.struct(*[c for c in ITEM if c in items.columns]))
+
+
+def read_record(record):
+    """An entry as a struct; a missing status is `added`."""
+    item = F.from_json(record, re.search(r"files array<(struct<.*?>)>", MANIFEST)[1])
+    return item.withField("status", F.coalesce(item["status"], F.lit("added")))
+
+
 def file_list(spark: SparkSession, path: str, root: str = "") -> DataFrame:
     """Paths of the `new:` lines of a scan's output, unescaped, names with spaces whole; below root if relative."""
     lines = spark.read.text(path).where("value like 'new:%'")
