@@ -57,8 +57,8 @@ def burst_islands(files: DataFrame, least: int = 3) -> DataFrame:
 def greedy_bindings(files: DataFrame) -> DataFrame:
     """Bindings by seeds, exactly: files in the order of path; a file joins the first seed that it is directly related to.
 
-    One folder is one group; its rows stream in order and only open seeds are held. Relations ask for an
-    equal stem, or an equal prefix with numbers at most 1 apart, so a seed closes when both have passed.
+    One folder is one group, which a task holds whole: whether a file is a seed depends on files before it, and so on along a
+    whole burst. Relations ask for an equal stem, or an equal prefix with numbers at most 1 apart.
     """
     rows = files.select("path", F.coalesce("size", F.lit(0)).cast("long").alias("size"), paths.parent("path").alias("folder"))
     return rows.groupBy("folder").applyInArrow(_greedy, "folder string, kind string, primary string, secondaries array<string>, group_id string, total_size bigint")

@@ -43,7 +43,8 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow with this package at hand on the executors, in batches of bounded size.
 
-    When a task ends, its worker (which Spark uses again) gives back the memory that it has freed.
+    The bound is a setting of the session (spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch), which Spark reads when the
+    frame runs, later than this returns: where the session has Spark's defaults, they are set to BATCH_ROWS and BATCH_BYTES and stay so. When a task ends, its worker (which Spark uses again) gives back the memory that it has freed.
     """
     spark = df.sparkSession
     ship(spark)
