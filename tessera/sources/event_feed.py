@@ -6,8 +6,18 @@ two offsets alone, and a restart reads the same again.
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..sinks import commits
+from ..sinks.commits import folded, version_numbers
+
+# The process in which the driver plans a stream has no package but Spark's, so what runs there is sent whole.
+for module in (commits, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(module)
+
 SCHEMA = "seq bigint, occurred_at bigint, event_type string, entity_type string, entity_id bigint, payload string, prev_hash string, self_hash string"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -34,8 +44,6 @@ class _Log:
     def _state(self) -> dict:
         from pyarrow import fs
 
-        from ..sinks.commits import folded, version_numbers
-
         store, base = self._open()
 
         def text(name: str) -> str:

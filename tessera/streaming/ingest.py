@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -10,6 +13,9 @@ from ..operators import dedup
 from ..session import ship
 from ..sources.event_feed import EventFeed
 
+# Spark's process for stateful processors on the driver has no package but its own, so what runs there is sent whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 INVENTORY = "path string, size bigint, crc32 bigint, raw_id string, xxh3_128 binary, sha256 binary, imported_at bigint"
 
 
