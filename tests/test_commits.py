@@ -99,6 +99,19 @@ def test_the_second_of_two_writers_conflicts(spark, store):
     assert [r.path for r in store.files().orderBy("id").collect()] == ["a.jpg", "b.jpg", "c.jpg", "p.jpg"]
 
 
+def test_a_log_in_a_store_that_only_hadoop_opens(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.commits.link./in", f"file://{tmp_path}")
+    store = Store(spark, "viewfs://commits/in/log", 2)
+    first, second = store.begin(), store.begin()
+    for change in (first, second):
+        change.insert(rows(spark, ["p"]))
+    first.publish()
+    with pytest.raises(Conflict):
+        second.publish()
+    assert store.files().count() == 1 and store.log.names("commits") == ["000000000001.json"]
+    assert store.log.sweep() and store.files().count() == 1
+
+
 def test_bytes_written_follow_the_batch(spark, tmp_path):
     small, large = (Store(spark, f"file://{tmp_path}/{n}", 16) for n in ("small", "large"))
     for store, n in ((small, 200), (large, 20_000)):
