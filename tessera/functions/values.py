@@ -33,15 +33,25 @@ def quicktime_millis(seconds: Column) -> Column:
     return F.when(seconds > offset, (seconds - offset) * 1000)
 
 
-def format_bytes(n: Column, decimals: int = 2, binary: bool = False) -> Column:
+def format_bytes(n: Column, decimals: int = 2, binary: bool = False, units: str = "KMGT") -> Column:
     """B as they are, then KB, MB, GB, TB (binary: KiB and so on) with decimals; statistics show two, listings one.
 
-    What lies halfway goes to the even digit.
+    The last of units takes all that is larger. What lies halfway goes to the even digit, by whole numbers: n counts as a double does.
     """
     n = n.cast("double")
-    out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
-    for k, unit in enumerate("KMGT", 1):
-        out = F.when(n >= 1024.0**k, F.concat(F.format_string(f"%.{decimals}f", F.bround(n / F.lit(1024.0**k), decimals)), F.lit(f" {unit}iB" if binary else f" {unit}B"))).otherwise(out)
+    whole, ten = n.cast("long"), 10**decimals
+    out = F.concat(whole.cast("string"), F.lit(" B"))
+    for k, unit in enumerate(units, 1):
+        bits = 10 * k
+        below = F.lit((1 << bits) - 1).cast("long")
+        count, rest = F.shiftright(whole, bits), whole.bitwiseAND(below) * ten
+        part, left = F.shiftright(rest, bits), rest.bitwiseAND(below)
+        up = (left * 2 > below + 1) | ((left * 2 == below + 1) & ((count * ten + part) % 2 == 1))
+        part = part + up.cast("int")
+        text = (count + (part >= ten).cast("int")).cast("string")
+        if decimals:
+            text = F.concat(text, F.lit("."), F.lpad((part % ten).cast("string"), decimals, "0"))
+        out = F.when(n >= 1024.0**k, F.concat(text, F.lit(f" {unit}iB" if binary else f" {unit}B"))).otherwise(out)
     return out
 
 

@@ -47,6 +47,25 @@ def test_bytes(spark, n, want):
     assert one(spark, values.format_bytes(F.col("p")), p=n) == want
 
 
+def test_bytes_as_sql_prints_them(spark, tmp_path):
+    """Keys whose squares pass a TB, and sums that lie halfway or next to it: as DuckDB's printf has them, which ends at GB."""
+    import duckdb
+
+    from tessera.plans.queries import ORACLES, QUERIES
+
+    keys = [1, 31, 32, 1023, 1024, 32767, 32768, 1_048_575, 1_048_576, 8_999_999, 54_000_000, 94_906_267, 1_000_000_007, *range(1_048_000, 60_000_000, 99_991), *[k << 9 for k in range(1, 300)]]
+    con = duckdb.connect()
+    con.execute("create table orders as select unnest(?::bigint[]) as o_orderkey", [keys])
+    con.execute(f"copy orders to '{tmp_path}/orders.parquet'")
+    for name in ("format_bytes", "format_bytes_forms"):
+        assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLES[name]).fetchall())
+    near = [k * 5**3 * (1 << b) // 1000 + e for k in (1001, 1003, 2005, 8195, 99995) for b in (20, 30, 40) for e in (-1, 0, 1)]
+    got = spark.createDataFrame([(n,) for n in near], "n bigint").select("n", values.format_bytes(F.col("n")).alias("s")).collect()
+    for r in got:
+        k = max(i for i in range(5) if r.n >= 1024**i)
+        assert r.s == f"{r.n / 1024**k:.2f} {'BKMGT'[k]}B", r
+
+
 def test_fingerprint_regions(spark):
     small, large = b"hello", bytes(range(256)) * 1000
     head, tail = large[:65536], large[-65536:]
