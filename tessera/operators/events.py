@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from itertools import pairwise
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.values import GENESIS, event_hash
+from ..scratch import scratch_path
 from ..session import arrow_map, shuffle_parts, with_fields
 
 COLUMNS = ["seq", "occurred_at", "event_type", "entity_type", "entity_id", "payload", "prev_hash", "self_hash"]
@@ -40,38 +44,127 @@ def count_events(events: DataFrame) -> DataFrame:
     return events.agg(F.count(F.lit(1)).alias("n"))
 
 
-def build_chain(events: DataFrame, by: list[str] | None = None, head: str = GENESIS) -> DataFrame:
-    """events with prev_hash and self_hash, chained in the order of seq from head; one chain for each value of by.
+#: Rows of a block: what one task sorts and links, however long a log is.
+BLOCK = 500_000
+
 
-    A link needs the one before it, so a chain is one sequential task by nature; rows stream through it
-    in sorted order and only the last hash is held. Chains of different values of by run apart.
+def build_chain(events: DataFrame, by: list[str] | None = None, head: str = GENESIS, order: tuple[str, ...] = ("seq",), after: int | None = None) -> DataFrame:
+    """events with prev_hash and self_hash, chained in the given order from head; one chain for each value of by. With after, they
+    are one chain and get their seq here: after + 1, after + 2, ...
+
+    Rows are written in blocks of sorted ranges. A link needs the one before it, so the hashes that chains have at the ends of blocks
+    are found by one small task after another, each over the bodies of one block; with them, all blocks are linked at once.
+    Rows that agree in the order follow their bodies, so that both passes have one order.
     """
     by = by or []
     columns = ["occurred_at", "event_type", "entity_type", "entity_id", "payload"]
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    rows = events.withColumn("_body", F.concat_ws("|", *parts)).withColumn("_by", F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit(""))
-    rows = (rows.repartition(shuffle_parts(events.sparkSession), F.xxhash64("_by")) if by else rows.coalesce(1)).sortWithinPartitions("_by", "seq")
+    key = F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("")
+    rows = events.withColumn("_by", key).withColumn("_body", F.concat_ws("|", *parts).cast("binary"))
+    sort = ["_block", "_by", *order, "_body"]
+    n = -(-events.count() // BLOCK)
+    if n <= 1:
+        ranged, starts = rows.coalesce(1).withColumn("_block", F.lit(0)), {}
+    else:
+        blocks = _blocks(rows, n, sort)
+        starts = _starts(blocks, head, sort)
+        ranged = blocks.repartitionByRange(n, "_block")
     names = events.columns
-    schema = with_fields(events.schema, prev_hash="string", self_hash="string")
+    numbered = [] if after is None else ["seq"]
+    schema = with_fields(with_fields(events.schema, **dict.fromkeys(numbered, "long")), prev_hash="string", self_hash="string")
+    start = after or 0
 
     def link(batches):
-        import hashlib
-
         import pyarrow as pa
 
-        key, last = None, head
+        block = key = last = None
+        at = start
         for batch in batches:
-            prev, own = [], []
-            for k, body in zip(batch.column("_by").to_pylist(), batch.column("_body").to_pylist(), strict=True):
+            prev, own, seq = [], [], []
+            for b, k, bodies in _runs(batch):
+                if b != block:
+                    block, (key, last, before) = b, starts.get(b, (None, None, 0))
+                    at = start + before
                 if k != key:
                     key, last = k, head
-                prev.append(last)
-                last = hashlib.sha256(f"{body}|{last}".encode()).hexdigest()
-                own.append(last)
-            kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(prev, pa.string()), pa.array(own, pa.string())], names=[*names, "prev_hash", "self_hash"])
+                for body in bodies:
+                    prev.append(last)
+                    last = _link(body, last)
+                    own.append(last)
+                seq += range(at + 1, at + 1 + len(bodies))
+                at += len(bodies)
+            more = [pa.array(seq, pa.int64())] if numbered else []
+            more += [pa.array(prev, pa.string()), pa.array(own, pa.string())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *more], names=[*names, *numbered, "prev_hash", "self_hash"])
+
+    return arrow_map(ranged.sortWithinPartitions(*sort), link, schema)
+
+
+def _link(body: bytes, last: str) -> str:
+    return hashlib.sha256(body + b"|" + last.encode()).hexdigest()
 
-    return arrow_map(rows, link, schema)
+
+def _runs(batch):
+    """Block, key and bodies of sorted rows: all of a batch at once where its ends agree."""
+    block, key, bodies = batch.column("_block"), batch.column("_by"), batch.column("_body").to_pylist()
+    if bodies and block[0] == block[-1] and key[0] == key[-1]:
+        yield block[0].as_py(), key[0].as_py(), bodies
+    else:
+        for b, k, body in zip(block.to_pylist(), key.to_pylist(), bodies, strict=True):
+            yield b, k, [body]
+
+
+def _blocks(rows: DataFrame, n: int, sort: list[str]) -> DataFrame:
+    """rows, written as n ranges of sort[1:] with their number, a folder each."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "blocks")
+    ranged = rows.repartitionByRange(n, *sort[1:]).withColumn("_block", F.spark_partition_id())
+    ranged.sortWithinPartitions(*sort).write.partitionBy("_block").parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path)
+
+
+def _starts(blocks: DataFrame, head: str, sort: list[str]) -> dict[int, tuple[str | None, str | None, int]]:
+    """For each block, the last key before it, the hash of that key's chain there, and the number of rows before it.
+
+    Blocks whose last chain starts in them are read side by side; only where one chain fills a block, the hash before it is waited for.
+    """
+    ends = blocks.groupBy("_block").agg(F.min("_by").alias("a"), F.max("_by").alias("z"), F.count(F.lit(1)).alias("n")).orderBy("_block").collect()  # a row a block
+
+    def hashes(numbers: list[int], start: dict) -> dict[int, str]:
+        def fold(batches):
+            import pyarrow as pa
+
+            block = key = last = None
+            for batch in batches:
+                done = []
+                for b, k, bodies in _runs(batch):
+                    if b != block:
+                        done += [] if block is None else [(block, last)]
+                        block, (key, last) = b, start.get(b, (None, None))
+                    if k != key:
+                        key, last = k, head
+                    for body in bodies:
+                        last = _link(body, last)
+                yield _pairs(pa, done)
+            yield _pairs(pa, [] if block is None else [(block, last)])
+
+        own = blocks.select(*sort).where(F.col("_block").isin(numbers))
+        own = own.repartitionByRange(len(numbers), "_block") if len(numbers) > 1 else own.coalesce(1)
+        return dict(map(tuple, arrow_map(own.sortWithinPartitions(*sort), fold, "block int, last string").collect()))  # a row a block
+
+    waits = {e["_block"] for before, e in pairwise(ends) if before["z"] == e["a"] == e["z"]}
+    at = hashes([e["_block"] for e in ends[:-1] if e["_block"] not in waits] or [ends[0]["_block"]], {})
+    out, total = {}, 0
+    for before, e in pairwise([None, *ends]):
+        if before is not None:
+            if before["_block"] in waits:
+                at |= hashes([before["_block"]], {before["_block"]: out[before["_block"]][:2]})
+            out[e["_block"]] = (before["z"], at[before["_block"]], total)
+        total += e["n"]
+    return out
+
+
+def _pairs(pa, rows: list[tuple[int, str]]):
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], names=["block", "last"])
 
 
 def chain_heads(events: DataFrame, by: str | None = None) -> DataFrame:
@@ -91,22 +184,38 @@ def fold_heads(events: DataFrame, by: str) -> DataFrame:
 def verify_chain(events: DataFrame, parts: int | None = None) -> DataFrame:
     """first_bad: the smallest seq whose link or own hash is wrong (a null hash is), null if the log is intact.
 
-    Rows are range-partitioned by seq and checked within partitions; a partition's first row is held
-    against the last row of the partition before it, of which there is one each.
+    Hashes are told where the rows lie; what is left of a row is range-partitioned by seq, in parts ranges or as many more as blocks
+    need, and streams through in sorted order. A range's first row is held against the last row of the range before it, of which there is one each.
     """
-    spark = events.sparkSession
-    n = parts or shuffle_parts(spark)
-    ranged = events.repartitionByRange(n, "seq").withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy("seq")
+    n = max(parts or shuffle_parts(events.sparkSession), -(-events.count() // BLOCK))
     own = event_hash(*[F.col(c) for c in ("occurred_at", "event_type", "entity_type", "entity_id", "payload", "prev_hash")])
-    # a link is held in a struct: it is null only where there is no row before, not where the hash is
-    link = F.struct(F.col("self_hash").alias("h"))
-    checked = ranged.select("_pid", "seq", "prev_hash", "self_hash", F.lag(link).over(w).alias("_before"), (~own.eqNullSafe(F.col("self_hash"))).alias("_bad"))
-    bad = F.col("_bad") | (F.col("_before").isNotNull() & ~F.col("_before.h").eqNullSafe(F.col("prev_hash")))
-    ends = checked.groupBy("_pid").agg(F.min(F.when(bad, F.col("seq"))).alias("inner"), F.min_by(F.struct("seq", "prev_hash"), "seq").alias("a"), F.max_by(link, "seq").alias("z"))
-    # as many rows as partitions
-    border = ends.withColumn("_z", F.coalesce(F.lag("z").over(Window.orderBy("a.seq")), F.struct(F.lit(GENESIS).alias("h"))))
-    return border.agg(F.min(F.least("inner", F.when(~F.col("_z.h").eqNullSafe(F.col("a.prev_hash")), F.col("a.seq")))).alias("first_bad"))
+    rows = events.select("seq", "prev_hash", "self_hash", (~own.eqNullSafe(F.col("self_hash"))).alias("_bad"))
+    ends = arrow_map(rows.repartitionByRange(n, "seq").sortWithinPartitions("seq"), _range_ends, "inner bigint, seq bigint, prev string, last string")
+    # as many rows as ranges; a hash is held in a struct: it is null only where there is no row before, not where the hash is
+    border = ends.withColumn("_z", F.coalesce(F.lag(F.struct(F.col("last").alias("h"))).over(Window.orderBy("seq")), F.struct(F.lit(GENESIS).alias("h"))))
+    return border.agg(F.min(F.least("inner", F.when(~F.col("_z.h").eqNullSafe(F.col("prev")), F.col("seq")))).alias("first_bad"))
+
+
+def _range_ends(batches):
+    """Of a range in the order of seq: its first wrong seq, its first row and its last hash."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    inner = first = last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        seq, prev, own, bad = (batch.column(c) for c in ("seq", "prev_hash", "self_hash", "_bad"))
+        before = pa.concat_arrays([pa.array([prev[0].as_py() if first is None else last], pa.string()), own.slice(0, len(own) - 1).cast(pa.string())])
+        differs = pc.coalesce(pc.not_equal(before, prev), pc.xor(pc.is_null(before), pc.is_null(prev)))
+        if first is None:
+            first = (seq[0].as_py(), prev[0].as_py())
+        wrong = pc.min(seq.filter(pc.or_(bad, differs))).as_py()
+        inner = wrong if inner is None else inner
+        last = own[-1].as_py()
+    if first is not None:
+        rows = [pa.array([inner], pa.int64()), pa.array([first[0]], pa.int64()), pa.array([first[1]], pa.string()), pa.array([last], pa.string())]
+        yield pa.RecordBatch.from_arrays(rows, names=["inner", "seq", "prev", "last"])
 
 
 def sessions(events: DataFrame, source: str | None = None, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:

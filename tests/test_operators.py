@@ -7,6 +7,7 @@ from itertools import pairwise
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.values import GENESIS
 from tessera.operators import binding, dedup, events, numbering, reconcile
@@ -39,6 +40,28 @@ def test_chain(spark):
             assert events.verify_chain(odd, parts).first()[0] == 4, (c, parts)
 
 
+def test_chain_of_many_blocks(spark, monkeypatch):
+    """No task sorts more than about a block, whole logs and hot keys alike, and all is as in one block."""
+    rows = log(spark, 700).withColumn("entity_id", F.when(F.col("seq") % 10 < 8, 5).otherwise(F.col("seq") % 4).cast("long")).union(log(spark, 3))  # the first three twice
+    want = {by: sorted(map(tuple, events.build_chain(rows, by and [by]).collect())) for by in (None, "entity_id")}
+    monkeypatch.setattr(events, "BLOCK", 60)
+    for by in want:
+        chained = events.build_chain(rows, by and [by])
+        assert sorted(map(tuple, chained.collect())) == want[by]
+        sizes = [r["count"] for r in chained.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 6 and max(sizes) < 300, sizes
+    whole = events.build_chain(log(spark, 700))
+    assert events.verify_chain(whole, 1).first()[0] is None
+    assert events.verify_chain(whole.where("seq <> 400"), 1).first()[0] == 401
+    plans = events.verify_chain(whole, 1)._jdf.queryExecution().toString()
+    assert "rangepartitioning(seq" in plans and ", 12)" in plans  # 700 rows in ranges of 60, though one was asked for
+    lines = log(spark, 300).drop("seq").withColumn("occurred_at", F.col("occurred_at") % 7)
+    order = ("occurred_at", "event_type", "entity_id", "payload")
+    given = lines.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("long") + 40)
+    names = [*events.COLUMNS]
+    assert sorted(map(tuple, events.build_chain(lines, head="x", order=order, after=40).select(*names).collect())) == sorted(map(tuple, events.build_chain(given, head="x").select(*names).collect()))
+
+
 def test_lookup_takes_first_admissible(spark):
     files = spark.createDataFrame(
         [(1, "a.dng", 5, 9, "C:1", "imported"), (2, "b.dng", 5, 9, None, "imported"), (3, "c.dng", 5, 9, "C:2", "missing"), (4, "d.jpg", 5, 9, None, "imported")],
