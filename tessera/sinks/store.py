@@ -17,13 +17,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.values import GENESIS, event_hash
 from ..operators import catalog, dedup
 from ..operators import events as ev
 from ..operators.numbering import numbered
-from ..scratch import kept
+from ..scratch import kept, mark, release
 from ..sources.documents import item_records
 from .commits import CommitLog, Conflict
 from .document import Fragments, join_document
@@ -34,6 +33,7 @@ FILES = (
 )
 FILE_COLUMNS = [c.split()[0] for c in FILES.split(", ")]
 EVENTS = "seq bigint, occurred_at bigint, event_type string, entity_type string, entity_id bigint, payload string, prev_hash string, self_hash string"
+EVENT_COLUMNS = [c.split()[0] for c in EVENTS.split(", ")]
 ITEMS = "dest_path string, session_id string, imported_at bigint, src_path string, status string"
 META, DEFAULT_SETTINGS = ".tessera", '[global]\nsync_strategy = "reflink,hardlink"\n\n[import]\npath_template = "$year/$mon-$day/$device/$filename"\nrename_template = "$filename.$n.$ext"\n'
 #: Buckets of a new catalog (for large archives about one a million rows), and the segments of a bucket at which it is merged.
@@ -124,9 +124,10 @@ class Transaction:
     def append(self, rows: DataFrame) -> None:
         """Events(occurred_at, event_type, entity_type, entity_id, payload), in that order, chained to the head. The log isn't read."""
         last, head = self.base["values"].get("next_seq", 0), self.base["values"].get("head", GENESIS)
-        order = Window.orderBy("occurred_at", "event_type", "entity_id", "payload")  # a chain is one stream by nature
-        lines = rows.withColumn("seq", (F.row_number().over(order) + F.lit(last)).cast("bigint")).select("seq", "occurred_at", "event_type", "entity_type", "entity_id", "payload")
-        new = self.log.write_segments(ev.build_chain(lines, head=head), "events")
+        lines = rows.select("occurred_at", "event_type", "entity_type", "entity_id", "payload")
+        since = mark()
+        new = self.log.write_segments(ev.build_chain(lines, head=head, order=("occurred_at", "event_type", "entity_id", "payload"), after=last).select(*EVENT_COLUMNS), "events")
+        release(since)
         end = self.log.read({"segments": new}, "events", EVENTS).agg(F.max("seq").alias("seq"), F.max_by("self_hash", "seq").alias("head")).first()
         if end["seq"] is not None:
             self.add += [s | {"first": last + 1, "last": end["seq"]} for s in new]

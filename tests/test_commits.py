@@ -213,6 +213,24 @@ def test_first_sights_survive_restarts(spark, tmp_path):
     assert got == Counter(["a", "c", "d", "g"])
 
 
+def test_a_large_append_is_no_single_task(spark, tmp_path, monkeypatch):
+    """Events are numbered and chained in blocks, and written by as many tasks."""
+    from tessera.operators import events
+
+    monkeypatch.setattr(events, "BLOCK", 50)
+    log = Store(spark, f"file://{tmp_path}/log", 2)
+    for part in range(2):
+        change = log.begin()
+        change.append(spark.range(300).select((F.col("id") * 37 % 101).alias("occurred_at"), F.lit("t").alias("event_type"), F.lit("e").alias("entity_type"), (F.col("id") + 1000 * part).alias("entity_id"), F.lit("{}").alias("payload")))
+        change.publish()
+    got = log.events().orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(1, 601)) and events.verify_chain(log.events()).first()[0] is None
+    for own in (got[:300], got[300:]):
+        assert [(r.occurred_at, r.entity_id) for r in own] == sorted((r.occurred_at, r.entity_id) for r in own)
+    held = log.events().groupBy(F.input_file_name()).count().collect()
+    assert len(held) >= 10 and max(r["count"] for r in held) < 200
+
+
 # --- commands
 
 
