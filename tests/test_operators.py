@@ -62,6 +62,19 @@ def test_chain_of_many_blocks(spark, monkeypatch):
     assert sorted(map(tuple, events.build_chain(lines, head="x", order=order, after=40).select(*names).collect())) == sorted(map(tuple, events.build_chain(given, head="x").select(*names).collect()))
 
 
+def test_items_are_grouped_in_bounded_parts(spark, monkeypatch):
+    """Tasks that group lineitem grow in number with it, and nothing is sorted before it is dealt."""
+    from conftest import SF
+
+    from tessera.sources import adapters
+
+    monkeypatch.setattr(adapters, "ITEM_ROWS", 500)
+    rows = adapters.manifest_items(spark, SF)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= n // 500 and max(sizes) < 1000, sizes
+
+
 def test_lookup_takes_first_admissible(spark):
     files = spark.createDataFrame(
         [(1, "a.dng", 5, 9, "C:1", "imported"), (2, "b.dng", 5, 9, None, "imported"), (3, "c.dng", 5, 9, "C:2", "missing"), (4, "d.jpg", 5, 9, None, "imported")],
