@@ -19,8 +19,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 INVENTORY = "path string, size bigint, crc32 bigint, raw_id string, xxh3_128 binary, sha256 binary, imported_at bigint"
 
 
-def inventory_stream(spark: SparkSession, folder: str, schema: str = INVENTORY, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def inventory_stream(spark: SparkSession, folder: str, schema: str = INVENTORY, files_per_trigger: int | None = 100) -> DataFrame:
+    """The Parquet files of folder as a stream; with files_per_trigger None, a batch is all that is there when it starts."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(folder)
 
 
 def import_stream(stream: DataFrame, catalog_path: str, checkpoint: str) -> StreamingQuery:

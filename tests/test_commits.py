@@ -231,6 +231,25 @@ def test_a_large_append_is_no_single_task(spark, tmp_path, monkeypatch):
     assert len(held) >= 10 and max(r["count"] for r in held) < 200
 
 
+def test_first_sights_of_an_inventory_in_many_files(spark, tmp_path, monkeypatch):
+    """The query's inventories are written by all tasks, and each is one batch: of copies in over 100 files, the first by path is seen."""
+    from tessera.plans.queries import QUERIES
+
+    data = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    data.repartition(130).write.parquet(f"{tmp_path}/documents.parquet")
+    made, real = [], ingest.inventory_stream
+    monkeypatch.setattr(ingest, "inventory_stream", lambda s, folder, **more: made.append(folder) or real(s, folder, **more))
+    opened = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a file a task
+    try:
+        got = sorted(r.path for r in QUERIES["first_sights"](spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", opened)
+    # contents of the catalog: "same", and what stands for it under old/
+    assert got == ["old/s/en/doc_0.jpg", "s/en/doc_1.mov"]
+    assert len([n for n in os.listdir(made[0].removeprefix("file://")) if n.endswith(".parquet")]) > 300
+
+
 # --- commands
 
 
