@@ -78,10 +78,11 @@ def _source(spark: SparkSession, source: str, extensions: list[str], archive: Ar
     return listed(wanted, tree)
 
 
-def _looked_up(archive: Archive | None, rows: DataFrame) -> DataFrame:
+def _looked_up(archive: Archive | None, rows: DataFrame, here: DataFrame | None = None) -> DataFrame:
+    """rows with status; here is the archive's inventory, if there is one already."""
     if archive is None:
         return rows.withColumn("status", F.when(F.col("error").isNotNull() | F.col("hash_error").isNotNull(), "failed").otherwise("new"))
-    found = dedup.classify(dedup.fingerprint_lookup(rows, archive.files()), inventory(archive))
+    found = dedup.classify(dedup.fingerprint_lookup(rows, archive.files()), inventory(archive) if here is None else here)
     return found.withColumn("status", F.when(F.col("error").isNotNull() | F.col("hash_error").isNotNull(), "failed").otherwise(F.col("status")))
 
 
@@ -100,9 +101,9 @@ def import_files(archive: Archive, source: str, force: bool = False, dry_run: bo
     """
     spark, config, source = archive.spark, _config(archive), clean_root(source)
     with _work(archive) as work:
-        change = archive.begin()
+        change, here = archive.begin(), work.kept(inventory(archive), "here")
         rows = with_fingerprint(_source(spark, source, config.allowed_extensions, archive, files_from), source)
-        seen = work.kept(_looked_up(archive, rows), "scan")
+        seen = work.kept(_looked_up(archive, rows, here), "scan")
         counts = {r["status"]: r["n"] for r in seen.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
         total, known = sum(n for k, n in counts.items() if k != "failed"), counts.get("duplicate", 0) + counts.get("moved", 0)
         if not total:
@@ -118,10 +119,10 @@ def import_files(archive: Archive, source: str, force: bool = False, dry_run: bo
         video = values.quicktime_millis(F.col("video_s"))
         taken = F.timestamp_millis(F.coalesce(values.exif_millis(F.col("original")), values.exif_millis(F.col("modified")), video, F.col("mtime_ms")))
         batch = dedup.with_identity(fresh).withColumn("src_path", F.col("path")).withColumn("error", F.col("hash_error"))
-        decided = batch.withColumn("reason", F.col("hash_error")) if force else dedup.strong_hash_decision(batch, dedup.known_hashes(archive.files()), inventory(archive))
-        good = decided.where("reason is null")
-        good = good.withColumn("dest", paths.destination("path", taken, paths.device_name(paths.exif_text("make"), paths.exif_text("model")), config.path_template))
-        planned = dedup.conflict_rename(good.select("path", "dest"), inventory(archive).select("path"), config.rename_template)
+        decided = batch.withColumn("reason", F.col("hash_error")) if force else dedup.strong_hash_decision(batch, dedup.known_hashes(archive.files()), here)
+        dest = paths.destination("path", taken, paths.device_name(paths.exif_text("make"), paths.exif_text("model")), config.path_template)
+        decided = work.kept(decided.withColumn("dest", F.when(F.col("reason").isNull(), dest)), "decided")
+        planned = dedup.conflict_rename(decided.where("reason is null").select("path", "dest"), here.select("path"), config.rename_template)
         decided = decided.join(planned.select("path", F.col("final").alias("dest_path")), "path", "left")
         decided = decided.withColumn("mtime", F.col("mtime_ms")).withColumn("imported_at", F.lit(now).cast("long"))
         plan = work.kept(decided, "plan")
@@ -149,11 +150,12 @@ def add(archive: Archive, folder: str = "") -> dict:
         if folder:
             tree = tree.where(paths.is_inside("path", F.lit(folder.strip("/"))))
         tracked = archive.files().where("status <> 'missing'").select("path").distinct()
-        seen = work.kept(_looked_up(archive, with_fingerprint(tree.join(tracked, "path", "left_anti"), str(archive.root))), "add")
+        here = work.kept(inventory(archive), "here")
+        seen = work.kept(_looked_up(archive, with_fingerprint(tree.join(tracked, "path", "left_anti"), str(archive.root)), here), "add")
         counts = {r["status"]: r["n"] for r in seen.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
         hashed = work.kept(with_digests(seen.where("status in ('new', 'recover')"), str(archive.root)), "hashed")
         batch = dedup.with_identity(hashed).withColumn("error", F.col("hash_error")).withColumn("src_path", F.col("path"))
-        decided = dedup.strong_hash_decision(batch, dedup.known_hashes(archive.files()), inventory(archive), add=True)
+        decided = dedup.strong_hash_decision(batch, dedup.known_hashes(archive.files()), here, add=True)
         decided = decided.withColumn("dest_path", F.col("path")).withColumn("mtime", F.col("mtime_ms")).withColumn("imported_at", F.lit(_now()).cast("long"))
         out = work.kept(dedup.insert_outcome(decided, dedup.known_hashes(archive.files())), "added")
         n = dedup.outcome_summary(out).first().asDict()
@@ -192,11 +194,9 @@ def verify(archive: Archive, recent_seconds: int | None = None, path: str | None
         files = catalog.recent_files(files, recent_seconds, _now())
     if path is not None:
         files = catalog.file_by_path(files, path)
-    here = inventory(archive)
-    same = here.join(files.select("path", "size").distinct(), ["path", "size"], "left_semi")
-    hashed = with_digests(same, str(archive.root), sha256=True).select("path", "size", "xxh3_128", "sha256", F.coalesce("error", "hash_error").alias("error"))
-    other = here.join(same.select("path"), "path", "left_anti").select("path", "size", F.lit(None).cast("binary").alias("xxh3_128"), F.lit(None).cast("binary").alias("sha256"), "error")
-    return reconcile.verify(files, hashed.unionByName(other))
+    same = files.select("path", "size", F.lit(True).alias("same")).distinct()
+    here = with_digests(inventory(archive).join(same, ["path", "size"], "left"), str(archive.root), sha256=True, due="same")
+    return reconcile.verify(files, here.select("path", "size", "xxh3_128", "sha256", F.coalesce("error", "hash_error").alias("error")))
 
 
 def recheck(archive: Archive, session: str | None = None, with_dest_only: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 from collections import deque
 
@@ -104,48 +105,57 @@ def dealt(files: DataFrame) -> DataFrame:
 
 
 def with_fingerprint(files: DataFrame, root: str) -> DataFrame:
-    """files(path, ...) with crc32, raw_id, original, modified, make, model, video_s, hash_error.
+    """files(path, ...) with crc32, raw_id, original, modified, make, model, video_s, xxh3_whole, hash_error.
 
     Only what these need is read: a file's start and end, a video's header; of formats without a region the whole
-    file, in pieces. A file that can't be read has an error and nothing else.
+    file, in pieces. A file that can't be read has an error and nothing else. xxh3_whole is the fast hash of files whose start
+    is all of them: with_digests() takes it and doesn't open them again.
     """
 
     def one(rel: str, row: dict) -> None:
         import zlib
 
+        import xxhash
+
         from ..functions.formats import BY_EXTENSION, RAW_EXTENSIONS
         from ..functions.media import exif_tags, mp4_seconds
 
         ext = rel.rsplit("/", 1)[-1].rpartition(".")[2].lower()
         how = BY_EXTENSION[ext][4] if ext in BY_EXTENSION else "full"
-        with open(os.path.join(root, rel), "rb") as f:
+        with open(os.path.join(root, rel), "rb", buffering=0) as f:
             size = os.fstat(f.fileno()).st_size
-            head = f.read(DEEP_HEAD if ext in RAW_EXTENSIONS or ext in ("heic", "heif") else HEAD)
+            head = _start(f, min(size, DEEP_HEAD if ext in RAW_EXTENSIONS or ext in ("heic", "heif") else HEAD))
+            whole = len(head) == size
             if how == "full":
                 crc = zlib.crc32(head)
-                while piece := f.read(4 << 20):
+                while not whole and (piece := f.read(4 << 20)):
                     crc = zlib.crc32(piece, crc)
             else:
-                tail = b""
-                if how != "head":
+                tail = head[-REGION:]
+                if how != "head" and not whole:
                     f.seek(max(size - REGION, 0))
-                    tail = f.read(REGION)
+                    tail = _start(f, REGION)
                 crc = zlib.crc32({"head": head[:REGION], "tail": tail, "head_tail": head[:REGION] + tail}[how])
             if ext in ("mov", "mp4", "m4v"):
-                row["video_s"] = _mvhd(f, mp4_seconds)
+                row["video_s"] = _mvhd(io.BytesIO(head) if whole else f, size, mp4_seconds)
         row["crc32"] = crc
+        row["xxh3_whole"] = xxhash.xxh3_128_digest(head)[::-1] if whole else None
         tags = exif_tags(head)
         row.update({k: tags.get(k) for k in ("original", "modified", "make", "model")})
         if ext in RAW_EXTENSIONS:
             serial, image = (tags.get(k, "").strip().strip('"').strip("'") for k in ("serial", "image_id"))
             row["raw_id"] = f"{serial}:{image}" if serial and image else None
 
-    kinds = {"crc32": "long", "raw_id": "string", "original": "string", "modified": "string", "make": "string", "model": "string", "video_s": "long", "hash_error": "string"}
+    kinds = {"crc32": "long", "raw_id": "string", "original": "string", "modified": "string", "make": "string", "model": "string", "video_s": "long", "xxh3_whole": "binary", "hash_error": "string"}
     return _read_each(dealt(files), kinds, one)
 
 
-def with_digests(files: DataFrame, root: str, sha256: bool = False) -> DataFrame:
-    """files(path, hash_error, ...) with xxh3_128 and, if asked for, sha256, of whole files read in pieces."""
+def with_digests(files: DataFrame, root: str, sha256: bool = False, due: str | None = None) -> DataFrame:
+    """files(path, hash_error, ...) with xxh3_128 and, if asked for, sha256, of whole files read in pieces.
+
+    The fast hash that with_fingerprint() may have found, xxh3_whole, is taken in place of reading; files is evaluated more than once then,
+    here too, and should be a written table. due names a boolean column: files where it isn't true aren't read and have no digests.
+    """
 
     def one(rel: str, row: dict) -> None:
         import hashlib
@@ -161,16 +171,24 @@ def with_digests(files: DataFrame, root: str, sha256: bool = False) -> DataFrame
         row["xxh3_128"] = x.digest()[::-1]
         row["sha256"] = s.digest() if sha256 else None
 
-    return _read_each(dealt(files), {"xxh3_128": "binary", "sha256": "binary", "hash_error": "string"}, one)
+    kinds = {"xxh3_128": "binary", "sha256": "binary", "hash_error": "string"}
+    if sha256 or due or "xxh3_whole" not in files.columns:
+        return _read_each(dealt(files.drop("xxh3_whole")), kinds, one, due)
+    held = [c for c in files.columns if c not in kinds and c != "xxh3_whole"]
+    done = files.where("xxh3_whole is not null").select(*held, F.col("xxh3_whole").alias("xxh3_128"), F.lit(None).cast("binary").alias("sha256"), F.lit(None).cast("string").alias("hash_error"))
+    rest = files.where("xxh3_whole is null").drop("xxh3_whole")
+    # Most often nothing is left: then no tasks are started for it.
+    return done if rest.isEmpty() else done.unionByName(_read_each(dealt(rest), kinds, one))
 
 
 def with_hashes(files: DataFrame, root: str, sha256: bool = False) -> DataFrame:
     """with_fingerprint() and with_digests() of all files."""
-    return with_digests(with_fingerprint(files, root), root, sha256)
+    return with_digests(with_fingerprint(files, root).drop("xxh3_whole"), root, sha256)
 
 
-def _read_each(files: DataFrame, kinds: dict[str, str], one) -> DataFrame:
-    """files with what one(path, row) puts into row, a dict of kinds; a hash_error that files has already stays."""
+def _read_each(files: DataFrame, kinds: dict[str, str], one, due: str | None = None) -> DataFrame:
+    """files with what one(path, row) puts into row, a dict of kinds; a hash_error that files has already stays. Files where the column
+    due isn't true are passed over."""
     from ..session import arrow_map, with_fields
 
     held = [c for c in files.columns if c not in kinds]
@@ -182,13 +200,14 @@ def _read_each(files: DataFrame, kinds: dict[str, str], one) -> DataFrame:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in kinds}
             before = batch.column("hash_error").to_pylist() if "hash_error" in batch.schema.names else [None] * len(batch)
-            for rel, error in zip(batch.column("path").to_pylist(), before, strict=True):
+            wanted = batch.column(due).to_pylist() if due else [True] * len(batch)
+            for rel, error, read in zip(batch.column("path").to_pylist(), before, wanted, strict=True):
                 row = dict.fromkeys(kinds)
                 try:
-                    if error is None:
-                        one(rel, row)
-                    else:
+                    if error is not None:
                         row["hash_error"] = error
+                    elif read:
+                        one(rel, row)
                 except OSError as e:
                     row = dict.fromkeys(kinds) | {"hash_error": f"xxh3_128 error: {e}"}
                 for k in kinds:
@@ -198,20 +217,27 @@ def _read_each(files: DataFrame, kinds: dict[str, str], one) -> DataFrame:
     return arrow_map(files, run, with_fields(files.select(*held).schema, **kinds))
 
 
-def _mvhd(f, parse) -> int | None:
-    """Creation time of a video, skipping over all boxes but moov."""
+def _start(f, n: int) -> bytes:
+    """The next n bytes of an unbuffered file, fewer at its end."""
+    out = f.read(n)
+    while len(out) < n and (piece := f.read(n - len(out))):
+        out += piece
+    return out
+
+
+def _mvhd(f, size: int, parse) -> int | None:
+    """Creation time of a video of some size, skipping over all boxes but moov."""
     import struct
 
-    size = os.fstat(f.fileno()).st_size
     at = 0
     while at + 8 <= size:
         f.seek(at)
-        head = f.read(16)
+        head = _start(f, 16)
         n, kind = struct.unpack_from(">I4s", head)
         n = struct.unpack_from(">Q", head, 8)[0] if n == 1 and len(head) == 16 else (size - at if n == 0 else n)
         if kind == b"moov":
             f.seek(at)
-            return parse(f.read(n))
+            return parse(_start(f, min(n, size - at)))
         if n < 8:
             return None
         at += n

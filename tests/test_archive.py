@@ -203,3 +203,72 @@ def test_links_become_independent(spark, place):
     assert c.upgrade_links(archive) == 1
     assert file_tree(spark, str(archive.root)).where(F.col("nlink") > 1).count() == 0
     assert {r.result for r in c.verify(archive).collect()} == {"ok"}
+
+
+def test_reflinks_are_not_tried_again_where_there_are_none(tmp_path, monkeypatch):
+    import errno
+    import fcntl
+
+    from tessera.sinks.transfer import place as put_at
+
+    tried = []
+
+    def refused(*a):
+        tried.append(a)
+        raise OSError(errno.EOPNOTSUPP, "no reflinks here")
+
+    monkeypatch.setattr(fcntl, "ioctl", refused)
+    unable: set = set()
+    for k in range(3):
+        put(str(tmp_path), f"s/{k}", b"%d" % k)
+        assert put_at(f"{tmp_path}/s/{k}", f"{tmp_path}/d/{k}/x", ("reflink", "hardlink"), unable) == "hardlink"
+        assert open(f"{tmp_path}/d/{k}/x", "rb").read() == b"%d" % k
+    assert len(tried) == 1
+    assert put_at(f"{tmp_path}/s/0", f"{tmp_path}/e", ("reflink", "copy"), unable) == "copy" and os.stat(f"{tmp_path}/e").st_nlink == 1
+    with pytest.raises(FileExistsError):
+        put_at(f"{tmp_path}/s/1", f"{tmp_path}/e", ("reflink", "hardlink"), unable)
+
+
+def test_file_work_is_dealt_over_all_tasks(spark, tmp_path):
+    from tessera.sinks import transfer as t
+
+    rows = spark.createDataFrame([(f"{k}/f.jpg", b"%d" % k, 1000) for k in range(40)], "path string, content binary, mtime_ms long").coalesce(1)
+    written = t.write_contents(rows, f"{tmp_path}/a")
+    assert written.columns == ["path", "mtime_ms", "how", "copy_error"] and written.rdd.getNumPartitions() == 4
+    assert {r.copy_error for r in written.collect()} == {None} and open(f"{tmp_path}/a/7/f.jpg", "rb").read() == b"7"
+    moved = t.transfer(rows.select(F.concat(F.lit(f"{tmp_path}/a/"), "path").alias("src"), F.concat(F.lit(f"{tmp_path}/b/"), "path").alias("dest")))
+    assert moved.rdd.getNumPartitions() == 4 and {r.copy_error for r in moved.collect()} == {None}
+    gone = t.move_or_remove(rows.select("path", F.lit(None).cast("string").alias("new_path")), f"{tmp_path}/b")
+    assert gone.rdd.getNumPartitions() == 4 and {r.how for r in gone.collect()} == {"removed"}
+
+
+def test_small_files_are_read_once(spark, tmp_path):
+    import xxhash
+
+    from tessera.sources.file_tree import HEAD, with_digests, with_fingerprint
+
+    sizes = {"empty.jpg": 0, "small.jpg": 10, "small.mov": 70_000, "full.xyz": 10, "edge.jpg": HEAD, "large.jpg": HEAD + 1}
+    for name, n in sizes.items():
+        put(str(tmp_path), name, os.urandom(n))
+    want = {n: xxhash.xxh3_128((tmp_path / n).read_bytes()).digest()[::-1] for n in sizes}
+    seen = with_fingerprint(file_tree(spark, str(tmp_path)), str(tmp_path)).localCheckpoint()
+    assert {r.path for r in seen.where("xxh3_whole is null").collect()} == {"large.jpg"}
+    for n in sizes:
+        if n != "large.jpg":
+            os.unlink(tmp_path / n)
+    out = with_digests(seen, str(tmp_path))
+    assert "xxh3_whole" not in out.columns and {r.path: bytes(r.xxh3_128) for r in out.collect()} == want
+    # SHA-256 needs the contents
+    assert {r.path for r in with_digests(seen, str(tmp_path), sha256=True).where("hash_error is null").collect()} == {"large.jpg"}
+
+
+def test_a_tree_is_listed_once(spark, place, monkeypatch):
+    src, archive = place
+    for k in range(3):
+        put(src, f"{k}.jpg", jpeg(b"%d" % k))
+    listed = []
+    monkeypatch.setattr(c, "file_tree", lambda s, root, *a: listed.append(root) or file_tree(s, root, *a))
+    assert c.import_files(archive, src)["imported"] == 3
+    assert sorted(listed) == sorted([src, str(archive.root)])
+    plan = c.verify(archive)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("file_tree") == 1
